@@ -163,9 +163,9 @@ def _sets_of(table: pa.Table, name: str) -> list[np.ndarray]:
 
 def _filter(ids: DataFrame) -> np.ndarray:
     """A bit filter of FILTER_BITS bits over ids; false positives are removed by the join that follows it."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     words = (
-        ids.select(F.shiftright(slot, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 31 as int))").alias("b"))
+        ids.select(_slot("doc_id"))
+        .select(F.shiftright("slot", 5).alias("w"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
     )
@@ -175,6 +175,19 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return found
 
 
+def _slot(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("slot")
+
+
+def _passing(batches, bits: np.ndarray):
+    """The rows of batches (id, slot, ...) whose slot is set and whose id is not null."""
+    for batch in batches:
+        slot = batch.column(1).to_numpy()
+        some = (bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool) & ~batch.column(0).is_null().to_numpy(False)
+        if some.any():
+            yield batch.filter(pa.array(some))
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
 
@@ -217,28 +230,23 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     led = leader.join(counts, "leader").select(
         "doc_id", "leader", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk")
     )
+    chunks = led.where("doc_id <> leader").groupBy("leader").agg(F.collect_set("chunk").alias("chunks"))
+    role = led.join(chunks.withColumnRenamed("leader", "doc_id"), "doc_id", "left")  # its own group; the groups that it leads
     bits = _filter(leader.select("doc_id"))
 
     def sets(batches):
-        for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
-            slot = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)))
-            if batch.num_rows:
-                found = [s.view(np.int64) for s in token_sets(batch.column(2), k)]
-                yield pa.record_batch([batch.column(0), _lists(found)], ["doc_id", "tokens"])
+        for batch in _passing(batches, bits):
+            found = [s.view(np.int64) for s in token_sets(batch.column(2), k)]
+            yield pa.record_batch([batch.column(0), _lists(found)], ["doc_id", "tokens"])
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")
-    tokens = base.select("doc_id", slot, "text").mapInArrow(sets, "doc_id long, tokens array<long>")
-    tokens = written(tokens.join(led, "doc_id"), "tokens")
+    tokens = base.select("doc_id", _slot("doc_id"), "text").mapInArrow(sets, "doc_id long, tokens array<long>")
+    tokens = written(tokens.join(role, "doc_id"), "tokens")
 
     # inside each group; the leader's set is a member of each of its chunks
-    chunks = led.where("doc_id <> leader").select("leader", "chunk").distinct()
-    leaders = (
-        chunks.join(tokens.select(F.col("doc_id").alias("leader"), "tokens"), "leader")
-        .select("leader", "chunk", F.col("leader").alias("doc_id"), "tokens")
+    leaders = tokens.where("chunks is not null").select(
+        F.col("doc_id").alias("leader"), F.explode("chunks").alias("chunk"), "doc_id", "tokens"
     )
-    members = tokens.where("doc_id <> leader").select("leader", "chunk", "doc_id", "tokens")  # each once
+    members = tokens.where("doc_id <> leader").select("leader", "chunk", "doc_id", "tokens")
 
     def inside(table: pa.Table) -> pa.Table:
         ids, sets_ = table.column("doc_id").to_numpy(), _sets_of(table, "tokens")
@@ -290,26 +298,32 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
 
 
 def _across(placed: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between sets that share a digest but not a component: sets of the smaller one query groups of the other."""
+    """Links between sets that share a digest but not a component.
+
+    Of two such sets the one whose component ranks lower, by size and then by id, queries the group of the other: a
+    large component is asked by what is left outside of it and asks nothing itself.
+    """
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
     sizes = placed.select("comp", "doc_id").distinct().groupBy("comp").agg(F.count("*").alias("size"))
     open_ = placed.join(mixed, "sig").join(sizes, "comp")
-    groups = open_.select(
-        "sig", F.col("comp").alias("comp_g"), F.col("size").alias("size_g"), "leader", "chunk"
-    ).distinct()
-    wanted = (
-        open_.select("sig", F.col("comp").alias("comp_q"), F.col("size").alias("size_q"), F.col("doc_id").alias("query"))
-        .join(groups, "sig")
-        .where("comp_q <> comp_g and (size_q < size_g or (size_q = size_g and comp_q > comp_g))")
-        .select("query", "leader", "chunk", "comp_q")
-        .distinct()
-    )
+    open_ = open_.withColumn("rank", F.struct("size", "comp"))
+    asks = open_.select("sig", "rank", F.col("doc_id").alias("query"), F.col("leader").alias("own"))
+    groups = open_.groupBy("sig", "leader", "chunk").agg(F.max("rank").alias("top"))
+    others = asks.join(groups, "sig").where("own <> leader and rank < top").select("query", "leader", "chunk")
+    # followers of one leader share many digests: they meet once by the leader instead of once for each digest
+    tops = groups.groupBy("leader", "chunk").agg(F.max("top").alias("top"))
+    family = asks.select("own", "query", "rank").distinct()
+    family = family.join(tops, F.col("own") == F.col("leader")).where("rank < top").select("query", "leader", "chunk")
+    wanted = others.unionByName(family).distinct()
     wanted = written(wanted, "wanted")
     load = wanted.groupBy("leader", "chunk").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).alias("parts"))
     asking = wanted.join(load, ["leader", "chunk"]).select(
-        "leader", "chunk", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"), "query", "comp_q"
+        "leader", "chunk", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"), "query"
     )
-    asking = asking.join(tokens.select(F.col("doc_id").alias("query"), F.col("tokens").alias("asked")), "query")
+    bits = _filter(wanted.select(F.col("query").alias("doc_id")))
+    asked = tokens.select(F.col("doc_id").alias("query"), _slot("doc_id"), F.col("tokens").alias("asked"))
+    asked = asked.mapInArrow(lambda batches: _passing(batches, bits), "query long, slot long, asked array<long>")
+    asking = asking.join(asked.drop("slot"), "query")
     groups = tokens.join(load, ["leader", "chunk"]).select(
         "leader", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "doc_id", "tokens"
     )
