@@ -214,16 +214,13 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
         named.join(first.select("n", "fp1", "fp2", "rep"), ["n", "fp1", "fp2"]).select("doc_id", "rep").distinct(), "copies"
     )
     exploded = named.select("doc_id", F.explode("sigs").alias("sig"))
-    some = shared(exploded).select("sig", "doc_id")
-    some = (
-        some.join(copies, "doc_id", "left")
-        .select("sig", F.coalesce("rep", "doc_id").alias("doc_id"))
-        .distinct()
-    )
-    some = written(shared(some), "shared")
+    some = written(shared(exploded), "shared")
 
+    # copies leave here: the least id of a digest is never one, so every leader is a set of its own
     leader = some.groupBy("doc_id").agg(F.min("lo").alias("leader"))
-    leader = written(leader.join(named.select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "leaders")
+    leader = leader.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    sizes = named.groupBy("doc_id").agg(F.max("n").alias("n"))
+    leader = written(leader.join(sizes, "doc_id"), "leaders")
     counts = leader.groupBy("leader").agg(
         F.greatest(F.ceil(F.count("*") / GROUP_MEAN), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks")
     )
