@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearfold.llm import ngram_join
+from nearfold.llm import (
+    decontam,
+    fertility,
+    ngram_join,
+    packing,
+    templates,
+    token_files,
+    token_rollup,
+    units,
+    url_lists,
+    warc,
+)
+from nearfold.plans.storage import fresh_dir, written
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+FIRST_DAY = "2024-01-01"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +33,137 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"), "doc_id", "text", k=3, num=90, den=100)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, each ended by id 0, read back frame by frame."""
+    manifest = token_files.write(_table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE, end_id=0)
+    return token_files.read(manifest)
+
+
+def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and tokeniser fertility bands over every whole text."""
+    return fertility.verdicts(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", BYTE_BPE, PIECES).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "entropy", "fallback_share",
+    )
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each ended by id 2, packed into sequences of at most 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), "doc_id", "text", BYTE_BPE, end_id=2)
+
+
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents come in; copies of earlier ones go out; the rest is
+    revised to counts with an end token, under a second version; the second batch is committed again."""
+    docs = _table(spark, sf_dir, "documents")
+    counted = token_rollup.counts(docs, "doc_id", "text", BYTE_BPE)
+    rows = written(counted.join(docs.select("doc_id", "source", "lang"), "doc_id"), "counts")
+    rows = rows.withColumn("tokenizer_version", F.lit("byte_bpe_50k/1"))
+    first = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first"))
+    flagged = rows.join(first, "text_hash").withColumn("copy", F.col("doc_id") != F.col("first"))
+    copies, rest = flagged.where("copy"), flagged.where("not copy")
+    second = rest.withColumn("tokenizer_version", F.lit("byte_bpe_50k/2"))
+    rollup = token_rollup.Rollup(spark, fresh_dir(spark, "rollup"))
+    rollup.commit("ingest", token_rollup.inserts(rows))
+    rollup.commit("copies", token_rollup.deletes(copies))
+    rollup.commit("second-version", token_rollup.inserts(second))
+    revised = second.withColumnRenamed("n_tokens", "old_tokens").withColumn("n_tokens", F.col("old_tokens") + 1)
+    rollup.commit("end-tokens", token_rollup.revisions(revised))
+    rollup.commit("copies", token_rollup.deletes(copies))
+    return rollup.totals()
+
+
+def op6_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page evaluated against the list entries active on the day it was fetched (page_id days into 2024, by the year)."""
+    pages = _table(spark, sf_dir, "pages")
+    fetched = pages.select("page_id", "url", F.expr(f"date_add(date'{FIRST_DAY}', cast(page_id % 366 as int))").alias("day"))
+    listed = url_lists.intervals(url_lists.derived_entries(pages, "url"))
+    return url_lists.evaluate(fetched, "page_id", "url", "day", listed).select(
+        F.col("capture_id").alias("page_id"), "host", F.col("fetch_day").cast("string").alias("fetch_day"),
+        "n_block", "n_allow", "lists", "decision",
+    )
+
+
+OP6_SQL = r"""
+with captured as (
+  select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^:/?#]*)', 1)) as host,
+         date '2024-01-01' + cast(page_id % 366 as integer) as fetch_day
+  from pages
+), hosts as (
+  select distinct host from captured where host <> ''
+), host_keys as (
+  select host, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+         lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) as key
+  from hosts
+), digits as (
+  select key, list_transform(range(1, 6), lambda i: cast('0x' || substr(md5(key), i, 1) as integer)) as d
+  from (select distinct key from host_keys)
+), named as (
+  select key, d, case when d[1] <= 5 then 'abuse' when d[1] <= 8 then 'adult' when d[1] = 9 then 'trusted' end as list,
+         date '2024-01-01' + cast(16 * d[2] + d[3] as integer) as added
+  from digits where d[1] <= 9
+), spells as (
+  select list, key, added as from_day, added + cast(30 + d[4] as integer) as to_day from named
+  union all
+  select list, key, added + cast(90 + d[4] as integer), null from named where d[5] <= 7
+), hits as (
+  select c.page_id, s.list
+  from captured c join host_keys k on k.host = c.host join spells s on s.key = k.key
+   and c.fetch_day >= s.from_day and (s.to_day is null or c.fetch_day < s.to_day)
+), found as (
+  select page_id, count(*) filter (where list <> 'trusted') as n_block, count(*) filter (where list = 'trusted') as n_allow,
+         string_agg(distinct list, ',' order by list) as lists
+  from hits group by page_id
+)
+select c.page_id, c.host, cast(c.fetch_day as varchar) as fetch_day, coalesce(n_block, 0) as n_block,
+       coalesce(n_allow, 0) as n_allow, coalesce(lists, '') as lists,
+       case when n_allow > 0 then 'allow' when n_block > 0 then 'block' else 'pass' end as decision
+from captured c left join found f on f.page_id = c.page_id
+"""
+
+
+def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in documents, within a tenth of their words."""
+    return decontam.matches(
+        _table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text"
+    )
+
+
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, found again through the two-level index and read from the archives."""
+    pages = _table(spark, sf_dir, "pages")
+    index = warc.build_index(warc.write(pages, "page_id", "url", "html"))
+    return warc.lookup(index, warc.keys_of(pages, "url")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of repeated lines and runs of 25 words or more, but for their earliest occurrence."""
+    return units.repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op10_log_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents."""
+    return templates.without_recurring(_table(spark, sf_dir, "documents"), "doc_id", "text").select(
+        "doc_id", "text", "n_lines", "n_dropped"
+    )
+
+
 QUERIES = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_token_files,
+        op3_fertility_rules,
+        op4_best_fit_packing,
+        op5_token_rollups,
+        op6_temporal_url_lists,
+        op7_cgk_decontamination,
+        op8_warc_index,
+        op9_unit_dedup,
+        op10_log_template_tree,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_temporal_url_lists": OP6_SQL}
