@@ -8,7 +8,7 @@ digits (a name, a title) is generalised too. Each template is one 64-bit key, so
 the tree is a keyed aggregate and no leaf is ever collected.
 
 A template recurs if ``min_docs`` documents or more hold it and they are not mostly copies of each
-other: documents are also counted in classes (by the least key among their lines, which copies and near
+other: documents are also counted in classes (by the least hash among their lines, which copies and near
 copies share), and the classes must be at least half as many as the documents.
 """
 
@@ -62,14 +62,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 words = hashes(some, starts, ends)
                 digits = np.concatenate([[0], np.cumsum((some >= 48) & (some <= 57))])
                 words[digits[ends] > digits[starts]] = _FIELD
-                begin, _, of = lines(some, places)
+                begin, stop, of = lines(some, places)
                 bounds = np.append(np.searchsorted(starts, begin), len(starts))
                 held = np.flatnonzero(np.diff(bounds))
                 keys, count = line_keys(words, bounds[held], np.diff(bounds)[held])
                 row = np.searchsorted(of, held, "right") - 1
-                whole = keys[np.cumsum(count) - count]
                 opens = np.flatnonzero(np.diff(row, prepend=-1))
-                least = np.minimum.reduceat(whole, opens).view(np.int64)
+                least = np.minimum.reduceat(hashes(some, begin[held], stop[held]), opens).view(np.int64)
                 take = pa.array(row + i)
                 yield pa.record_batch(
                     [

@@ -467,7 +467,7 @@ def test_warc_awkward_pages(spark, monkeypatch):
     index = warc.build_index(warc.write(pages, "page_id", "url", "html"))
     every = warc.lookup(index, warc.keys_of(pages, "url")).collect()
     found = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in every)
-    expected = [(3, 2, "revisit", 1), (1, 2, "response", None), (2, 0, "response", None), (None, 2, "revisit", 1), (4, 0, "revisit", 2), (5, 12, "response", None), (5, 12, "response", None)]
+    expected = [(3, 2, "revisit", 1), (1, 2, "response", None), (2, 0, "response", None), (None, 2, "revisit", 1), (4, 0, "revisit", 2), (5, 11, "response", None), (5, 11, "response", None)]
     assert found == collections.Counter(expected + [(100 + i, 2, "response", None) for i in range(9)])
     one = warc.lookup(index, spark.createDataFrame([("com,a,b)/x",), ("com,none)/",)], "surt string"))
     assert sorted(r.page_id for r in one.collect()) == [1, 3, 4]
@@ -570,13 +570,11 @@ def test_op10(spark, sf, docs):
     keyed = brute_templates(docs, 5)
     from nearfold.llm.textbatch import hashes
 
-    def number(key):  # the operator's own class rule needs its numbers
-        words = np.array([templates._FIELD if w == "\0" else hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] for w in key[2]], np.uint64)
-        return int(templates.line_keys(words, np.array([0]), np.array([len(words)]))[0][0])
+    def number(line):  # the class rule needs the operator's own hash
+        raw = np.frombuffer(line.encode(), np.uint8)
+        return int(hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
-    least = {}
-    for (d, _), keys in keyed.items():
-        least[d] = min(least.get(d, 1 << 64), number(keys[0]))
+    least = {d: min((number(x) for x in (t or "").split("\n") if WORD.search(x)), default=0) for d, t in docs.items()}
     held = collections.defaultdict(set)
     for (d, _), keys in keyed.items():
         for k in keys:
@@ -590,7 +588,7 @@ def test_op10(spark, sf, docs):
 
 
 def test_templates_generalise_fields(spark, awkward, empty):
-    rows = [(i, f"unique start {i * 7919} of text number a{i}b\nReport by {name} on the state of the river valley today\nat 10:{i} done in {i} ms", "en", 0) for i, name in enumerate(["ann", "bo", "cy", "di", "ed", "flo"])]
+    rows = [(i, f"unique start {i * 7919} of text number a{i}b\nReport today by {name} on the state of the river valley today\nat 10:{i} done in {i} ms", "en", 0) for i, name in enumerate(["ann", "bo", "cy", "di", "ed", "flo"])]
     out = templates.without_recurring(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", min_docs=5).collect()
     assert all("Report" not in r.text and "done" not in r.text for r in out)
     kept = templates.without_recurring(awkward, "doc_id", "text")
