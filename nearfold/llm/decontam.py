@@ -9,9 +9,9 @@ candidate is verified by edit distance.
 
 A window starts at every word and has an item's size. Items are taken in classes by size and only
 steps below the smallest size of the class are sampled, so a walk never leaves a window of
-that class and one walk serves all the sizes in it. The first two steps are common to all
-but the short classes, and a walk ends as soon as no item has the words sampled so far:
-most windows end after a step or two.
+that class and one walk serves all the sizes in it. The first sampled step is common to the
+classes, and a walk ends as soon as no item has the words sampled so far: most windows
+end at their first sample.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ class Search:
     up to two edits (tests/llm measures it; texts that agree exactly are always found)."""
 
     edits: float = 0.1
-    repetitions: int = 16
-    samples: int = 4
+    repetitions: int = 12
+    samples: int = 6
     seed: int = 20
 
 
@@ -54,92 +54,92 @@ def _words(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else np.zeros(0, _U)), np.array(rows, np.int64)
 
 
-def _steps(rng: np.random.Generator, low: int, samples: int) -> list[int]:
-    """Sampled steps for items of ``low`` words or more: ascending, the first two early, all below ``low``."""
-    early = sorted({int(rng.integers(0, min(3, low))), int(rng.integers(0, min(10, low)))})
-    late = sorted(int(x) for x in rng.integers(0, low, max(0, samples - 2)))
-    return early + [x for x in late if x > early[-1]]
+def _steps(rng: np.random.Generator, first: int, low: int, samples: int) -> list[int]:
+    """Sampled steps for items of ``low`` words or more: ascending, all below ``low``, mostly two or more apart."""
+    rest = np.arange(first + 2, low, 1 if low < COMMON else 2) + (int(rng.integers(2)) if low >= COMMON else 0)
+    rest = rest[rest < low]
+    return [first, *sorted(rng.choice(rest, min(samples - 1, len(rest)), replace=False).tolist())]
+
+
+def _move(flat: np.ndarray, place: np.ndarray, turn: np.uint64) -> np.ndarray:
+    return (flat[place] * turn >> _U(63)).astype(np.int64)
+
+
+def _slots(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key & _U((1 << bits) - 1)).astype(np.int64)
 
 
 class Tables:
-    """The sampled walks of all items, one table for each repetition and class of sizes."""
+    """The sampled walks of all items: for each repetition and class of sizes the steps, a bit filter after each step, and the keys."""
 
     def __init__(self, words: list[np.ndarray], search: Search):
         self.words, self.search = words, search
-        size = np.array([len(w) for w in words])
+        size = np.array([len(w) for w in words], np.int64)
+        self.bits = max(16, int(np.ceil(np.log2(max(len(words), 1)))) + 4)
         flat = np.concatenate([*words, np.zeros(64, _U)])
-        at = np.cumsum([0, *size[:-1]])
-        self.plans = []
+        at = np.cumsum([0, *size[:-1]]) if len(words) else np.zeros(0, np.int64)
+        self.plans: list[list[tuple]] = []
         for r in range(search.repetitions):
-            rng = np.random.default_rng([search.seed, r])
-            salt = _U(int(rng.integers(1, 1 << 62)))
-            bits = mix(flat ^ salt)
-            common = _steps(rng, COMMON, 2)
+            turns, first, plans = self._turns(r), (r % 3) // 2, []  # steps 0, 0 and 1 come first in turn
             for c, low in enumerate(CLASS_SIZES):
                 high = CLASS_SIZES[c + 1] if c + 1 < len(CLASS_SIZES) else 1 << 60
                 mine = np.flatnonzero((size >= low) & (size < high))
-                steps = _steps(rng, min(low, 60), search.samples)
-                if low >= COMMON:
-                    steps = common + [s for s in steps if s > common[-1]]
                 if not len(mine):
                     continue
+                rng = np.random.default_rng([search.seed, r, c])
+                steps = _steps(rng, min(first, low - 1), low, search.samples)
                 place, key, step, filters = at[mine].copy(), np.zeros(len(mine), _U), 0, []
                 for s in steps:
                     while step < s:
-                        place += (bits[place] >> _U(step) & _U(1)).astype(np.int64)
+                        place += _move(flat, place, turns[step])
                         step += 1
-                    key = mix(key ^ flat[place])
-                    seen = np.zeros(1 << 20, bool)
-                    seen[(key & _U((1 << 20) - 1)).astype(np.int64)] = True
+                    key = flat[place] if not filters else mix(key ^ flat[place])
+                    seen = np.zeros(1 << self.bits, bool)
+                    seen[_slots(key, self.bits)] = True
                     filters.append(seen)
                 order = np.argsort(key, kind="stable")
-                self.plans.append((salt, steps, filters, key[order], mine[order], low >= COMMON))
+                plans.append((steps, filters, key[order], mine[order]))
+            self.plans.append(plans)
 
-    def candidates(self, flat: np.ndarray, n: int):
+    def _turns(self, r: int) -> np.ndarray:
+        """One odd multiplier for each step; the top bit of its product with a word's hash moves the walk on."""
+        return np.random.default_rng([self.search.seed, r]).integers(0, 1 << 63, 64, np.uint64) * _U(2) + _U(1)
+
+    def candidates(self, flat: np.ndarray, n: int) -> np.ndarray:
         """(window start, item) of every window that agrees with an item; ``flat`` has n words, then 64 zeros."""
         found = []
-        i = 0
-        while i < len(self.plans):
-            j = i + 1  # plans of one repetition with the same first steps walk those together
-            while j < len(self.plans) and self.plans[j][5] and self.plans[i][5] and self.plans[j][0] == self.plans[i][0]:
-                j += 1
-            group = self.plans[i:j]
-            bits = mix(flat ^ group[0][0])
-            shared = len(_shared(group))
-            any_seen = [np.logical_or.reduce([p[2][k] for p in group]) for k in range(shared)]
-            start = np.arange(n)
-            state = (start, start, np.zeros(n, _U), 0)
-            for k in range(shared):
-                state = _advance(flat, bits, state, group[0][1][k], any_seen[k])
-            for _, steps, filters, keys, items, _ in group:
-                own = state
-                for s, seen in zip(steps[shared:], filters[shared:]):
-                    own = _advance(flat, bits, own, s, seen)
-                start, _, key, _ = own
-                low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                many = high - low
-                if many.any():
-                    where = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    found.append(np.stack([np.repeat(start, many), items[where]], 1))
-            i = j
+        # windows whose first word is no item's: the repetitions that sample step 0 leave them out at once
+        heads = [p[1][0] for plans in self.plans for p in plans if p[0][0] == 0]
+        first = np.flatnonzero(np.logical_or.reduce(heads)[_slots(flat[:n], self.bits)]) if heads else np.arange(n)
+        every = np.arange(n)
+        for r, plans in enumerate(self.plans):
+            if not plans:
+                continue
+            turns = self._turns(r)
+            for begin in sorted({p[0][0] for p in plans}):
+                group = [p for p in plans if p[0][0] == begin]
+                start = first if begin == 0 else every
+                state = _advance(flat, turns, (start, start, None, 0), begin, np.logical_or.reduce([p[1][0] for p in group]), self.bits)
+                for steps, filters, keys, items in group:
+                    own = state
+                    for s, seen in zip(steps[1:], filters[1:]):
+                        own = _advance(flat, turns, own, s, seen, self.bits)
+                    low, high = np.searchsorted(keys, own[2]), np.searchsorted(keys, own[2], "right")
+                    many = high - low
+                    if many.any():
+                        where = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                        found.append(np.stack([np.repeat(own[0], many), items[where]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def _shared(group) -> list[int]:
-    steps = [p[1] for p in group]
-    k = 0
-    while all(len(s) > k and s[k] == steps[0][k] for s in steps) and k < 2:
-        k += 1
-    return steps[0][:k]
-
-
-def _advance(flat, bits, state, to: int, seen):
+def _advance(flat, turns, state, to: int, seen, bits: int):
+    """Walks to the step ``to``, takes the word there into the key and keeps the walks that an item shares."""
     start, place, key, step = state
     while step < to:
-        place = place + (bits[place] >> _U(step) & _U(1)).astype(np.int64)
+        place = place + _move(flat, place, turns[step])
         step += 1
-    key = mix(key ^ flat[place])
-    some = np.flatnonzero(seen[(key & _U((1 << 20) - 1)).astype(np.int64)])
+    key = flat[place] if key is None else mix(key ^ flat[place])
+    some = np.flatnonzero(seen[_slots(key, bits)])
     return start[some], place[some], key[some], step
 
 
@@ -195,6 +195,8 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]], search: Search)
                         continue
                     else:
                         x, y = max(a, start - allowed), min(b, start + len(target) + allowed)
+                        if len(target) - np.isin(target, part[x:y]).sum() > allowed:
+                            continue  # each word of the item that is missing is an edit
                         distance, u, v = best_match(part[x:y], target)
                         if distance > allowed:
                             continue
