@@ -115,7 +115,7 @@ def without_recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_lines"))
     text = F.col(text_col).cast("string")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    joined = docs.join(hits, same, "left")
+    joined = docs.join(hits.hint("merge"), same, "left")  # as many rows as documents: never a broadcast
     split = F.split(text, "\n", -1)
     kept = F.filter(split, lambda x, i: ~F.array_contains("_lines", i))
     return joined.select(
