@@ -237,7 +237,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
             yield pa.record_batch([batch.column(0), _lists(found)], ["doc_id", "tokens"])
 
     tokens = base.select("doc_id", _slot("doc_id"), "text").mapInArrow(sets, "doc_id long, tokens array<long>")
-    tokens = written(tokens.join(role, "doc_id"), "tokens")
+    tokens = written(tokens.join(role.hint("merge"), "doc_id"), "tokens")  # grows with the documents: never a broadcast
 
     # inside each group; the leader's set is a member of each of its chunks
     leaders = tokens.where("chunks is not null").select(
