@@ -1,22 +1,63 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+A stage works on all that the stage before it kept, and its decisions take effect: rejected documents,
+recurring lines, near copies and contaminated documents are gone from its result. All stages but the
+last return the columns of documents. Rows with a null doc_id pass the first three filters and are
+packed; rows of one id are kept or dropped together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearfold.llm import ngram_join
+from nearfold.llm import decontam, fertility, ngram_join, packing, templates
+from nearfold.llm.queries import BYTE_BPE, PIECES
 from nearfold.plans.storage import written
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules by tokeniser fertility: documents that they reject go."""
+    found = fertility.verdicts(docs, "doc_id", "text", "lang", BYTE_BPE, PIECES)
+    return _without(docs, found.where("not kept"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup by template: lines whose template recurs across documents go; n_chars is that of the new text."""
+    clean = templates.without_recurring(docs, "doc_id", "text")
+    changed = clean.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return changed.select(docs.columns)
+
+
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join over five-word shingles at 0.8: of each group the smallest doc_id stays."""
     found = ngram_join.classes(docs, "doc_id", "text", k=5, num=80, den=100)
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, found.where("component_id <> doc_id"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a passage of a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontam.matches(docs, "doc_id", "text", items, "item_id", "text"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing into sequences of at most 1024 tokens: one row per piece."""
+    return packing.pack_documents(docs, "doc_id", "text", BYTE_BPE, end_id=2)
 
 
-STAGES = [("ngram jaccard join", join_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram jaccard join", join_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
 
+#: Tokenisers, similarity and edit distance are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
