@@ -57,7 +57,8 @@ def dct_hash(raster: Column, side: int = 8) -> Column:
 
     def along(values: Column, by_row: bool) -> Column:
         def cell(k: Column) -> Column:
-            line, u = F.floor(k / side).cast("int"), (k % side).cast("int")
+            high, low = F.floor(k / side).cast("int"), (k % side).cast("int")
+            line, u = (high, low) if by_row else (low, high)
             terms = F.transform(
                 F.sequence(F.lit(0), F.lit(side - 1)),
                 lambda x: F.get(F.get(table, u), x) * F.get(values, (line * side + x) if by_row else (x * side + line)),
@@ -70,6 +71,11 @@ def dct_hash(raster: Column, side: int = 8) -> Column:
     return median_hash(along(rows, False), n)
 
 
+def plain_path(origin: Column) -> Column:
+    """The path of an image as file listings spell it: one slash after the scheme of a local file."""
+    return F.regexp_replace(origin, "^file:///", "file:/")
+
+
 def image_hashes(images: DataFrame) -> DataFrame:
     """``(path, width, height, dhash, phash)`` from Spark's image source; images that do not decode have null values.
 
@@ -114,5 +120,5 @@ def image_hashes(images: DataFrame) -> DataFrame:
                     out, pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("dhash", pa.int64()), ("phash", pa.int64())])
                 )
 
-    columns = images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    columns = images.select(plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
     return columns.mapInArrow(run, "path string, width int, height int, dhash long, phash long")

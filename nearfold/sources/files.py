@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from nearfold.functions.fingerprint import plain_path
 from nearfold.functions.scalars import parent_dir
 
 
@@ -26,8 +27,8 @@ def contents(spark: SparkSession, root: str) -> DataFrame:
 def images(spark: SparkSession, root: str) -> DataFrame:
     """Decoded images with ``path``, ``width`` and ``height``; what does not decode keeps its row with null dimensions."""
     read = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
-    known = F.col("image.width") > 0
+    known, path = F.col("image.width") > 0, plain_path(F.col("image.origin"))
     return read.select(
-        "image", F.col("image.origin").alias("path"), parent_dir(F.col("image.origin")).alias("dir"),
+        "image", path.alias("path"), parent_dir(path).alias("dir"),
         F.when(known, F.col("image.width")).alias("width"), F.when(known, F.col("image.height")).alias("height"),
     )
