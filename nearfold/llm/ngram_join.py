@@ -37,6 +37,7 @@ GROUP_SETS = 63
 GROUP_MEAN = 40
 GROUP_TOKENS = 150_000
 QUERIES_PER_TASK = 256
+GROUPS_PER_TASK = 8
 FILTER_BITS = 1 << 25
 _U = np.uint64
 
@@ -294,40 +295,47 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
     return np.array([(x, find(x)) for x in root if find(x) != x], np.int64).reshape(-1, 2)
 
 
+def _block():
+    return F.floor(F.col("chunk") / GROUPS_PER_TASK)
+
+
 def _across(placed: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
     """Links between sets that share a digest but not a component.
 
     Of two such sets the one whose component ranks lower, by size and then by id, queries the group of the other: a
-    large component is asked by what is left outside of it and asks nothing itself.
+    large component is asked by what is left outside of it and asks nothing itself. Groups of one leader are asked
+    GROUPS_PER_TASK at a time, each by its own union.
     """
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
     sizes = placed.select("comp", "doc_id").distinct().groupBy("comp").agg(F.count("*").alias("size"))
     open_ = placed.join(mixed, "sig").join(sizes, "comp")
     open_ = open_.withColumn("rank", F.struct("size", "comp"))
+    open_ = open_.withColumn("block", _block())
     asks = open_.select("sig", "rank", F.col("doc_id").alias("query"), F.col("leader").alias("own"))
-    groups = open_.groupBy("sig", "leader", "chunk").agg(F.max("rank").alias("top"))
-    others = asks.join(groups, "sig").where("own <> leader and rank < top").select("query", "leader", "chunk")
+    groups = open_.groupBy("sig", "leader", "block").agg(F.max("rank").alias("top"))
+    others = asks.join(groups, "sig").where("own <> leader and rank < top").select("query", "leader", "block")
     # followers of one leader share many digests: they meet once by the leader instead of once for each digest
-    tops = groups.groupBy("leader", "chunk").agg(F.max("top").alias("top"))
+    tops = groups.groupBy("leader", "block").agg(F.max("top").alias("top"))
     family = asks.select("own", "query", "rank").distinct()
-    family = family.join(tops, F.col("own") == F.col("leader")).where("rank < top").select("query", "leader", "chunk")
+    family = family.join(tops, F.col("own") == F.col("leader")).where("rank < top").select("query", "leader", "block")
     wanted = others.unionByName(family).distinct()
     wanted = written(wanted, "wanted")
-    load = wanted.groupBy("leader", "chunk").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).alias("parts"))
-    asking = wanted.join(load, ["leader", "chunk"]).select(
-        "leader", "chunk", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"), "query"
+    load = wanted.groupBy("leader", "block").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).alias("parts"))
+    asking = wanted.join(load, ["leader", "block"]).select(
+        "leader", "block", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"), "query"
     )
     bits = _filter(wanted.select(F.col("query").alias("doc_id")))
     asked = tokens.select(F.col("doc_id").alias("query"), _slot("doc_id"), F.col("tokens").alias("asked"))
     asked = asked.mapInArrow(lambda batches: _passing(batches, bits), "query long, slot long, asked array<long>")
     asking = asking.join(asked.drop("slot"), "query")
-    groups = tokens.join(load, ["leader", "chunk"]).select(
-        "leader", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "doc_id", "tokens"
+    groups = tokens.withColumn("block", _block()).join(load, ["leader", "block"]).select(
+        "leader", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "chunk", "doc_id", "tokens"
     )
 
     def opened(group: pa.Table, queries: pa.Table) -> pa.Table:
         a, b = [], []
         if group.num_rows and queries.num_rows:
+            group = group.sort_by("chunk")
             ids, sets = group.column("doc_id").to_numpy(), _sets_of(group, "tokens")
             held = [
                 TokenGroup(ids[i : i + GROUP_SETS + 1], sets[i : i + GROUP_SETS + 1])
@@ -342,8 +350,8 @@ def _across(placed: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     found = (
-        groups.groupBy("leader", "chunk", "part")
-        .cogroup(asking.groupBy("leader", "chunk", "part"))
+        groups.groupBy("leader", "block", "part")
+        .cogroup(asking.groupBy("leader", "block", "part"))
         .applyInArrow(opened, "a long, b long")
     )
     return written(found.distinct(), "across")
