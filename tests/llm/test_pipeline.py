@@ -12,7 +12,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def test_stages_and_run(spark, sf):
     import __spark_entry__
 
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
     items = [WORD.findall(t.translate(LOWER)) for t in pq.read_table(f"{sf}/benchmark.parquet").column("text").to_pylist()]
     state = {r.doc_id: r for r in docs.collect()}
