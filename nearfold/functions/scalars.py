@@ -129,11 +129,12 @@ def visual_confidence(least: Column, threshold: int) -> Column:
 
 
 def format_bytes(value: Column) -> Column:
-    """1.5 KB and so on, base 1024, up to TB."""
+    """1.5 KB and so on, base 1024, up to TB; ties go up."""
     sizes = ["B", "KB", "MB", "GB", "TB"]
     found = F.when(value == 0, F.lit("0 B"))
     for i, unit in enumerate(sizes):
-        text = F.format_string(f"%.1f {unit}", value.cast("double") / F.lit(float(1024**i)))
+        tenths = F.floor(value.cast("double") / F.lit(float(1024**i)) * 10 + 0.5)
+        text = F.format_string(f"%.1f {unit}", tenths.cast("double") / 10)
         found = found.when(value < 1024 ** (i + 1), text) if i + 1 < len(sizes) else found.otherwise(text)
     return F.when(value.isNotNull(), found)
 

@@ -21,7 +21,8 @@ from nearfold.streaming import ingest as streaming
 
 THRESHOLD = 6
 PHOTO_WINDOW = 600
-SHOT_WINDOW = 60
+SHOT_WINDOW = 600
+SHOT_SESSIONS = 20
 NOW = dt.datetime(2024, 6, 1)
 
 
@@ -122,7 +123,7 @@ def banded_pairs(spark, sf_dir):
 
 def shots_bursts(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
-    shots = events.select(F.lit("all").alias("session_id"), F.col("event_id").alias("file_id"), F.col("ts").alias("date_taken"), F.col("event_type").alias("camera"))
+    shots = events.select((F.col("user_id") % SHOT_SESSIONS).cast("string").alias("session_id"), F.col("event_id").alias("file_id"), F.col("ts").alias("date_taken"), F.col("event_type").alias("camera"))
     return cluster.burst_members(shots, SHOT_WINDOW).select("session_id", "group_id", "file_id")
 
 
@@ -467,7 +468,7 @@ ORACLE_SQL = {
   select session_id, a_id, b_id, cast(distance as integer) as distance from ({_pairs("every", True)})""",
     "visual_members": f"with recursive {PHOTOS}, {PRINTS}, {EXACT}, {LEFT}, {VISUAL} select session_id, group_id, file_id, confidence_pct from visual",
     "shots_bursts": f"""with recursive shots as (
-  select 'all' as session_id, event_id as file_id, epoch_us(ts) as us, coalesce(event_type, '|') as camera from events where ts is not null
+  select cast(user_id % {SHOT_SESSIONS} as varchar) as session_id, event_id as file_id, epoch_us(ts) as us, coalesce(event_type, '|') as camera from events where ts is not null
 ), {_bursts("shots", SHOT_WINDOW)} select session_id, group_id, file_id from bursts""",
     "tiered_clusters": f"""with recursive {PHOTOS}, {PRINTS}, {EXACT}, {LEFT}, {VISUAL}, dated as (
   select session_id, file_id, us, camera from rest where us is not null and file_id not in (select file_id from visual)
@@ -516,10 +517,10 @@ union all select 'members', count(*) from exact where session_id <> 'en'""",
     "path_parts": f"""with {INVENTORY} select doc_id, dir, name, stem, ext, lower(stem) || '.' || ext as key, image, ext in ('arw', 'cr2') as raw from kinds""",
     "thumbnail_keys": f"""with {INVENTORY} select doc_id, sha256(encode(path) || unhex(array_to_string(list_transform(range(7, -1, -1),
   lambda i: substr(lpad(to_hex(size), 16, '0'), 2 * i + 1, 2)), ''))) as thumbnail_key from inventory""",
-    "formatted_bytes": f"""with sized as (select doc_id, n_chars * n_chars * n_chars as n from documents)
-select doc_id, case when n = 0 then '0 B' when n < 1024 then printf('%.1f B', n::double) when n < 1048576 then printf('%.1f KB', n / 1024.0::double)
-  when n < 1073741824 then printf('%.1f MB', n / 1048576.0::double) when n < 1099511627776 then printf('%.1f GB', n / 1073741824.0::double)
-  else printf('%.1f TB', n / 1099511627776.0::double) end as shown from sized""",
+    "formatted_bytes": """with sized as (select doc_id, n_chars * n_chars * n_chars as n from documents), scaled as (
+  select doc_id, n, case when n < 1024 then 0 when n < 1048576 then 1 when n < 1073741824 then 2 when n < 1099511627776 then 3 else 4 end as i from sized
+) select doc_id, case when n = 0 then '0 B' else printf('%.1f ', floor(n::double / (1024 ** i)::double * 10 + 0.5) / 10)
+  || list_extract(['B', 'KB', 'MB', 'GB', 'TB'], i + 1) end as shown from scaled""",
     "camera_keys": """with c as (
   select event_id, case when event_id % 3 <> 0 then event_type end as make, case when event_id % 5 <> 0 then 'M' || (user_id % 9) end as model, value from events
 ) select event_id, coalesce(make, '') || '|' || coalesce(model, '') as camera,
