@@ -117,7 +117,8 @@ def without_recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
     joined = docs.join(hits.hint("merge"), same, "left")  # as many rows as documents: never a broadcast
     split = F.split(text, "\n", -1)
-    kept = F.filter(split, lambda x, i: ~F.array_contains("_lines", i))
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_lines"))  # by hash: linear in the lines
+    kept = F.transform(left, lambda i: F.get(split, i))
     return joined.select(
         *(
             (F.when(F.col("_lines").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c))

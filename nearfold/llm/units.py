@@ -132,15 +132,8 @@ def without_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int
     cut = written(repeats(docs, id_col, text_col, min_words), "repeats")
     cut = cut.groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     joined = docs.join(cut, F.col(id_col) == F.col("_of"), "left")
-    kept = F.concat(
-        F.aggregate(
-            "_cut",
-            F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-            lambda s, c: F.struct(
-                F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, c["start"] - s["at"])).alias("out"),
-                c["end"].alias("at"),
-            ),
-            lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))),
-        )
-    )
+    text = F.col(text_col).cast("string")
+    start = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cut", lambda c: c["end"]))
+    end = F.concat(F.transform("_cut", lambda c: c["start"]), F.array(F.length(text).cast("long")))
+    kept = F.array_join(F.zip_with(start, end, lambda a, b: F.substring(text, a + 1, b - a)), "")
     return joined.withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
