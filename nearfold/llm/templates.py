@@ -8,8 +8,10 @@ digits (a name, a title) is generalised too. Each template is one 64-bit key, so
 the tree is a keyed aggregate and no leaf is ever collected.
 
 A template recurs if ``min_docs`` documents or more hold it and they are not mostly copies of each
-other: documents are also counted in classes (by the least hash among their lines, which copies and near
-copies share), and the classes must be at least half as many as the documents.
+other: documents are also counted in classes, the components of near copies, and the classes must be at
+least half as many as the documents. Two texts are near copies if about NEAR of their word pairs are the
+same: their sketches (a least hash for each of BINS) agree in as many places. Only texts that agree in all
+ROWS places of a band are compared, with the least of the band, so no shared line can join other texts.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from nearfold.llm.textbatch import hashes, lines, mix, pieces, spans, utf8
+from nearfold.operators.components import connected_components
 from nearfold.plans.storage import written
 
 LEAD = 3
@@ -26,7 +29,10 @@ LONG = 9
 MIN_DOCS = 5
 _U = np.uint64
 _FIELD = _U(0x2545F4914F6CDD1D)
-KEYS = "doc_id long, text_hash long, class long, line int, keys array<long>"
+BINS = 96
+ROWS = 8
+NEAR = 0.8
+KEYS = "doc_id long, text_hash long, line int, keys array<long>, sketch binary"
 
 
 def line_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,56 +54,104 @@ def line_keys(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[n
     return mix(keys), count
 
 
+def sketches(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The least hash of a word pair in each of BINS bins, for each row; row i has the words rows[i] to rows[i + 1], one at least.
+    An empty bin takes from the next one that is not."""
+    after = np.append(words[1:], _U(0))
+    after[rows[1:] - 1] = 0
+    pairs = mix(words + mix(after))
+    place = np.repeat(np.arange(len(rows) - 1) * BINS, np.diff(rows)) + ((pairs >> _U(32)) % _U(BINS)).astype(np.int64)
+    none = ~_U(0)
+    out = np.full((len(rows) - 1) * BINS, none)
+    np.minimum.at(out, place, pairs)
+    out = out.reshape(-1, BINS)
+    while len(short := np.flatnonzero((out == none).any(1))):
+        some = out[short]
+        taken = np.roll(some, -1, axis=1)
+        out[short] = np.where(some == none, np.where(taken == none, none, mix(taken)), some)
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: document, class of the document, number of the line, template keys."""
+    """One row for each line with a word: document, number of the line, template keys; and one row for each
+    text with a word, with line -1, the keys of the bands of its sketch and the sketch in one byte a bin."""
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for i, j in pieces(offsets, 1 << 20):
                 some, places = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends, _ = spans(some, places)
+                starts, ends, at = spans(some, places)
                 if not len(starts):
                     continue
                 words = hashes(some, starts, ends)
+                full = np.flatnonzero(np.diff(at))
+                sketch = sketches(words, np.append(at[full], len(words)))
+                bands = np.zeros((len(full), BINS // ROWS), _U) + np.arange(BINS // ROWS, dtype=_U)
+                for k in range(ROWS):
+                    bands = mix(bands ^ sketch[:, k::ROWS])
+                yield _rows(batch, full + i, np.full(len(full), -1), np.full(len(full), BINS // ROWS), bands.ravel(), sketch)
                 digits = np.concatenate([[0], np.cumsum((some >= 48) & (some <= 57))])
                 words[digits[ends] > digits[starts]] = _FIELD
-                begin, stop, of = lines(some, places)
+                begin, _, of = lines(some, places)
                 bounds = np.append(np.searchsorted(starts, begin), len(starts))
                 held = np.flatnonzero(np.diff(bounds))
                 keys, count = line_keys(words, bounds[held], np.diff(bounds)[held])
                 row = np.searchsorted(of, held, "right") - 1
-                opens = np.flatnonzero(np.diff(row, prepend=-1))
-                least = np.minimum.reduceat(hashes(some, begin[held], stop[held]), opens).view(np.int64)
-                take = pa.array(row + i)
-                yield pa.record_batch(
-                    [
-                        batch.column(0).take(take),
-                        batch.column(1).take(take),
-                        pa.array(np.repeat(least, np.diff(np.append(opens, len(row))))),
-                        pa.array((held - of[row]).astype(np.int32)),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys.view(np.int64))
-                        ),
-                    ],
-                    ["doc_id", "text_hash", "class", "line", "keys"],
-                )
+                yield _rows(batch, row + i, held - of[row], count, keys)
 
     return docs.mapInArrow(run, KEYS)
 
 
+def _rows(batch, take, line, count, keys, sketch=None) -> pa.RecordBatch:
+    take = pa.array(take)
+    flat = None if sketch is None else [x.tobytes() for x in sketch.astype(np.uint8)]
+    return pa.record_batch(
+        [
+            batch.column(0).take(take),
+            batch.column(1).take(take),
+            pa.array(line.astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(keys.view(np.int64))),
+            pa.nulls(len(take), pa.binary()) if flat is None else pa.array(flat, pa.binary()),
+        ],
+        ["doc_id", "text_hash", "line", "keys", "sketch"],
+    )
+
+
+def _near(batches):
+    for batch in batches:
+        a, b = (np.array(batch.column(k).to_pylist(), f"V{BINS}").view(np.uint8).reshape(-1, BINS) for k in (2, 3))
+        yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((a == b).sum(1) >= NEAR * BINS))
+
+
+def _classes(keyed: DataFrame) -> DataFrame:
+    """(doc_id, class): the component of near copies of each document; copies are one text from the start."""
+    whole = keyed.where("line = -1")
+    texts = written(whole.groupBy("text_hash").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sketches")
+    bands = texts.select("text_hash", F.explode("keys").alias("band"))
+    least = bands.groupBy("band").agg(F.min("text_hash").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
+    pairs = bands.join(least.hint("merge"), "band").where("text_hash <> b").select(F.col("text_hash").alias("a"), "b").distinct()
+    of = lambda end: texts.select(F.col("text_hash").alias(end), F.col("sketch").alias("sketch_" + end)).hint("merge")
+    compared = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    found = connected_components(compared.mapInArrow(_near, "a long, b long"), "a", "b")
+    mine = whole.select("doc_id", "text_hash").join(found.hint("merge"), F.col("text_hash") == F.col("node"), "left")
+    return mine.groupBy("doc_id").agg(F.min(F.coalesce("component", "text_hash")).alias("class"))
+
+
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_hash, lines): for each document the numbers (from 0) of the lines whose template recurs."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     keyed = written(_keyed(rows.where("text is not null")), "line-keys")
-    each = keyed.select("doc_id", "text_hash", "class", "line", F.explode("keys").alias("key"))
+    each = keyed.where("line >= 0").select("doc_id", "text_hash", "line", F.explode("keys").alias("key"))
     # a document counts once for a template, a repeated row once altogether
-    held = each.groupBy("key", "class", "doc_id").agg(F.lit(1).alias("n"))
-    classes = held.groupBy("key", "class").agg(F.sum("n").alias("docs"))
-    found = classes.groupBy("key").agg(F.sum("docs").alias("docs"), F.count("*").alias("classes"))
-    found = found.where((F.col("docs") >= min_docs) & (2 * F.col("classes") >= F.col("docs")))
-    hit = each.join(found.select("key"), "key").select("doc_id", "text_hash", "line").distinct()
+    often = each.groupBy("key", "doc_id").agg(F.lit(1).alias("n")).groupBy("key").agg(F.sum("n").alias("docs"))
+    held = written(each.join(often.where(F.col("docs") >= min_docs), "key"), "held")
+    of = _classes(keyed).withColumnRenamed("doc_id", "_id")
+    places = held.select("key", "docs", "doc_id").distinct().join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = places.groupBy("key", "class").agg(F.first("docs").alias("docs")).groupBy("key")
+    found = found.agg(F.first("docs").alias("docs"), F.count("*").alias("classes")).where(2 * F.col("classes") >= F.col("docs"))
+    hit = held.join(found.select("key"), "key").select("doc_id", "text_hash", "line").distinct()
     return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 

@@ -595,3 +595,31 @@ def test_templates_generalise_fields(spark, awkward, empty):
     assert kept.columns == [*awkward.columns, "n_lines", "n_dropped"] and kept.count() == len(AWKWARD)
     assert kept.where("doc_id = 2").first().text is None
     assert templates.without_recurring(empty, "doc_id", "text").collect() == []
+
+
+def pseudo(rng, n):
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(n))
+
+
+def test_templates_with_any_hash_are_found_in_short_documents(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for s in range(40):  # sources: a header, every third a footer too, over one to four lines of their own
+        header, footer = pseudo(rng, 6), pseudo(rng, 5)
+        for i in range(6):
+            own = [pseudo(rng, 6) for _ in range(1 + (s + i) % 4)]
+            rows.append((len(rows), "\n".join([header, *own, *([footer] if s % 3 == 0 else [])]), "en", len(own)))
+    out = templates.without_recurring(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", min_docs=5).collect()
+    assert all(r.text.count("\n") + 1 == r.start and r.n_lines - r.n_dropped == r.start for r in out)
+
+
+def test_lines_of_near_copies_are_no_templates(spark):
+    rng = np.random.default_rng(12)
+    lines = [pseudo(rng, 8) for _ in range(12)]
+    rows = []
+    for i in range(60):  # each copy has one word of its own in some line
+        text = list(lines)
+        text[i % 12] = text[i % 12].rsplit(" ", 1)[0] + " " + pseudo(rng, 1)
+        rows.append((i, "\n".join(text), "en", 0))
+    out = templates.without_recurring(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", min_docs=5).collect()
+    assert all(r.n_dropped == 0 for r in out)
