@@ -7,9 +7,8 @@ three templates in which one third of the rest is a free field, so a field witho
 digits (a name, a title) is generalised too. Each template is one 64-bit key, so
 the tree is a keyed aggregate and no leaf is ever collected.
 
-A template recurs if ``min_docs`` documents or more hold it and they are not mostly copies of each
-other: documents are also counted in classes, the components of near copies, and the classes must be at
-least half as many as the documents. Two texts are near copies if about NEAR of their word pairs are the
+A template recurs if documents of ``min_docs`` classes or more hold it, a class being a component of near
+copies, which so counts once however large it is. Two texts are near copies if about NEAR of their word pairs are the
 same: their sketches (a least hash for each of BINS) agree in as many places. Only texts that agree in all
 ROWS places of a band are compared, with the least of the band, so no shared line can join other texts.
 """
@@ -29,9 +28,9 @@ LONG = 9
 MIN_DOCS = 5
 _U = np.uint64
 _FIELD = _U(0x2545F4914F6CDD1D)
-BINS = 96
+BINS = 192
 ROWS = 8
-NEAR = 0.8
+NEAR = 0.7
 KEYS = "doc_id long, text_hash long, line int, keys array<long>, sketch binary"
 
 
@@ -146,11 +145,11 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int =
     each = keyed.where("line >= 0").select("doc_id", "text_hash", "line", F.explode("keys").alias("key"))
     # a document counts once for a template, a repeated row once altogether
     often = each.groupBy("key", "doc_id").agg(F.lit(1).alias("n")).groupBy("key").agg(F.sum("n").alias("docs"))
-    held = written(each.join(often.where(F.col("docs") >= min_docs), "key"), "held")
+    held = written(each.join(often.where(F.col("docs") >= min_docs).select("key"), "key"), "held")
     of = _classes(keyed).withColumnRenamed("doc_id", "_id")
-    places = held.select("key", "docs", "doc_id").distinct().join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    found = places.groupBy("key", "class").agg(F.first("docs").alias("docs")).groupBy("key")
-    found = found.agg(F.first("docs").alias("docs"), F.count("*").alias("classes")).where(2 * F.col("classes") >= F.col("docs"))
+    places = held.select("key", "doc_id").distinct().join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    classes = places.select("key", "class").distinct().groupBy("key").agg(F.count("*").alias("classes"))
+    found = classes.where(F.col("classes") >= min_docs)
     hit = held.join(found.select("key"), "key").select("doc_id", "text_hash", "line").distinct()
     return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 

@@ -623,3 +623,12 @@ def test_lines_of_near_copies_are_no_templates(spark):
         rows.append((i, "\n".join(text), "en", 0))
     out = templates.without_recurring(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", min_docs=5).collect()
     assert all(r.n_dropped == 0 for r in out)
+
+
+def test_copies_elsewhere_do_not_keep_a_template(spark):
+    rng = np.random.default_rng(13)
+    shared, group = pseudo(rng, 6), [pseudo(rng, 8) for _ in range(9)]
+    rows = [(i, "\n".join([shared, *(pseudo(rng, 8) for _ in range(3))]), "en", 3) for i in range(8)]
+    rows += [(100 + i, "\n".join([shared, *group[:-1], group[-1].rsplit(" ", 1)[0] + " " + pseudo(rng, 1)]), "en", 9) for i in range(60)]
+    out = templates.without_recurring(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", min_docs=5).collect()
+    assert len(out) == 68 and all(r.n_dropped == 1 and shared not in r.text and r.text.count("\n") + 1 == r.start for r in out)
