@@ -6,12 +6,14 @@ its offsets in the original text. A unit is
 
 * a \n-split line of at least ``min_words`` words, and
 * for each cut, the words from it to the first cut at least ``min_words`` words on. A cut
-  lies after a word that ends a sentence or whose hash is 0 modulo CUT, and at line starts,
-  so a passage has the same cuts wherever it stands. Line hashing alone misses passages
+  lies after a word that ends a sentence and, in every run of ``span(min_words)`` words without such a
+  word, after those of the least hash; and at line starts. So a passage with the same line breaks
+  has the same cuts wherever it stands, but for its first and last span less one words, and
+  no cut is more than a span from the next. Line hashing alone misses passages
   that begin or end within a line.
 
-A passage of over ``2 * min_words`` words that stands in two places loses its later
-occurrence but for the words before its first and after its last cut.
+A passage of ``2 * min_words`` words or more holds a whole unit. Where it stands in two places, the later
+occurrence goes but for the words before its first and after its last common cut.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from nearfold.llm.textbatch import LOWER, hashes, lines, mix, pieces, spans, utf8
 from nearfold.plans.storage import written
 
-CUT = 16
 MIN_WORDS = 25
 _U = np.uint64
 _K = _U(0xD6E8FEB86659FD93)
@@ -43,12 +44,32 @@ def _runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix((total[last] - total[first]) * down[first] + (last - first).astype(_U))
 
 
+def span(min_words: int) -> int:
+    """The greatest distance of cuts: the two ends of a unit are then chosen by spans inside any 2 * min_words words."""
+    return max(1, (min_words + 2) // 3)
+
+
+def _least(words: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Marks the words of the least hash in every run of ``width`` words that holds none of ``ends``."""
+    marked = np.zeros(len(words), bool)
+    if len(words) < width:
+        return marked
+    upto = np.concatenate([[0], np.cumsum(ends)])
+    runs = np.flatnonzero(upto[width:] == upto[:-width])
+    least = np.lib.stride_tricks.sliding_window_view(words, width)[runs].min(1) if len(runs) else words[:0]
+    for k in range(width):  # equal words of a run are all marked
+        place = runs + k
+        marked[place[words[place] == least]] = True
+    return marked
+
+
 def row_units(data: np.ndarray, starts, ends, words, line_first, min_words: int):
     """(digest, start byte, end byte) of the units of one row. ``line_first``: number of each line's first word, ascending."""
     n = len(words)
     if n < min_words:
         return None
-    stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8)) | (words % _U(CUT) == 0)
+    stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+    stop |= _least(words, stop, span(min_words))
     cuts = np.unique(np.concatenate([[0], np.flatnonzero(stop) + 1, line_first, [n]]))
     to = np.searchsorted(cuts, cuts + min_words)
     some = to < len(cuts)

@@ -632,3 +632,17 @@ def test_copies_elsewhere_do_not_keep_a_template(spark):
     rows += [(100 + i, "\n".join([shared, *group[:-1], group[-1].rsplit(" ", 1)[0] + " " + pseudo(rng, 1)]), "en", 9) for i in range(60)]
     out = templates.without_recurring(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", min_docs=5).collect()
     assert len(out) == 68 and all(r.n_dropped == 1 and shared not in r.text and r.text.count("\n") + 1 == r.start for r in out)
+
+
+def test_every_passage_of_51_words_holds_a_unit(spark):
+    rng = np.random.default_rng(14)
+    rows, sizes = [], {}
+    for i in range(120):
+        passage = pseudo(rng, 51 + i % 10)
+        for k in range(2):
+            rows.append((2 * i + k, " ".join([pseudo(rng, 40), passage, pseudo(rng, 40)]), "en", 0))
+        sizes[2 * i + 1] = len(passage.split())
+    out = {r.doc_id: len(r.text.split()) for r in units.without_repeats(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}
+    for i, _, _, _ in rows:
+        cut = 40 + 40 + sizes.get(i, 0) - out[i] if i % 2 else 0
+        assert (units.MIN_WORDS <= cut <= sizes[i]) if i % 2 else out[i] >= 131
