@@ -646,3 +646,28 @@ def test_every_passage_of_51_words_holds_a_unit(spark):
     for i, _, _, _ in rows:
         cut = 40 + 40 + sizes.get(i, 0) - out[i] if i % 2 else 0
         assert (units.MIN_WORDS <= cut <= sizes[i]) if i % 2 else out[i] >= 131
+
+
+def recall(n, places, edits):
+    """The share of 150 random items of n words that are candidates after ``edits`` edits, or a change of the word at ``places``."""
+    rng = np.random.default_rng(n * 31 + edits)
+    draw = lambda k: rng.integers(1, 1 << 63, k).astype(np.uint64)
+    items = [draw(n) for _ in range(150)]
+    parts, starts, at = [], [], 0
+    for item in items:
+        words = item.tolist()
+        for p in places or sorted(rng.choice(n, edits, replace=False).tolist(), reverse=True):
+            kind = 0 if places else int(rng.integers(3))
+            words[p : p + (kind != 1)] = [] if kind == 2 else [int(draw(1)[0])]
+        parts += [draw(80), np.array(words, np.uint64)]
+        starts.append(at + 80)
+        at += 80 + len(words)
+    flat = np.concatenate([*parts, draw(400)])
+    tables = decontam.Tables(items, decontam.Search())
+    hits = tables.candidates(np.concatenate([flat, np.zeros(64, np.uint64)]), len(flat)).tolist()
+    return len({i for s, i in hits if abs(s - starts[i]) <= max(1, edits)}) / 150
+
+
+@pytest.mark.parametrize("n", [20, 30, 40, 59, 100, 200])
+def test_decontamination_recall_at_the_largest_distance(n):
+    assert recall(n, [], n // 10) >= 0.95
