@@ -9,7 +9,8 @@ candidate is verified by edit distance.
 
 A window starts at every word and has an item's size. Items are taken in classes by size and only
 steps below the smallest size of the class are sampled, so a walk never leaves a window of
-that class and one walk serves all the sizes in it. The first sampled step is common to the
+that class and one walk serves all the sizes in it. The first sampled step is one of FIRST in turn, and at most a
+fifth of the smallest size, so that no early word decides; it is common to the larger
 classes, and a walk ends as soon as no item has the words sampled so far: most windows
 end at their first sample.
 """
@@ -28,6 +29,7 @@ _U = np.uint64
 ITEM_BLOCK = 20_000
 CLASS_SIZES = (1, 2, 4, 8, 14, 20, 28, 40, 60)
 COMMON = 14
+FIRST = (0, 1, 2, 4, 6, 8)
 MATCHES = "doc_id long, item_id long, start_word long, end_word long, distance int"
 
 
@@ -80,14 +82,14 @@ class Tables:
         at = np.cumsum([0, *size[:-1]]) if len(words) else np.zeros(0, np.int64)
         self.plans: list[list[tuple]] = []
         for r in range(search.repetitions):
-            turns, first, plans = self._turns(r), (r % 3) // 2, []  # steps 0, 0 and 1 come first in turn
+            turns, first, plans = self._turns(r), FIRST[r % len(FIRST)], []
             for c, low in enumerate(CLASS_SIZES):
                 high = CLASS_SIZES[c + 1] if c + 1 < len(CLASS_SIZES) else 1 << 60
                 mine = np.flatnonzero((size >= low) & (size < high))
                 if not len(mine):
                     continue
                 rng = np.random.default_rng([search.seed, r, c])
-                steps = _steps(rng, min(first, low - 1), low, search.samples)
+                steps = _steps(rng, min(first, low // 5), low, search.samples)
                 place, key, step, filters = at[mine].copy(), np.zeros(len(mine), _U), 0, []
                 for s in steps:
                     while step < s:

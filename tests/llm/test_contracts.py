@@ -671,3 +671,9 @@ def recall(n, places, edits):
 @pytest.mark.parametrize("n", [20, 30, 40, 59, 100, 200])
 def test_decontamination_recall_at_the_largest_distance(n):
     assert recall(n, [], n // 10) >= 0.95
+
+
+@pytest.mark.parametrize("n", [20, 59, 200])
+@pytest.mark.parametrize("place", [0, -1])
+def test_decontamination_recall_with_another_first_or_last_word(n, place):
+    assert recall(n, [place % n], 1) >= 0.95
