@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from nearfold.plans.storage import written
+from nearfold.plans.storage import scratch, written
 
 MAX_ROUNDS = 60
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step (Kiveris et al., 2014). Edges are (hi, lo) with hi > lo."""
+    """One large-star and one small-star step (Kiveris et al., 2014). Edges are (hi, lo) with hi > lo.
+
+    The least neighbours are written before they are joined: both sides of the join then come straight from a shuffle, and
+    Spark can split the rows of a hub.
+    """
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = (
-        both.where("v > u")
-        .join(least, "u")
-        .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        .distinct()
-    )
-    low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    large = both.where("v > u").join(written(least, "least"), "u")
+    large = written(large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+    low = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
     joined = large.join(low, "hi")
     return (
         joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
@@ -43,6 +43,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     joins and aggregates on the edge table only; the number of rounds grows with
     the logarithm of the longest chain. Raises after MAX_ROUNDS rounds.
     """
+    with scratch(edges.sparkSession) as kept:
+        return kept(_components(edges, a, b), "components")
+
+
+def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     pairs = written(pairs.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "edges")
     loops = pairs.where("hi = lo").select(F.col("hi").alias("node"))
