@@ -1,28 +1,27 @@
 """N-gram Jaccard self-join through a token-group matrix.
 
-Documents are sets of word shingles; two are linked when |A n B| / |A u B| >= threshold.
+Documents are sets of word shingles; two are linked when |A n B| / |A u B| >= t = num / den.
 The join returns classes of linked documents, not pairs, and loses no link:
 
-1. ``signatures``: a set is cut by hash range into k ranges. Linked sets differ in at most
-   d elements, so of k > d ranges at least k - d are equal in both; the digests of the
-   ranges are the join keys. k is fixed for a class of sizes, and a set also takes part in
-   the next larger class. Ranges that hold nothing are used only by sets with so many
-   empty ranges that the equal ones might all be empty.
-2. ``groups``: sets that share a digest follow the smallest id among them; the followers
-   of one leader, in chunks of at most GROUP_SETS, are a group of similar sets. A
-   group keeps its token union, each token with a bit mask of the members that hold it
-   (a row of the token-group matrix). Links inside a group come from those masks.
-3. ``queries``: where sets that share a digest are still in different components, the
-   sets of the smaller one query the groups of the other: the overlap with the union
-   bounds the overlap with any member, and only groups within the bound are opened.
-
-Copies are one set throughout. Every step is a keyed join or aggregate on digests and
-ids; token sets are read for sets that share a digest with another set, no others.
+1. ``sets``: documents of equal sets are one set from here on.
+2. ``rare_tokens``: in any one order of all tokens, linked sets share one of the first
+   n - ceil(t * n) + 1 tokens of each. The order puts a fixed share of the hash range first, by the
+   number of sets that hold a token, then the other tokens by hash; so only that share has to be
+   counted. A token that one set holds cannot link it, and most sets have enough of those to be out at once.
+3. ``groups``: a set follows the smallest set of the rare token it shares most such leaders by; the followers of
+   one leader, in chunks of at most GROUP_SETS, are a group of similar sets. A group keeps its token union,
+   each token with a bit mask of the members that hold it (a row of the token-group matrix).
+4. Links. Inside a group, a member is opened if the rest of the union holds enough of it. Across groups, a set queries a
+   group if the rare tokens that it shares with the group's leave room for a link (``_across``), the overlap
+   with the whole union is asked next, and only groups within that bound are opened. A set asks only groups of larger
+   components, so a large group of near copies is not compared all with all.
+
+Every step is a keyed join or aggregate on hashes and ids; aggregates are written before they are joined, so
+that Spark can split a hot key. Whole token sets are read for sets that share a rare token with another set, no others.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from nearfold.llm.textbatch import LOWER, hashes, mix, pieces, shingles, spans, utf8
 from nearfold.operators.components import connected_components
-from nearfold.plans.storage import written
+from nearfold.plans.storage import scratch, written
 
+COUNTED = 1.5  # the counted share of the hash range, in units of 1 - t: a little more than the rare tokens that are wanted
 GROUP_SETS = 63
 GROUP_MEAN = 40
 GROUP_TOKENS = 150_000
@@ -42,48 +42,6 @@ FILTER_BITS = 1 << 25
 _U = np.uint64
 
 
-def size_classes(num: int, den: int, top: int) -> list[tuple[int, int, int, int]]:
-    """(smallest size, largest size, d, k) of each class up to ``top``; partners of a set are at most one class away."""
-    found, low = [], 1
-    while not found or found[-1][1] < top:
-        high = max(low, (low * den) // num) if low > 1 else 1
-        least = max(1, (low * num) // den)
-        d = (2 * high * (den - num)) // (den + num)
-        k = d + 1
-        while d and k - d < 1 + 2 * k * math.exp(-least / k) and k < least:
-            k += 1
-        found.append((low, high, d, k))
-        low = high + 1
-    return found
-
-
-class Signer:
-    """The digests of token sets for one threshold."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.classes = num, den, []
-
-    def _class(self, n: int) -> int:
-        if not self.classes or self.classes[-2][1] < n:
-            self.classes = size_classes(self.num, self.den, 2 * n + 64)
-            self.highs = np.array([c[1] for c in self.classes])
-        return int(np.searchsorted(self.highs, n))
-
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        """``tokens``: sorted distinct hashes, at least one."""
-        mine, mixed, parts = self._class(len(tokens)), mix(tokens), []
-        for j in (mine, mine + 1):
-            _, _, d, k = self.classes[j]
-            place = ((tokens >> _U(32)) * _U(k)) >> _U(32)
-            at = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-            held = place[at]
-            parts.append(np.add.reduceat(mixed, at) + mix(held + _U(j << 32)))
-            if len(held) <= d:
-                empty = np.setdiff1d(np.arange(k, dtype=_U), held)
-                parts.append(mix(empty + _U(j << 32)) ^ _U(0x5555555555555555))
-        return mix(np.concatenate(parts)).view(np.int64)
-
-
 def token_sets(column, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z as a-z."""
     data, offsets = utf8(column)
@@ -96,23 +54,41 @@ def token_sets(column, k: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, sigs): set size, a 128-bit digest of the set and the join keys of each document."""
+    """(doc_id, n, fp1, fp2, spare, counted, first): set size, a 128-bit digest of the set, the rare tokens wanted less those in
+    the counted share, and the tokens by hash, those of the counted share (``counted`` many) or as many as are wanted."""
+    share = _U(min((1 << 64) - 1, int((1 << 64) * COUNTED * (den - num) / den)))
 
     def run(batches):
-        sign = Signer(num, den)
         for batch in batches:
-            rows = [[], [], [], []]
+            rows, firsts = [[], [], [], [], []], []
             for s in token_sets(batch.column(1), k):
-                rows[0].append(len(s))
+                n, counted = len(s), int(np.searchsorted(s, share))
+                wanted = n - -(-num * n // den) + 1 if n else 0
+                rows[0].append(n)
                 rows[1].append(int(np.add.reduce(mix(s))) - (1 << 63))
                 rows[2].append(int(np.add.reduce(mix(s ^ _U(0xA5A5A5A5A5A5A5A5)))) - (1 << 63))
-                rows[3].append(sign(s) if len(s) else np.zeros(0, np.int64))
+                rows[3].append(wanted - counted)
+                rows[4].append(counted)
+                firsts.append(s[: max(counted, wanted)])
             yield pa.record_batch(
-                [batch.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), _lists(rows[3])],
-                ["doc_id", "n", "fp1", "fp2", "sigs"],
+                [batch.column(0), *(pa.array(r, pa.int64()) for r in rows), _lists(firsts)],
+                ["doc_id", "n", "fp1", "fp2", "spare", "counted", "first"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, spare long, counted long, first array<long>")
+
+
+def rare_tokens(sets: DataFrame) -> DataFrame:
+    """(doc_id, sig): the first tokens of each set in the order of the join, but for those that no other set holds."""
+    every = sets.select("doc_id", "spare", "counted", F.posexplode("first").alias("place", "sig"))
+    often = written(every.groupBy("sig").agg(F.count("*").alias("held")).where("held > 1"), "often")
+    shared = every.select("doc_id", "spare", (F.col("place") < F.col("counted")).alias("inside"), "sig").join(often.hint("merge"), "sig")
+    one = F.struct("held", "sig")
+    each = shared.groupBy("doc_id", "spare").agg(
+        F.array_sort(F.collect_list(F.when(F.col("inside"), one))).alias("inside"), F.collect_list(F.when(~F.col("inside"), F.col("sig"))).alias("rest")
+    )
+    least = F.transform(F.slice("inside", 1, F.greatest(F.col("spare") + F.size("inside"), F.lit(0)).cast("int")), lambda x: x["sig"])
+    return each.select("doc_id", F.explode(F.concat(least, "rest")).alias("sig"))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -141,11 +117,18 @@ class TokenGroup:
     def _bits(self, masks: np.ndarray) -> np.ndarray:
         return np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : len(self.ids)]
 
-    def inner(self) -> np.ndarray:
-        """The size of the intersection of every two members."""
+    def inner(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Linked members, two by two. Members of which the others' union holds too little are not compared."""
         masks, count = np.unique(self.masks, return_counts=True)
-        bits = self._bits(masks).astype(np.float64)
-        return np.rint((bits * count[:, None]).T @ bits).astype(np.int64)
+        bits = self._bits(masks)
+        held = bits[bits.sum(axis=1) > 1].astype(np.float64)
+        count = count[bits.sum(axis=1) > 1].astype(np.float64)
+        opened = np.flatnonzero((den + num) * (count @ held) >= num * (self.sizes + self.sizes.min()))
+        some = held[:, opened]
+        both = np.rint((some * count[:, None]).T @ some).astype(np.int64)
+        size = self.sizes[opened]
+        x, y = np.nonzero(np.triu(_linked(both, size[:, None], size[None, :], num, den), 1))
+        return self.ids[opened[x]], self.ids[opened[y]]
 
     def open(self, query: np.ndarray, num: int, den: int) -> np.ndarray:
         """The members linked with ``query``; none, and no member looked at, if the union's overlap is too small."""
@@ -200,50 +183,68 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     their names, and an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sig = written(signatures(base, num, den, k), "signatures")
-    named = sig.where("doc_id is not null and n > 0")
+    with scratch(docs.sparkSession) as kept:
+        sig = written(signatures(base, num, den, k), "signatures")
+        place = kept(_places(base, sig, num, den, k), "places")
+        sizes = kept(sig.select("doc_id", "n"), "sizes")
+    return sizes.join(place.hint("merge"), "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    )
 
-    def shared(rows: DataFrame) -> DataFrame:
-        """Rows (sig, doc_id) whose digest two or more ids have."""
-        lists = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        return rows.join(lists.select("sig", "lo"), "sig")
 
-    first = (
-        named.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
-    )
-    copies = written(
-        named.join(first.select("n", "fp1", "fp2", "rep"), ["n", "fp1", "fp2"]).select("doc_id", "rep").distinct(), "copies"
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, sig) of tokens that two or more sets have, with the smallest of these as ``lo``."""
+    lists = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    return rows.join(written(lists.select("sig", "lo"), "lists").hint("merge"), "sig")
+
+
+def _numbers(count: str):
+    """The numbers below a count, in two steps, so that no row holds a long list."""
+    return lambda df, name: (
+        df.withColumn("_far", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / 4096))))
+        .withColumn(name, F.explode(F.sequence(F.col("_far") * 4096, F.least(F.col("_far") * 4096 + 4095, F.col(count) - 1))))
+        .drop("_far")
     )
-    exploded = named.select("doc_id", F.explode("sigs").alias("sig"))
-    some = written(shared(exploded), "shared")
-
-    # copies leave here: the least id of a digest is never one, so every leader is a set of its own
-    leader = some.groupBy("doc_id").agg(F.min("lo").alias("leader"))
-    leader = leader.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    sizes = named.groupBy("doc_id").agg(F.max("n").alias("n"))
-    leader = written(leader.join(sizes, "doc_id"), "leaders")
+
+
+def _places(base: DataFrame, sig: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """(doc_id, component) of every document that is linked with another."""
+    named = sig.where("doc_id is not null and n > 0")
+    digest = ["n", "fp1", "fp2"]
+    sets = named.groupBy(*digest).agg(
+        F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("spare").alias("spare"),
+        F.first("counted").alias("counted"), F.first("first").alias("first"),
+    )
+    sets = written(sets, "sets")
+    first = sets.where("doc_id < last").select(*digest, F.col("doc_id").alias("rep"))
+    copies = written(named.select("doc_id", *digest).join(first.hint("merge"), digest).where("doc_id <> rep").select("doc_id", "rep"), "copies")
+    some = written(_shared(written(rare_tokens(sets), "rare")), "shared")
+
+    votes = some.groupBy("doc_id", "lo").agg(F.count("*").alias("n"))
+    leader = votes.groupBy("doc_id").agg(F.max_by("lo", F.struct("n", -F.col("lo"))).alias("leader"))
+    leader = written(leader.join(sets.select("doc_id", "n").hint("merge"), "doc_id"), "leaders")
     counts = leader.groupBy("leader").agg(
-        F.greatest(F.ceil(F.count("*") / GROUP_MEAN), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks")
+        F.greatest(F.ceil(F.count("*") / GROUP_MEAN), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks"), F.max("doc_id").alias("last")
     )
-    led = leader.join(counts, "leader").select(
-        "doc_id", "leader", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk")
+    counts = written(counts.where("leader <> last or chunks > 1"), "counts")
+    led = leader.join(counts.drop("last").hint("merge"), "leader", "left").select(
+        "doc_id", "n", "leader", F.pmod(F.xxhash64("doc_id"), F.coalesce("chunks", F.lit(1))).alias("chunk")
     )
-    chunks = led.where("doc_id <> leader").groupBy("leader").agg(F.collect_set("chunk").alias("chunks"))
-    role = led.join(chunks.withColumnRenamed("leader", "doc_id"), "doc_id", "left")  # its own group; the groups that it leads
+    led = written(led, "led")
+    role = led.join(counts.select(F.col("leader").alias("doc_id"), "chunks").hint("merge"), "doc_id", "left")  # its own group; the groups that it leads
     bits = _filter(leader.select("doc_id"))
 
-    def sets(batches):
+    def sets_of(batches):
         for batch in _passing(batches, bits):
             found = [s.view(np.int64) for s in token_sets(batch.column(2), k)]
             yield pa.record_batch([batch.column(0), _lists(found)], ["doc_id", "tokens"])
 
-    tokens = base.select("doc_id", _slot("doc_id"), "text").mapInArrow(sets, "doc_id long, tokens array<long>")
+    tokens = base.select("doc_id", _slot("doc_id"), "text").mapInArrow(sets_of, "doc_id long, tokens array<long>")
     tokens = written(tokens.join(role.hint("merge"), "doc_id"), "tokens")  # grows with the documents: never a broadcast
 
     # inside each group; the leader's set is a member of each of its chunks
-    leaders = tokens.where("chunks is not null").select(
-        F.col("doc_id").alias("leader"), F.explode("chunks").alias("chunk"), "doc_id", "tokens"
-    )
+    leaders = _numbers("chunks")(tokens.where("chunks is not null").select("doc_id", "tokens", "chunks"), "chunk")
+    leaders = leaders.select(F.col("doc_id").alias("leader"), "chunk", "doc_id", "tokens")
     members = tokens.where("doc_id <> leader").select("leader", "chunk", "doc_id", "tokens")
 
     def inside(table: pa.Table) -> pa.Table:
@@ -253,10 +254,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
         found = [np.zeros((0, 2), np.int64)]
         for i in range(0, len(rest), GROUP_SETS):  # an uneven deal may pass the size; the leader joins each part
             rows = np.concatenate([lead, rest[i : i + GROUP_SETS]])
-            group = TokenGroup(ids[rows], [sets_[r] for r in rows])
-            both = group.inner()
-            x, y = np.nonzero(np.triu(_linked(both, group.sizes[:, None], group.sizes[None, :], num, den), 1))
-            found.append(np.stack([group.ids[x], group.ids[y]], 1))
+            found.append(np.stack(TokenGroup(ids[rows], [sets_[r] for r in rows]).inner(num, den), 1))
         pairs = _forest(np.concatenate(found))
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -265,18 +263,15 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, num: int =
     near = connected_components(links, "a", "b")
     placed = written(
         some.select("sig", "doc_id")
-        .join(led, "doc_id")
-        .join(near, F.col("doc_id") == F.col("node"), "left")
-        .select("sig", "doc_id", "leader", "chunk", F.coalesce("component", "doc_id").alias("comp")),
+        .join(led.hint("merge"), "doc_id")
+        .join(near.hint("merge"), F.col("doc_id") == F.col("node"), "left")
+        .select("sig", "doc_id", "n", "leader", "chunk", F.coalesce("component", "doc_id").alias("comp")),
         "placed",
     )
     more = _across(placed, tokens, num, den)
-    ends = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    ends = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     every = connected_components(links.unionByName(more).unionByName(ends), "a", "b")
-    place = every.select(F.col("node").alias("doc_id"), "component")
-    return sig.join(place, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    return every.select(F.col("node").alias("doc_id"), "component")
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:
@@ -299,8 +294,20 @@ def _block():
     return F.floor(F.col("chunk") / GROUPS_PER_TASK)
 
 
+def _room(hits, n, least, most, num: int, den: int):
+    """Whether a set of size ``n`` that shares ``hits`` rare tokens with a group of sets of ``least`` to ``most`` tokens may be linked with one.
+
+    The rare tokens of the set or of the member, whichever end first, are all counted, so at most hits + t * (the larger size)
+    tokens are in both; a link needs t / (1 + t) of the two sizes. The bound is least for the member nearest to a size at its limit.
+    """
+    room = (num + den) * den * hits
+    larger = (most >= n) & (room >= num * F.greatest(den * n - num * most, F.lit(0)))
+    smaller = (least <= n) & (room >= num * F.greatest(den * least - num * n, F.lit(0)))
+    return larger | smaller
+
+
 def _across(placed: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between sets that share a digest but not a component.
+    """Links between sets that share a rare token but not a component.
 
     Of two such sets the one whose component ranks lower, by size and then by id, queries the group of the other: a
     large component is asked by what is left outside of it and asks nothing itself. Groups of one leader are asked
@@ -308,29 +315,31 @@ def _across(placed: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
     """
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
     sizes = placed.select("comp", "doc_id").distinct().groupBy("comp").agg(F.count("*").alias("size"))
-    open_ = placed.join(mixed, "sig").join(sizes, "comp")
-    open_ = open_.withColumn("rank", F.struct("size", "comp"))
-    open_ = open_.withColumn("block", _block())
-    asks = open_.select("sig", "rank", F.col("doc_id").alias("query"), F.col("leader").alias("own"))
-    groups = open_.groupBy("sig", "leader", "block").agg(F.max("rank").alias("top"))
-    others = asks.join(groups, "sig").where("own <> leader and rank < top").select("query", "leader", "block")
-    # followers of one leader share many digests: they meet once by the leader instead of once for each digest
-    tops = groups.groupBy("leader", "block").agg(F.max("top").alias("top"))
-    family = asks.select("own", "query", "rank").distinct()
-    family = family.join(tops, F.col("own") == F.col("leader")).where("rank < top").select("query", "leader", "block")
+    open_ = placed.join(written(mixed, "mixed").hint("merge"), "sig").join(written(sizes, "comps").hint("merge"), "comp")
+    open_ = written(open_.withColumn("rank", F.struct("size", "comp")).withColumn("block", _block()), "open")
+    asks = open_.select("sig", "rank", "n", F.col("doc_id").alias("query"), F.col("leader").alias("own"))
+    groups = written(open_.groupBy("sig", "leader", "block").agg(F.max("rank").alias("top")), "groups")
+    others = asks.join(groups.hint("merge"), "sig").where("own <> leader and rank < top")
+    others = others.groupBy("query", "n", "leader", "block").agg(F.count("*").alias("hits"))
+    spans = open_.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    others = others.join(written(spans, "spans").hint("merge"), ["leader", "block"])
+    others = others.where(_room(F.col("hits"), F.col("n"), F.col("least"), F.col("most"), num, den)).select("query", "leader", "block")
+    # followers of one leader share many tokens: they meet once by the leader instead of once for each token
+    tops = written(groups.groupBy("leader", "block").agg(F.max("top").alias("top")), "tops")
+    family = written(asks.select("own", "query", "rank").distinct(), "family")
+    family = family.join(tops.hint("merge"), F.col("own") == F.col("leader")).where("rank < top").select("query", "leader", "block")
     wanted = others.unionByName(family).distinct()
     wanted = written(wanted, "wanted")
-    load = wanted.groupBy("leader", "block").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).alias("parts"))
-    asking = wanted.join(load, ["leader", "block"]).select(
+    load = written(wanted.groupBy("leader", "block").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).alias("parts")), "load")
+    asking = wanted.join(load.hint("merge"), ["leader", "block"]).select(
         "leader", "block", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"), "query"
     )
     bits = _filter(wanted.select(F.col("query").alias("doc_id")))
     asked = tokens.select(F.col("doc_id").alias("query"), _slot("doc_id"), F.col("tokens").alias("asked"))
     asked = asked.mapInArrow(lambda batches: _passing(batches, bits), "query long, slot long, asked array<long>")
     asking = asking.join(asked.drop("slot"), "query")
-    groups = tokens.withColumn("block", _block()).join(load, ["leader", "block"]).select(
-        "leader", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "chunk", "doc_id", "tokens"
-    )
+    groups = tokens.withColumn("block", _block()).join(load.hint("merge"), ["leader", "block"])
+    groups = _numbers("parts")(groups, "part").select("leader", "block", "part", "chunk", "doc_id", "tokens")
 
     def opened(group: pa.Table, queries: pa.Table) -> pa.Table:
         a, b = [], []

@@ -109,21 +109,41 @@ def test_large_group_of_near_copies(spark):
     assert found == brute_components(texts, 1, 85, 100)
 
 
-def test_signatures_keep_every_link():
-    rng = np.random.default_rng(3)
+def test_rare_tokens_keep_every_link(spark):
+    """In any order of the tokens, linked sets share one of their first tokens, and the bound on a group leaves them room."""
+    rng, rows = np.random.default_rng(3), []
     for num in (50, 80, 90):
-        sign = ngram_join.Signer(num, 100)
-        for _ in range(400):
+        for _ in range(300):
             n = int(rng.integers(1, 120))
-            a = set(rng.integers(0, 1 << 63, n).tolist())
+            a = set(rng.integers(0, 1000, n).tolist())
             b = set(a)
-            for x in list(a)[: int(rng.integers(0, max(1, n // 5) + 1))]:
+            for x in list(a)[: int(rng.integers(0, max(1, n // 4) + 1))]:
                 b.discard(x)
                 if rng.random() < 0.5:
-                    b.add(int(rng.integers(0, 1 << 63)))
+                    b.add(int(rng.integers(0, 1000)))
             if b and 100 * len(a & b) >= num * len(a | b):
-                x, y = (sign(np.array(sorted(s), np.uint64)) for s in (a, b))
-                assert np.intersect1d(x, y).size, (num, len(a), len(b))
+                order = rng.permutation(1000)
+                first = [set(sorted(s, key=lambda x: order[x])[: len(s) - -(-num * len(s) // 100) + 1]) for s in (a, b)]
+                rows.append((num, len(first[0] & first[1]), len(a), len(b)))
+    assert min(r[1] for r in rows) > 0
+    df = spark.createDataFrame(rows, "num long, hits long, n long, m long")
+    col = ngram_join.F.col
+    for num in (50, 80, 90):
+        some = df.where(col("num") == num)
+        assert some.where(~ngram_join._room(col("hits"), col("n"), col("m"), col("m"), num, 100)).isEmpty()
+        assert some.where(~ngram_join._room(col("hits"), col("n"), col("m") - 5, col("m") + 9, num, 100)).isEmpty()
+    assert spark.sql("select 1 hits, 100 n, 100 m").where(ngram_join._room(col("hits"), col("n"), col("m"), col("m"), 80, 100)).isEmpty()
+
+
+def test_group_opens_members_within_the_bound():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 150, int(n))).astype(np.uint64) for n in rng.integers(20, 90, 30)]
+    sets += [np.setdiff1d(s, s[:2]) for s in sets[:10]]
+    group = ngram_join.TokenGroup(np.arange(40), sets)
+    linked = {(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert set(zip(*(x.tolist() for x in group.inner(80, 100)))) == linked and len(linked) >= 10
+    for i in range(40):
+        assert set(group.open(sets[i], 80, 100).tolist()) == {j for j in range(40) if i == j or tuple(sorted((i, j))) in linked}
 
 
 def test_join_awkward_rows(awkward, empty):
