@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from nearfold.llm.textbatch import LOWER, hashes, mix, pieces, shingles, spans, utf8
+from nearfold.llm.textbatch import LOWER, filter_bits, hashes, mix, passing, pieces, shingles, spans, utf8
 from nearfold.operators.components import connected_components
 from nearfold.plans.storage import scratch, written
 
@@ -38,7 +38,6 @@ GROUP_MEAN = 40
 GROUP_TOKENS = 150_000
 QUERIES_PER_TASK = 256
 GROUPS_PER_TASK = 8
-FILTER_BITS = 1 << 25
 _U = np.uint64
 
 
@@ -145,29 +144,10 @@ def _sets_of(table: pa.Table, name: str) -> list[np.ndarray]:
     return [np.asarray(x.values).view(_U) for x in table.column(name).combine_chunks()]
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit filter of FILTER_BITS bits over ids; false positives are removed by the join that follows it."""
-    words = (
-        ids.select(_slot("doc_id"))
-        .select(F.shiftright("slot", 5).alias("w"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-    )
-    found = np.zeros(FILTER_BITS // 32, np.uint32)
-    table = words.toArrow()  # at most FILTER_BITS / 32 rows, whatever the input
-    found[table.column("w").to_numpy()] = table.column("b").to_numpy().astype(np.uint32)
-    return found
-
-
-def _slot(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("slot")
-
-
 def _passing(batches, bits: np.ndarray):
-    """The rows of batches (id, slot, ...) whose slot is set and whose id is not null."""
+    """The rows whose id, in the first column, passes the filter."""
     for batch in batches:
-        slot = batch.column(1).to_numpy()
-        some = (bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool) & ~batch.column(0).is_null().to_numpy(False)
+        some = passing(batch.column(0).to_numpy(), bits)
         if some.any():
             yield batch.filter(pa.array(some))
 
@@ -232,14 +212,14 @@ def _places(base: DataFrame, sig: DataFrame, num: int, den: int, k: int) -> Data
     )
     led = written(led, "led")
     role = led.join(counts.select(F.col("leader").alias("doc_id"), "chunks").hint("merge"), "doc_id", "left")  # its own group; the groups that it leads
-    bits = _filter(leader.select("doc_id"))
+    bits = filter_bits(leader, "doc_id")
 
     def sets_of(batches):
         for batch in _passing(batches, bits):
-            found = [s.view(np.int64) for s in token_sets(batch.column(2), k)]
+            found = [s.view(np.int64) for s in token_sets(batch.column(1), k)]
             yield pa.record_batch([batch.column(0), _lists(found)], ["doc_id", "tokens"])
 
-    tokens = base.select("doc_id", _slot("doc_id"), "text").mapInArrow(sets_of, "doc_id long, tokens array<long>")
+    tokens = base.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets_of, "doc_id long, tokens array<long>")
     tokens = written(tokens.join(role.hint("merge"), "doc_id"), "tokens")  # grows with the documents: never a broadcast
 
     # inside each group; the leader's set is a member of each of its chunks
@@ -334,10 +314,10 @@ def _across(placed: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
     asking = wanted.join(load.hint("merge"), ["leader", "block"]).select(
         "leader", "block", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part"), "query"
     )
-    bits = _filter(wanted.select(F.col("query").alias("doc_id")))
-    asked = tokens.select(F.col("doc_id").alias("query"), _slot("doc_id"), F.col("tokens").alias("asked"))
-    asked = asked.mapInArrow(lambda batches: _passing(batches, bits), "query long, slot long, asked array<long>")
-    asking = asking.join(asked.drop("slot"), "query")
+    bits = filter_bits(wanted, "query")
+    asked = tokens.select(F.col("doc_id").alias("query"), F.col("tokens").alias("asked"))
+    asked = asked.mapInArrow(lambda batches: _passing(batches, bits), "query long, asked array<long>")
+    asking = asking.join(asked.hint("merge"), "query")
     groups = tokens.withColumn("block", _block()).join(load.hint("merge"), ["leader", "block"])
     groups = _numbers("parts")(groups, "part").select("leader", "block", "part", "chunk", "doc_id", "tokens")
 

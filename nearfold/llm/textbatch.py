@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 PIECE_BYTES = 1 << 18
+FILTER_BITS = 1 << 25
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -115,3 +117,23 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.sort(np.concatenate([offsets[1:], breaks]), kind="stable")
     counts = np.bincount(row, minlength=len(offsets) - 1) + 1
     return starts, ends, np.concatenate([[0], np.cumsum(counts)])
+
+
+def filter_bits(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit filter of FILTER_BITS bits over the longs of a column, whatever their number: it only saves work, a join follows it."""
+    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = (
+        rows.select(F.shiftright(slot, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 32L) as int))").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or("b").alias("b"))
+    )
+    found = np.zeros(FILTER_BITS // 32, np.uint32)
+    table = words.toArrow()  # at most FILTER_BITS / 32 rows
+    found[table.column("w").to_numpy()] = table.column("b").to_numpy().astype(np.uint32)
+    return found
+
+
+def passing(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the longs may be among those of the filter."""
+    slot = values & (FILTER_BITS - 1)
+    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)

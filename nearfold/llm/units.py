@@ -1,10 +1,11 @@
-r"""Substring dedup by hashing units: lines, and runs of words between content-defined cuts.
+r"""Substring dedup by hashing units: lines, paragraphs, and runs of words between content-defined cuts.
 
-Units are normalised (words only, A-Z as a-z), their digests grouped over all documents, the
+Units are normalised (words only, A-Z as a-z), their 128-bit digests grouped over all documents, the
 occurrence with the smallest (id, offset) kept and every other one removed, with
 its offsets in the original text. A unit is
 
-* a \n-split line of at least ``min_words`` words, and
+* every \n-split line with a word, however short,
+* every paragraph: lines without a line that has no word between them, and
 * for each cut, the words from it to the first cut at least ``min_words`` words on. A cut
   lies after a word that ends a sentence and, in every run of ``span(min_words)`` words without such a
   word, after those of the least hash; and at line starts. So a passage with the same line breaks
@@ -12,8 +13,13 @@ its offsets in the original text. A unit is
   no cut is more than a span from the next. Line hashing alone misses passages
   that begin or end within a line.
 
+Repeated units that touch in a document are one span, and a span is removed if it has ``min_words`` words or more: ten short
+lines in a row that stand elsewhere too are, one short line that many texts have by chance is not.
 A passage of ``2 * min_words`` words or more holds a whole unit. Where it stands in two places, the later
 occurrence goes but for the words before its first and after its last common cut.
+
+The texts are read twice. The first pass counts digests; the second gives the places of those found more than once, with a bit
+filter of fixed size before the shuffle. So most units never travel with their places.
 """
 
 from __future__ import annotations
@@ -22,26 +28,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from nearfold.llm.textbatch import LOWER, hashes, lines, mix, pieces, spans, utf8
-from nearfold.plans.storage import written
+from nearfold.llm.textbatch import LOWER, filter_bits, hashes, lines, mix, passing, pieces, spans, utf8
+from nearfold.plans.storage import scratch, written
 
 MIN_WORDS = 25
+LINE, PARAGRAPH, RUN = 1, 2, 4
 _U = np.uint64
-_K = _U(0xD6E8FEB86659FD93)
+_K = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    found = np.full(n, base)
+    found[0] = 1
+    return np.multiply.accumulate(found)
 
 
-def _runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A digest of words[first:last] for each pair, from prefix sums; equal runs have equal digests wherever they stand."""
-    n = len(words) + 1
-    up = np.full(n, _K)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(n, _U(pow(int(_K), -1, 1 << 64)))
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    total = np.zeros(n, _U)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[last] - total[first]) * down[first] + (last - first).astype(_U))
+def _runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Two digests of words[first:last] for each pair, from prefix sums; equal runs have equal digests wherever they stand."""
+    n, found = len(words) + 1, []
+    for i, base in enumerate(_K):
+        own = mix(words ^ base) if i else words
+        total = np.zeros(n, _U)
+        np.cumsum(own * _powers(base, n)[:-1], out=total[1:])
+        down = _powers(_U(pow(int(base), -1, 1 << 64)), n)
+        found.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(_U)))
+    return found
 
 
 def span(min_words: int) -> int:
@@ -63,94 +74,132 @@ def _least(words: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     return marked
 
 
-def row_units(data: np.ndarray, starts, ends, words, line_first, min_words: int):
-    """(digest, start byte, end byte) of the units of one row. ``line_first``: number of each line's first word, ascending."""
+def row_units(data: np.ndarray, ends, words, line_first, paragraph_first, min_words: int):
+    """(first word, end word, kind) of the units of one row that has words. ``line_first`` and ``paragraph_first``: number of the first
+    word of each line and paragraph with words, ascending. A unit that is of several kinds comes once, with all their bits."""
     n = len(words)
-    if n < min_words:
-        return None
-    stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
-    stop |= _least(words, stop, span(min_words))
-    cuts = np.unique(np.concatenate([[0], np.flatnonzero(stop) + 1, line_first, [n]]))
-    to = np.searchsorted(cuts, cuts + min_words)
-    some = to < len(cuts)
-    first, last = cuts[some], cuts[to[some]]
-    bounds = np.append(line_first, n)
-    long = np.diff(bounds) >= min_words
-    first, last = np.concatenate([bounds[:-1][long], first]), np.concatenate([bounds[1:][long], last])
-    key = np.unique(first * (n + 1) + last)
-    first, last = key // (n + 1), key % (n + 1)
-    return _runs(words, first, last), starts[first], ends[last - 1]
-
-
-def units(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(digest, doc_id, start, end): every unit of every text, offsets in characters."""
+    found = []
+    for kind, begin in ((LINE, line_first), (PARAGRAPH, paragraph_first)):
+        found.append((begin, np.append(begin[1:], n), np.full(len(begin), kind)))
+    if n >= min_words:
+        stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+        stop |= _least(words, stop, span(min_words))
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(stop) + 1, line_first, [n]]))
+        to = np.searchsorted(cuts, cuts + min_words)
+        some = to < len(cuts)
+        found.append((cuts[some], cuts[to[some]], np.full(some.sum(), RUN)))
+    first, last, kind = (np.concatenate(x) for x in zip(*found))
+    key, which = np.unique(first * (n + 1) + last, return_inverse=True)
+    kinds = np.zeros(len(key), np.int64)
+    np.bitwise_or.at(kinds, which, kind)
+    return key // (n + 1), key % (n + 1), kinds
+
+
+def _batch_units(batch, column: int, min_words: int):
+    """For each row with words: its number, the bytes before each word's start and after its end in characters, and its units."""
+    data, offsets = utf8(batch.column(column))
+    for i, j in pieces(offsets):
+        some = data[offsets[i] : offsets[j]]
+        places = offsets[i : j + 1] - offsets[i]
+        low = LOWER[some]
+        starts, ends, rows = spans(low, places)
+        words = hashes(low, starts, ends)
+        begin, _, of = lines(some, places)
+        breaks = np.searchsorted(starts, begin)
+        chars = np.concatenate([[0], np.cumsum((some & 0xC0) != 0x80)])
+        for r in range(j - i):
+            a, b = rows[r], rows[r + 1]
+            if a == b:
+                continue
+            mine = breaks[of[r] : of[r + 1]] - a
+            has = np.diff(np.append(mine, b - a)) > 0
+            opens = has & ~np.append(False, has[:-1])
+            first, last, kinds = row_units(low, ends[a:b], words[a:b], mine[has], mine[opens], min_words)
+            base = chars[places[r]]
+            yield i + r, words[a:b], first, last, kinds, chars[starts[a:b][first]] - base, chars[ends[a:b][last - 1]] - base
+
+
+def _digests(docs: DataFrame, min_words: int) -> DataFrame:
+    """(d1): the first digest of every unit of every text."""
+
+    def run(batches):
+        for batch in batches:
+            found = [_runs(words, first, last)[0] for _, words, first, last, *_ in _batch_units(batch, 0, min_words)]
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["d1"])
+
+    return docs.select("text").mapInArrow(run, "d1 long")
+
+
+def _places(docs: DataFrame, min_words: int, bits: np.ndarray) -> DataFrame:
+    """(d1, d2, doc_id, first, last, start, end, kind) of the units that pass the filter: their words and characters in the text."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
             row, out = [], []
-            for i, j in pieces(offsets):
-                some = data[offsets[i] : offsets[j]]
-                places = offsets[i : j + 1] - offsets[i]
-                low = LOWER[some]
-                starts, ends, rows = spans(low, places)
-                words = hashes(low, starts, ends)
-                breaks = np.searchsorted(starts, lines(some, places)[0])
-                chars = np.concatenate([[0], np.cumsum((some & 0xC0) != 0x80)])
-                per_row = np.searchsorted(breaks, rows)
-                for r in range(j - i):
-                    a, b = rows[r], rows[r + 1]
-                    first = np.unique(breaks[per_row[r] : per_row[r + 1]]) - a
-                    found = row_units(low, starts[a:b], ends[a:b], words[a:b], first[(first >= 0) & (first < b - a)], min_words)
-                    if found is not None:
-                        base = chars[places[r]]
-                        row.append(np.full(len(found[0]), i + r))
-                        out.append((found[0].view(np.int64), chars[found[1]] - base, chars[found[2]] - base))
+            for r, words, first, last, kinds, start, end in _batch_units(batch, 1, min_words):
+                d1, d2 = _runs(words, first, last)
+                some = passing(d1.view(np.int64), bits)
+                if some.any():
+                    row.append(np.full(some.sum(), r))
+                    out.append([x[some] for x in (d1.view(np.int64), d2.view(np.int64), first, last, start, end, kinds)])
             if out:
-                digest, start, end = (np.concatenate(x) for x in zip(*out))
+                d1, d2, *rest = (np.concatenate(x) for x in zip(*out))
                 ids = batch.column(0).take(pa.array(np.concatenate(row)))
-                yield pa.record_batch(
-                    [pa.array(digest), ids, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))],
-                    ["digest", "doc_id", "start", "end"],
-                )
+                columns = [pa.array(d1), pa.array(d2), ids, *(pa.array(x.astype(np.int32)) for x in rest)]
+                yield pa.record_batch(columns, ["d1", "d2", "doc_id", "first", "last", "start", "end", "kind"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("doc_id is not null").mapInArrow(run, "digest long, doc_id long, start int, end int")
+    return docs.mapInArrow(run, "d1 long, d2 long, doc_id long, first int, last int, start int, end int, kind int")
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, first_doc_id, first_start): the spans to remove, disjoint within a document.
+    """(doc_id, start, end, first_doc_id, first_start, words, by_lines, by_runs): the spans to remove, disjoint within a document.
 
-    first_doc_id and first_start tell where the kept occurrence of the span's first unit stands. Null and short
+    first_doc_id and first_start tell where the kept occurrence of the span's first unit stands, words how long the span is,
+    by_lines and by_runs whether lines or paragraphs, and runs between cuts, are among its units. Null and wordless
     texts have no units; rows with a null id take no part; an id names one text, and a repeated
     row counts once. Other columns are ignored, an empty table gives an empty result.
     """
-    every = units(docs, id_col, text_col, min_words)
-    first = every.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    with scratch(docs.sparkSession) as kept:
+        often = _digests(rows, min_words).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
+        often = written(often, "often")
+        some = _places(rows, min_words, filter_bits(often, "d1")).join(often.hint("merge"), "d1")
+        some = written(some, "places")
+        place = F.struct("doc_id", "start")
+        first = some.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept <> other")
+        again = some.join(written(first.select("d1", "d2", "kept"), "first").hint("merge"), ["d1", "d2"]).where("kept <> struct(doc_id, start)")
+        return kept(_spans(again).where(F.col("words") >= min_words), "repeats")
+
+
+def _spans(again: DataFrame) -> DataFrame:
+    """The repeated units of each document that overlap or follow one another as one span."""
+    again = again.groupBy("doc_id", "first").agg(
+        F.max("last").alias("last"), F.max("end").alias("end"), F.min("start").alias("start"), F.min("kept").alias("kept"), F.bit_or("kind").alias("kind")
     )
-    first = first.where("first <> last").select("digest", "first")
-    again = every.join(first, "digest").where("first <> struct(doc_id, start)")
-    again = again.groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("first").alias("first"))
-    by = Window.partitionBy("doc_id").orderBy("start")  # one document's spans
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = again.withColumn("opens", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+    by = Window.partitionBy("doc_id").orderBy("first")  # one document's units
+    reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = again.withColumn("opens", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
     marked = marked.withColumn("span", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     merged = marked.groupBy("doc_id", "span").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first", "start").alias("first")
-    )
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kept", "first").alias("kept"),
+        (F.max("last") - F.min("first")).alias("words"), F.bit_or("kind").alias("kind"),
+    )
     return merged.select(
         "doc_id",
         F.col("start").cast("long").alias("start"),
         F.col("end").cast("long").alias("end"),
-        F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.start").cast("long").alias("first_start"),
+        F.col("kept.doc_id").alias("first_doc_id"),
+        F.col("kept.start").cast("long").alias("first_start"),
+        F.col("words").cast("long").alias("words"),
+        (F.col("kind").bitwiseAND(LINE | PARAGRAPH) > 0).alias("by_lines"),
+        (F.col("kind").bitwiseAND(RUN) > 0).alias("by_runs"),
     )
 
 
 def without_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the spans of ``repeats`` cut out of the texts; all rows and columns stay."""
-    cut = written(repeats(docs, id_col, text_col, min_words), "repeats")
+    cut = repeats(docs, id_col, text_col, min_words)
     cut = cut.groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     joined = docs.join(cut, F.col(id_col) == F.col("_of"), "left")
     text = F.col(text_col).cast("string")

@@ -497,62 +497,98 @@ def test_warc_awkward_pages(spark, monkeypatch):
         assert warc.surt(url) == key
 
 
-def brute_units(texts, least):
-    first, out = {}, collections.defaultdict(list)
-    for d in sorted(texts):
-        text = texts[d] or ""
-        for a, b, key in sorted(unit_spans(text, least)):
-            if key in first:
-                out[d].append((a, b))
-            else:
-                first[key] = (d, a)
-    merged = {}
-    for d, spans in out.items():
-        spans.sort()
-        done = [list(spans[0])]
-        for a, b in spans[1:]:
-            if a > done[-1][1]:
-                done.append([a, b])
-            else:
-                done[-1][1] = max(b, done[-1][1])
-        merged[d] = [tuple(x) for x in done]
-    return merged
+_hash_of = {}
 
 
-def unit_spans(text, least):
+def word_hash(word):
+    """The operators' own hash of a word: rules that take the least hash need it."""
     from nearfold.llm.textbatch import hashes
 
+    if word not in _hash_of:
+        raw = np.frombuffer(word.encode(), np.uint8)
+        _hash_of[word] = int(hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+    return _hash_of[word]
+
+
+def unit_spans(text, least):
+    """(first word, end word, words) of lines, paragraphs and runs between cuts, found word by word."""
     words = [(m.start(), m.end(), m.group().translate(LOWER)) for m in WORD.finditer(text)]
-    n = len(words)
-    if n < least:
-        return set()
-    lines, at = [], 0
-    for line in text.split("\n"):
-        lines.append(sum(w[0] < at for w in words))
-        at += len(line) + 1
-    lines = [i for i in sorted(set(lines)) if i < n]
-
-    def cut(w):
-        raw = np.frombuffer(w.encode(), np.uint8)
-        return w[-1] in ".!?" or int(hashes(raw, np.array([0]), np.array([len(raw)]))[0]) % units.CUT == 0
-
-    cuts = sorted({0, n, *lines, *(i + 1 for i, w in enumerate(words) if cut(w[2]))})
-    runs = {(a, b) for a, b in zip(lines, [*lines[1:], n]) if b - a >= least}
-    for a in cuts:
-        b = next((c for c in cuts if c >= a + least), None)
-        if b is not None:
-            runs.add((a, b))
-    return {(words[a][0], words[b - 1][1], tuple(w[2] for w in words[a:b])) for a, b in runs}
+    n, units_, line_starts, paragraph = len(words), set(), [], []
+    at, w = 0, 0
+    for line in [*text.split("\n"), None]:
+        end = w
+        while line is not None and end < n and words[end][1] <= at + len(line):
+            end += 1
+        if end > w:
+            units_.add((w, end))
+            line_starts.append(w)
+            paragraph.append((w, end))
+        elif paragraph:
+            units_.add((paragraph[0][0], paragraph[-1][1]))
+            paragraph = []
+        w, at = end, at + len(line or "") + 1
+    if n >= least:
+        width = (least + 2) // 3
+        stop = [x[2][-1] in ".!?" for x in words]
+        cut = list(stop)
+        for i in range(n - width + 1):
+            if not any(stop[i : i + width]):
+                low = min(word_hash(x[2]) for x in words[i : i + width])
+                for j in range(i, i + width):
+                    cut[j] = cut[j] or word_hash(words[j][2]) == low
+        cuts = sorted({0, n, *line_starts, *(i + 1 for i in range(n) if cut[i])})
+        for a in cuts:
+            b = next((c for c in cuts if c >= a + least), None)
+            if b is not None:
+                units_.add((a, b))
+    return words, units_
+
+
+def brute_units(texts, least):
+    """{doc: [(start, end, first doc, first start, words)]} of the repeated spans."""
+    seen, parsed = {}, {}
+    for d in sorted(texts):
+        parsed[d] = words, spans_ = unit_spans(texts[d] or "", least)
+        for a, b in sorted(spans_):
+            seen.setdefault(tuple(x[2] for x in words[a:b]), (d, words[a][0]))
+    found = {}
+    for d, (words, spans_) in parsed.items():
+        done = []
+        for a, b in sorted(spans_):
+            first = seen[tuple(x[2] for x in words[a:b])]
+            if first == (d, words[a][0]):
+                continue
+            if done and a <= done[-1][1]:
+                same = a == done[-1][0]
+                done[-1] = (done[-1][0], max(b, done[-1][1]), min(first, done[-1][2]) if same else done[-1][2])
+            else:
+                done.append((a, b, first))
+        done = [(words[a][0], words[b - 1][1], *first, b - a) for a, b, first in done if b - a >= least]
+        if done:
+            found[d] = done
+    return found
 
 
 def test_op9(spark, sf, docs):
     found = collections.defaultdict(list)
     for r in queries.op9_unit_dedup(spark, sf).orderBy("doc_id", "start").collect():
-        found[r.doc_id].append((r.start, r.end))
-        assert (r.first_doc_id, r.first_start) < (r.doc_id, r.start)
+        found[r.doc_id].append((r.start, r.end, r.first_doc_id, r.first_start, r.words))
+        assert r.by_lines or r.by_runs
     assert found and found == brute_units(docs, units.MIN_WORDS)
 
 
+def test_short_lines_and_paragraphs(spark):
+    verse = "one two three\nfour five six\nseven eight nine ten\neleven twelve\n\nlast words"
+    texts = {1: verse, 2: "a b c\n" + verse.replace("two", "TWO") + "\nx y z", 3: "one two three\nother text here", 4: "p q r\n" + verse.replace("\n", " ")}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for least in (1, 5, 14):
+        found = collections.defaultdict(list)
+        for r in units.repeats(df, "doc_id", "text", least).orderBy("doc_id", "start").collect():
+            found[r.doc_id].append((r.start, r.end, r.first_doc_id, r.first_start, r.words))
+        assert found == brute_units(texts, least) and 2 in found
+    assert 3 not in found and found[2][0][4] == 14
+
+
 def test_passages_inside_lines_are_cut(spark, awkward, empty):
     rng = np.random.default_rng(4)
     draw = lambda n: " ".join("x%d%s" % (i, "." if i % 9 == 0 else "") for i in rng.integers(0, 10**6, n))
@@ -570,41 +606,73 @@ def test_passages_inside_lines_are_cut(spark, awkward, empty):
     assert units.repeats(empty, "doc_id", "text").collect() == []
 
 
-def brute_templates(texts, least):
-    keyed, classes = {}, {}
+def brute_templates(texts, classes, least):
+    """{doc: numbers of the lines that go}; ``classes`` gives the class of each document."""
+    held = collections.defaultdict(set)  # (leaf, line) -> documents
+    at = {}
     for d, text in texts.items():
         for i, line in enumerate((text or "").split("\n")):
-            words = ["\0" if re.search("[0-9]", w) else w for w in WORD.findall(line)]
+            words = tuple(None if re.search("[0-9]", w) else w for w in WORD.findall(line))
             if words:
-                n = len(words)
-                keys = [(n, 0, tuple(words))]
-                if n >= templates.LONG:
-                    cuts = [templates.LEAD + (n - templates.LEAD) * j // 3 for j in range(4)]
-                    keys += [(n, j + 1, tuple(words[: cuts[j]]), tuple(words[cuts[j + 1] :])) for j in range(3)]
-                keyed[d, i] = keys
-    return keyed
+                held[words].add(d)
+                at[d, i] = words
+    leaf = lambda words: (len(words), words[: templates.LEAD])
+    docs_of, support = collections.defaultdict(set), collections.Counter()
+    for words, ds in held.items():
+        docs_of[leaf(words)] |= ds
+        for p, w in enumerate(words):
+            support[leaf(words), p, w] += len({classes[d] for d in ds})
+    holders, of = collections.defaultdict(set), collections.defaultdict(set)
+    for words, ds in held.items():
+        if len(docs_of[leaf(words)]) < least:
+            continue
+        level = least
+        while True:
+            t = tuple(w if w is None or support[leaf(words), p, w] >= level else "*" for p, w in enumerate(words))
+            solid = sum(w not in (None, "*") for w in t)
+            if not solid or solid + t.count(None) < templates.SIMILAR * len(t):
+                break
+            of[words].add(t)
+            holders[leaf(words), t] |= {classes[d] for d in ds}
+            level *= 2
+    gone = {w for w, ts in of.items() if any(len(holders[leaf(w), t]) >= least for t in ts)}
+    found = collections.defaultdict(set)
+    for (d, i), words in at.items():
+        if words in gone:
+            found[d].add(i)
+    return found
+
+
+def class_of(spark, texts):
+    rows = spark.createDataFrame([(d, i, t) for i, (d, t) in enumerate(texts.items())], "doc_id long, n long, text string").where("text is not null")
+    rows = rows.selectExpr("doc_id", "xxhash64(text) as text_hash", "text")
+    return {r.doc_id: r["class"] for r in templates._classes(templates._keyed(rows)).collect()}
 
 
 def test_op10(spark, sf, docs):
     rows = {r.doc_id: r for r in queries.op10_log_template_tree(spark, sf).collect()}
-    keyed = brute_templates(docs, 5)
-    from nearfold.llm.textbatch import hashes
-
-    def number(line):  # the class rule needs the operator's own hash
-        raw = np.frombuffer(line.encode(), np.uint8)
-        return int(hashes(raw, np.array([0]), np.array([len(raw)]))[0])
-
-    least = {d: min((number(x) for x in (t or "").split("\n") if WORD.search(x)), default=0) for d, t in docs.items()}
-    held = collections.defaultdict(set)
-    for (d, _), keys in keyed.items():
-        for k in keys:
-            held[k].add(d)
-    recur = {k for k, ds in held.items() if len(ds) >= 5 and 2 * len({least[d] for d in ds}) >= len(ds)}
-    assert recur
+    gone = brute_templates(docs, class_of(spark, docs), templates.MIN_DOCS)
+    assert sum(map(len, gone.values())) > 20
     for d, text in docs.items():
         lines = (text or "").split("\n")
-        kept = [x for i, x in enumerate(lines) if not recur & set(keyed.get((d, i), []))]
-        assert rows[d].text == "\n".join(kept) and rows[d].n_dropped == len(lines) - len(kept) and rows[d].n_lines == len(lines)
+        kept = [x for i, x in enumerate(lines) if i not in gone[d]]
+        assert rows[d].text == "\n".join(kept) and rows[d].n_dropped == len(gone[d]) and rows[d].n_lines == len(lines)
+
+
+def test_leaves_hold_several_templates(spark):
+    rng = np.random.default_rng(21)
+    names, texts = [pseudo(rng, 1) for _ in range(400)], {}
+    for i in range(120):
+        lines = [f"Posted by {names[i % 37]} in {names[100 + i % 3]}", f"Filed under {names[200 + i]}", f"Posted by the {names[300 + i % 50]} team"]
+        lines += [pseudo(rng, 9), f"Page {i} of 900", f"{i} {i}", "Seen by " + pseudo(rng, 3)]
+        texts[i] = "\n".join(lines)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in templates.without_recurring(df, "doc_id", "text").collect()}
+    gone = brute_templates(texts, class_of(spark, texts), templates.MIN_DOCS)
+    for d, text in texts.items():
+        lines = text.split("\n")
+        assert out[d] == "\n".join(x for i, x in enumerate(lines) if i not in gone[d])
+        assert out[d].split("\n") == [lines[3], lines[5], lines[6]]
 
 
 def test_templates_generalise_fields(spark, awkward, empty):
