@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearfold.llm import decontam, fertility, ngram_join, packing, templates
 from nearfold.llm.queries import BYTE_BPE, PIECES
-from nearfold.plans.storage import written
+from nearfold.plans.storage import scratch, written
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -34,8 +34,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join over five-word shingles at 0.8: of each group the smallest doc_id stays."""
-    found = ngram_join.classes(docs, "doc_id", "text", k=5, num=80, den=100)
-    return _without(docs, found.where("component_id <> doc_id"))
+    with scratch(spark) as kept:
+        found = ngram_join.classes(docs, "doc_id", "text", k=5, num=80, den=100)
+        near = kept(found.where("component_id <> doc_id").select("doc_id"), "near")
+    return _without(docs, near)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
