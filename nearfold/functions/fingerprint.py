@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,23 +10,49 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def token_bits(word: Column) -> Column:
-    """The first 64 bits of a word's MD5."""
-    return F.conv(F.substring(F.md5(F.encode(word, "UTF-8")), 1, 16), 16, -10).cast("long")
+WORDS_AT_ONCE = 1 << 16
+WORDS_KEPT = 500_000
+
+
+def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """The first 64 bits of the MD5 of each word."""
+    found = np.empty(len(words), np.uint64)
+    for i, w in enumerate(words):
+        h = known.get(w)
+        if h is None:
+            if len(known) >= WORDS_KEPT:
+                known.clear()
+            h = known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+        found[i] = h
+    return found
 
 
 def text_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, phash)`` by SimHash (Charikar, 2002) over the space-separated words of a lower-case text.
 
-    Bit b is set if more than half of the words, repeats counted, have it set. Words are counted
-    within each document first; a word's bits become one 64-element vector of counts, summed per document.
-    A document without words has no row. Null texts are without words.
+    Bit b is set if more than half of the words, repeats counted, have it set. The value depends on one row only, so
+    rows are taken in Arrow batches and nothing is shuffled; of a long text at most WORDS_AT_ONCE words are spread
+    to bits at a time. A document without words has no row. Null texts are without words.
     """
-    words = docs.select(F.col(id_col).alias("_id"), F.explode(F.split(F.lower(F.col(text_col)), " ")).alias("w")).where("w <> ''")
-    counted = words.groupBy("_id", "w").agg(F.count("*").alias("n")).withColumn("h", token_bits(F.col("w")))
-    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))
-    sums = counted.groupBy("_id").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * bit(b)).alias(f"b{b}") for b in range(64)))
-    return sums.select(F.col("_id").alias(id_col), pack_bits([2 * F.col(f"b{b}") > F.col("n") for b in range(64)]).alias("phash"))
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows, prints = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = [w for w in (text or "").split(" ") if w]
+                if not words:
+                    continue
+                sums = np.zeros(64, np.int64)
+                for j in range(0, len(words), WORDS_AT_ONCE):
+                    bits = np.unpackbits(_word_hashes(words[j : j + WORDS_AT_ONCE], known).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    sums += bits.sum(axis=0, dtype=np.int64)
+                rows.append(i)
+                prints.append(np.packbits(2 * sums > len(words), bitorder="little").view(np.int64)[0])
+            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(prints, pa.int64())], [id_col, "phash"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.lower(F.col(text_col))).mapInArrow(run, f"`{id_col}` {kind}, phash long")
 
 
 def pack_bits(bits: list[Column]) -> Column:
@@ -44,31 +71,34 @@ def gradient_hash(raster: Column, width: int = 8, height: int = 8) -> Column:
 
 def median_hash(raster: Column, size: int = 64) -> Column:
     """Bit per value: above the mean of the two middle values."""
-    ordered = F.array_sort(raster)
-    middle = (F.get(ordered, size // 2 - 1).cast("double") + F.get(ordered, size // 2).cast("double")) / 2
-    return pack_bits([F.get(raster, i).cast("double") > middle for i in range(size)])
+    half = lambda ordered: (F.get(ordered, size // 2 - 1).cast("double") + F.get(ordered, size // 2).cast("double")) / 2
+    bits = lambda middle: pack_bits([F.get(raster, i).cast("double") > middle for i in range(size)])
+    return _bound(_bound(F.array_sort(raster), half), bits)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def dct_hash(raster: Column, side: int = 8) -> Column:
     """``median_hash`` of the two-dimensional cosine transform (type II, unscaled) of a side * side raster."""
     basis = [[math.cos(math.pi * (2 * x + 1) * u / (2 * side)) for x in range(side)] for u in range(side)]
     table = F.array(*(F.array(*map(F.lit, row)) for row in basis))
-    n = side * side
-
-    def along(values: Column, by_row: bool) -> Column:
-        def cell(k: Column) -> Column:
-            high, low = F.floor(k / side).cast("int"), (k % side).cast("int")
-            line, u = (high, low) if by_row else (low, high)
-            terms = F.transform(
-                F.sequence(F.lit(0), F.lit(side - 1)),
-                lambda x: F.get(F.get(table, u), x) * F.get(values, (line * side + x) if by_row else (x * side + line)),
-            )
-            return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
-
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)
-
-    rows = along(F.transform(raster, lambda v: v.cast("double")), True)
-    return median_hash(along(rows, False), n)
+    total = lambda terms: F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+    places = F.sequence(F.lit(0), F.lit(side - 1))
+
+    def both_ways(values: Column, table: Column) -> Column:
+        lines = F.transform(places, lambda y: F.slice(values, y * side + 1, side))
+        rows = F.transform(lines, lambda line: F.transform(table, lambda b: total(F.zip_with(b, line, lambda c, v: c * v))))
+        down = lambda rows: F.transform(
+            table, lambda b: F.transform(places, lambda u: total(F.zip_with(b, rows, lambda c, line: c * F.get(line, u))))
+        )
+        return F.flatten(_bound(rows, down))
+
+    doubles = F.transform(raster, lambda v: v.cast("double"))
+    waves = _bound(table, lambda t: _bound(doubles, lambda v: both_ways(v, t)))
+    return _bound(waves, lambda w: median_hash(w, side * side))
 
 
 def plain_path(origin: Column) -> Column:

@@ -36,61 +36,87 @@ def _fingerprint_sets(files: DataFrame) -> DataFrame:
     return files.where("phash is not null").groupBy(*same).agg(F.min("file_id").alias("id"), F.count("*").alias("n"))
 
 
+def set_members(files: DataFrame) -> DataFrame:
+    """``(session_id, set_id, file_id)``: the files that stand as one in similar_pairs, under the smallest of their ids."""
+    same = ["session_id", "phash", "size", "width", "height"]
+    sets = _fingerprint_sets(files).select(F.col("id").alias("set_id"), *(F.col(c).alias(f"_{c}") for c in same))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+    return files.where("phash is not null").join(sets, on).select("session_id", "set_id", "file_id")
+
+
 def _compatible():
     return (F.col("a.size") == F.col("b.size")) | F.coalesce(
         (F.col("a.width") == F.col("b.width")) & (F.col("a.height") == F.col("b.height")), F.lit(False)
     )
 
 
-def bands(count: int) -> list[tuple[int, int]]:
-    """(shift, bits) of the blocking bands: the top 16 bits for one, else ``count`` runs of all 64 bits."""
-    if count == 1:
-        return [(48, 16)]
-    cuts = [64 * i // count for i in range(count + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def bands(count: int, low: int = 0, high: int = 64) -> list[int]:
+    """``count`` masks over the bits from ``low`` to ``high``."""
+    cuts = [low + (high - low) * i // count for i in range(count + 1)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def _signed(mask: int):
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+
+
+def _blocked(rows: DataFrame, masks: list[int]) -> DataFrame:
+    """A row for each mask, with the ``band`` (number of the mask) and the ``key`` (the bits under it)."""
+    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.col("phash").bitwiseAND(_signed(m)).alias("key")) for i, m in enumerate(masks)))
+    return rows.withColumn("k", F.explode(keys)).withColumns({"band": F.col("k.band"), "key": F.col("k.key")}).drop("k")
+
+
+def _first_band(masks: list[int]):
+    """The first mask under which a and b agree: a pair that shares several blocks is given in that one only."""
+    differ = F.col("a.phash").bitwiseXOR(F.col("b.phash"))
+    return F.coalesce(*(F.when(differ.bitwiseAND(_signed(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
 
 
 def similar_pairs(files: DataFrame, threshold: int, band_count: int = 1) -> DataFrame:
-    """``(session_id, a_id, b_id)``, a_id < b_id: compatible rows that share a band and differ in ``threshold`` bits at most.
+    """``(session_id, a_id, b_id, distance)``, a_id < b_id: compatible rows that share a band and differ in ``threshold`` bits at most.
 
-    With one band the top 16 bits must agree. More than ``threshold`` bands find every pair within the threshold, by
-    the pigeonhole principle. Rows equal in all compared columns stand as one.
+    With one band the top 16 bits must agree; the other 48 are cut into threshold + 1 parts, one of which agrees in every
+    wanted pair, so blocks stay small. More than ``threshold`` bands find every pair within the threshold, by the same
+    pigeonhole principle. Rows equal in all compared columns stand as one.
     """
     rows = _fingerprint_sets(files)
-    keys = F.array(
-        *(
-            F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("phash", shift).bitwiseAND(F.lit((1 << bits) - 1)).alias("key"))
-            for i, (shift, bits) in enumerate(bands(band_count))
-        )
-    )
-    rows = rows.withColumn("k", F.explode(keys)).select("session_id", "k.band", "k.key", "id", "phash", "size", "width", "height")
+    if band_count > 1:
+        masks = bands(band_count)
+    else:
+        top = bands(1, 48, 64)[0]
+        masks = [top | m for m in bands(threshold + 1, 0, 48)] if threshold < 16 else [top]
+    rows = _blocked(rows, masks).select("session_id", "band", "key", "id", "phash", "size", "width", "height")
+    distance = S.hamming(F.col("a.phash"), F.col("b.phash"))
     near = (
         (F.col("a.session_id") == F.col("b.session_id"))
         & (F.col("a.band") == F.col("b.band"))
         & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.id") < F.col("b.id"))
         & _compatible()
-        & (S.hamming(F.col("a.phash"), F.col("b.phash")) <= threshold)
+        & (distance <= threshold)
+        & (F.col("a.band") == _first_band(masks))
     )
     pairs = rows.alias("a").join(rows.alias("b"), near)
-    pairs = pairs.select("a.session_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
-    return pairs.distinct() if band_count > 1 else pairs
+    return pairs.select("a.session_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), distance.alias("distance"))
 
 
 def visual_members(files: DataFrame, threshold: int = 6, band_count: int = 1) -> DataFrame:
-    """Connected components of similar_pairs. Confidence: 1 - least distance / threshold over all pairs of the group."""
+    """Connected components of similar_pairs. Confidence: 1 - least distance / threshold over all pairs of the group.
+
+    The least distance is that of a link, or that of two members which are no link as they are not compatible: those are looked
+    for by ``threshold`` bands within the group, which hold every pair nearer than the threshold.
+    """
     sets = _fingerprint_sets(files)
     same = ["session_id", "phash", "size", "width", "height"]
     pairs = written(similar_pairs(files, threshold, band_count), "similar")
     parts = connected_components(pairs, "a_id", "b_id").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
     parts = sets.join(parts, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
     parts = written(parts, "parts")
-    distances = (
-        parts.alias("a")
-        .join(parts.alias("b"), (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.id") < F.col("b.id")))
-        .groupBy(F.col("a.group_id").alias("group_id"))
-        .agg(F.min(S.hamming(F.col("a.phash"), F.col("b.phash"))).alias("d"))
-    )
+    linked = pairs.join(parts.select(F.col("id").alias("a_id"), "group_id"), "a_id").select("group_id", "distance")
+    inner = _blocked(parts.select("group_id", "id", "phash"), bands(max(threshold, 1))).alias("a")
+    met = (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))
+    closer = inner.join(inner.alias("b"), met).select(F.col("a.group_id").alias("group_id"), S.hamming(F.col("a.phash"), F.col("b.phash")).alias("distance"))
+    distances = linked.unionByName(closer).groupBy("group_id").agg(F.min("distance").alias("d"))
     groups = (
         parts.groupBy("group_id")
         .agg(F.sum("n").alias("members"), F.max("n").alias("most"))

@@ -55,6 +55,15 @@ def purge_manifest(members: DataFrame, files: DataFrame, chosen: DataFrame | Non
     return rows.select("group_id", "file_id", F.explode(parts).alias("p")).select("group_id", "file_id", "p.*").where("path is not null")
 
 
+def keep_selected_and_purge(members: DataFrame, files: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, manifest): the chosen files (group_id, keepers) are kept and what their groups then lose is listed.
+
+    A chosen group of which no live member is kept raises NoKeeper.
+    """
+    kept = apply_keepers(members, chosen)
+    return kept, purge_manifest(kept, files, chosen)
+
+
 @dataclass(frozen=True)
 class Purged:
     files: DataFrame

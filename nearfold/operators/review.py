@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from nearfold.functions.scalars import basename, thumbnail_key
 from nearfold.plans.schemas import EXIF
 
 
@@ -61,11 +62,20 @@ def group_details(groups: DataFrame, members: DataFrame, files: DataFrame, finge
     """Every group with its live members, the largest first, and its recoverable bytes."""
     exif = F.col("exif") if "exif" in fingerprints.columns else F.lit(None).cast(EXIF)
     prints = fingerprints.select("file_id", exif.alias("exif"))
+    for name in ("created_at", "modified_at"):
+        files = files if name in files.columns else files.withColumn(name, F.lit(None).cast("timestamp"))
+    path = F.col("path")
     rows = (
         members.join(files.where("deleted_at is null").drop("session_id"), "file_id")
         .join(prints, "file_id", "left")
-        .withColumn("m", F.struct((-F.col("size")).alias("order"), "file_id", "path", "size", "width", "height", "is_keeper", "exif", "companion_raw_path", "companion_raw_size"))
-    )
+        .withColumn(
+            "m",
+            F.struct(
+                (-F.col("size")).alias("order"), "file_id", "path", basename(path).alias("file_name"), "size", "width", "height", "created_at",
+                "modified_at", thumbnail_key(path, F.col("size")).alias("thumbnail_key"), "is_keeper", "exif", "companion_raw_path", "companion_raw_size",
+            ),
+        )
+    )
     nested = rows.groupBy("group_id").agg(F.array_sort(F.collect_list("m")).alias("members"))
     totals = recoverable_bytes(members, files).select("group_id", "bytes_recoverable")
     return (

@@ -9,12 +9,14 @@ paths, events are shots, embeddings are 8 x 8 rasters. Decisions keep the sugges
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearfold.functions import fingerprint as P, scalars as S
-from nearfold.operators import cluster, decisions, inventory, review
-from nearfold.plans.config import ScanConfig
+from nearfold.operators import cluster, decisions, inventory, process, review, scan as scans
+from nearfold.plans import schemas
+from nearfold.plans.config import PRESETS, ScanConfig, resolve_config
 from nearfold.plans.storage import fresh_dir, written
 from nearfold.sources import snapshot
 from nearfold.streaming import ingest as streaming
@@ -57,7 +59,7 @@ def photos(spark: SparkSession, sf_dir: str, prints: bool = True) -> DataFrame:
 def _groups(spark: SparkSession, sf_dir: str):
     """(files, groups, members) of the exact tier."""
     files = photos(spark, sf_dir, prints=False)
-    members = cluster.exact_members(files)
+    members = written(cluster.exact_members(files), "exact")
     return files, review.groups_of(members), review.member_rows(members)
 
 
@@ -72,7 +74,7 @@ def _decided(spark: SparkSession, sf_dir: str):
     # a second decision keeps the last file; it is undone where the group is even
     two = all_ids.where("group_id % 3 = 0").select("group_id", F.lit(2).alias("seq"), F.slice("ids", -1, 1).alias("keepers"), (F.col("group_id") % 2 == 0).alias("undone"))
     log = one.unionByName(two)
-    return files, groups, decisions.apply_keepers(members, decisions.latest_decisions(log)), log
+    return files, groups, written(decisions.apply_keepers(members, decisions.latest_decisions(log)), "decided"), log
 
 
 def exact_groups(spark, sf_dir):
@@ -96,19 +98,12 @@ def _left(spark, sf_dir):
 
 
 def simhash_prefix_pairs(spark, sf_dir):
-    files = written(photos(spark, sf_dir), "photos").alias("f")
-    near = (
-        (F.col("a.session_id") == F.col("b.session_id"))
-        & (S.prefix16(F.col("a.phash")) == S.prefix16(F.col("b.phash")))
-        & (F.col("a.file_id") < F.col("b.file_id"))
-        & (S.hamming(F.col("a.phash"), F.col("b.phash")) <= THRESHOLD)
-        & ((F.col("a.size") == F.col("b.size")) | F.coalesce((F.col("a.width") == F.col("b.width")) & (F.col("a.height") == F.col("b.height")), F.lit(False)))
-    )
-    rows = files.select("session_id", "file_id", "phash", "size", "width", "height")
-    return rows.alias("a").join(rows.alias("b"), near).select(
-        F.col("a.session_id").alias("session_id"), F.col("a.file_id").alias("a_id"), F.col("b.file_id").alias("b_id"),
-        S.hamming(F.col("a.phash"), F.col("b.phash")).alias("distance"),
-    )
+    """Pairs of sets of equal rows that share the top 16 bits; ``fingerprint_sets`` has the members of the sets."""
+    return cluster.similar_pairs(written(photos(spark, sf_dir), "photos"), THRESHOLD).select("session_id", "a_id", "b_id", F.col("distance").cast("int").alias("distance"))
+
+
+def fingerprint_sets(spark, sf_dir):
+    return cluster.set_members(photos(spark, sf_dir))
 
 
 def visual_members(spark, sf_dir):
@@ -118,7 +113,7 @@ def visual_members(spark, sf_dir):
 
 def banded_pairs(spark, sf_dir):
     """All pairs within the threshold by seven bands, which one band would miss in part."""
-    return cluster.similar_pairs(_left(spark, sf_dir), THRESHOLD, THRESHOLD + 1)
+    return cluster.similar_pairs(_left(spark, sf_dir), THRESHOLD, THRESHOLD + 1).drop("distance")
 
 
 def shots_bursts(spark, sf_dir):
@@ -231,7 +226,7 @@ def kept_all(spark, sf_dir):
 
 def _manifest(spark, sf_dir):
     files, groups, members, _ = _decided(spark, sf_dir)
-    return files, groups, decisions.purge_manifest(members, files)
+    return files, groups, written(decisions.purge_manifest(members, files), "manifest")
 
 
 def purge_manifest(spark, sf_dir):
@@ -290,22 +285,162 @@ def raster_hashes(spark, sf_dir):
 
 
 def dct_hashes(spark, sf_dir):
-    return _table(spark, sf_dir, "embeddings").select("vec_id", P.dct_hash(F.col("embedding")).alias("phash"))
+    found = _table(spark, sf_dir, "embeddings").select("vec_id", P.dct_hash(F.col("embedding")).alias("h"))
+    return found.select("vec_id", F.lpad(F.lower(F.hex("h")), 16, "0").alias("phash"))
 
 
 def streamed_events(spark, sf_dir):
-    """Events through the file stream into a table, then counted by type."""
+    """Events ingested by the file stream in two runs, the second of which finds nothing new, then counted by type."""
     base = fresh_dir(spark, "stream")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _table(spark, sf_dir, "events").schema)
-    source = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events*").option("maxFilesPerTrigger", 1).load(sf_dir)
+    process = lambda batch: batch.select("event_id", "event_type", "value")
+    for _ in range(2):
+        streaming.ingest(spark, sf_dir, schema, f"{base}/table", f"{base}/state", process, glob="events*", files_per_batch=1).awaitTermination()
+    table = spark.read.parquet(f"{base}/table")
+    rows = streaming.latest(table, ["event_id"])
+    found = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+    again = table.groupBy("event_type").agg(F.count("*").alias("n_stored"))
+    return found.join(again, found["event_type"].eqNullSafe(again["event_type"])).select(found["event_type"], "n", "last_id", "n_stored")
+
+
+def upserted_fingerprints(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("file_id"), S.content_hash(F.col("text")).alias("content_hash"), F.col("n_chars").alias("phash"))
+    fresh = docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 8 == 0, F.col("lang")).alias("content_hash"), F.lit(None).cast("long").alias("phash"))
+    return snapshot.upsert_fingerprints(old, fresh)
+
+
+def assembled_fingerprints(spark, sf_dir):
+    """Files with content hashes and raster hashes; those without a raster are rejects."""
+    rows = _inventory(spark, sf_dir)
+    docs, rasters = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "embeddings")
+    contents = rows.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").select("path", "content")
+    hashes = rows.join(rasters, F.col("doc_id") == F.col("vec_id")).select(
+        "path", F.lit(8).alias("width"), F.lit(8).alias("height"), P.gradient_hash(F.col("embedding")).alias("dhash"), P.median_hash(F.col("embedding")).alias("phash")
+    )
+    done, rejects = process.assemble(rows.select("doc_id", "path"), ScanConfig(), contents, hashes)
+    text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    rejects = rejects.withColumn("rejected", F.lit(True))
+    return done.withColumn("rejected", F.lit(False)).unionByName(rejects).select("doc_id", "content_hash", "width", text("phash").alias("phash"), "rejected")
+
+
+def exif_dates(spark, sf_dir):
+    ts = F.date_format(F.col("ts"), "yyyy:MM:dd HH:mm:ss")
+    original = F.when(F.col("event_id") % 3 == 0, ts).when(F.col("event_id") % 3 == 1, "no date")
+    plain = F.when(F.col("event_id") % 2 == 0, F.lit("2001:02:03 04:05:06"))
+    return _table(spark, sf_dir, "events").select("event_id", F.date_format(S.exif_date(original, plain), "yyyy-MM-dd HH:mm:ss").alias("taken"))
+
+
+def exif_tags(spark, sf_dir):
+    """Raw tags to capture data, to JSON and back."""
+    n, one = F.col("l_linenumber"), lambda c: F.array(c)
+    tags = _table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("path"),
+        one(F.concat(F.lit("\x00 "), F.col("l_returnflag"), F.lit("cam \x00"))).alias("make"), F.when(n % 2 == 0, one(F.col("l_linestatus"))).alias("model"),
+        one(F.lit("bad")).alias("date_original"), one(F.lit("2020:01:02 03:04:05")).alias("date_plain"), one(n.cast("long") * 100).alias("iso"),
+        one(F.col("l_quantity").cast("long")).alias("fnumber_num"), one(F.lit(4).cast("long")).alias("fnumber_den"),
+        one(F.lit(1).cast("long")).alias("exposure_num"), one(F.col("l_quantity").cast("long")).alias("exposure_den"),
+        one(F.col("l_quantity").cast("long")).alias("focal_num"), one(n.cast("long") % 2).alias("focal_den"),
+    )
+    found = process.exif_from_tags(tags).select("path", S.exif_struct(S.exif_json(F.col("exif"))).alias("e"))
+    return found.select("path", "e.cameraMake", "e.cameraModel", "e.iso", "e.aperture", "e.shutterSpeed", "e.focalLength", F.date_format("e.dateTaken", "yyyy-MM-dd HH:mm:ss").alias("taken"))
+
+
+def labels_and_codes(spark, sf_dir):
+    at = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (F.col("event_id") % k + 1).cast("int"))
+    kind, status, phase = at(["exact", "visual", "burst", "metadata", "odd"], 5), at(["scanning", "paused", "odd"], 3), at(["walking", "hashing", "odd", "complete"], 4)
+    return _table(spark, sf_dir, "events").select(
+        "event_id", S.kind_label(kind).alias("kind"), S.status_label(S.coded(status, schemas.STATUSES)).alias("status"), S.phase_label(phase).alias("phase")
+    )
+
+
+def dimension_texts(spark, sf_dir):
+    return photos(spark, sf_dir, prints=False).select("file_id", S.dimensions_text(F.col("width"), F.col("height")).alias("shown"))
+
+
+def rfc3339_times(spark, sf_dir):
+    text = S.rfc3339(F.col("ts").cast("timestamp"))
+    back = S.parse_rfc3339(F.when(F.col("event_id") % 7 == 0, F.lit("no time")).otherwise(text))
+    return _table(spark, sf_dir, "events").select("event_id", text.alias("text"), F.date_format(back, "yyyy-MM-dd HH:mm:ss").alias("back"))
+
+
+def session_names(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    root = F.when(F.col("c_custkey") % 5 == 0, "/").otherwise(F.concat(F.lit("/lib/"), F.col("c_mktsegment"), F.lit("/")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", S.session_name(F.when(k == 1, "").when(k == 2, F.col("c_name")), root).alias("name"))
+
+
+def _session_rows(spark, sf_dir):
+    base = _sessions(spark, sf_dir)
+    return base.select(
+        "session_id", F.col("session_id").alias("name"), F.concat(F.lit("/lib/"), "session_id").alias("root_path"), F.lit("scanning").alias("status"),
+        F.lit(PRESETS["exact_only"].to_json()).alias("config"), F.lit(4).cast("long").alias("scan_generation"), "updated_at",
+    )
 
-    def put(batch, batch_id):
-        batch.select("event_id", "event_type", "value").write.mode("overwrite").parquet(f"{base}/table/batch={batch_id}")
 
-    query = source.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = streaming.latest(spark.read.parquet(f"{base}/table"), ["event_id"])
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+def session_changes(spark, sf_dir):
+    rows = snapshot.set_status(snapshot.bump_generation(_session_rows(spark, sf_dir), "en", NOW), "en", "paused", NOW)
+    now = F.col("updated_at") == F.lit(NOW)
+    return rows.select("session_id", "status", "scan_generation", now.alias("touched"))
+
+
+def session_settings(spark, sf_dir):
+    """Root and configuration of one session, read back and resolved."""
+    rows = _session_rows(spark, sf_dir)
+    root, config = review.session_config(rows, "en")
+    held = resolve_config("custom", ScanConfig.from_json(config))
+    return rows.where("session_id = 'en'").select("session_id", F.lit(root).alias("root"), F.lit(held.exact_hash).alias("exact"), F.lit(held.visual_similar).alias("visual"), F.lit(held.phash_threshold).alias("threshold"))
+
+
+def session_progress(spark, sf_dir):
+    _, groups, _ = _groups(spark, sf_dir)
+    metrics = _table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("session_id")).agg(F.count("*").alias("files_processed"), F.max("doc_id").alias("last_id"))
+    return review.progress(metrics, groups, "en").select("session_id", "files_processed", "last_id", "groups")
+
+
+def scan_totals(spark, sf_dir):
+    files, groups, _ = _groups(spark, sf_dir)
+    return streaming.scan_metrics(files.where("not session_id = 'en'"), groups, 1_000_000, 10.0).select("files_processed", "files_total_estimate", "files_per_second", "percent", "groups_found")
+
+
+def plain_entries(spark, sf_dir):
+    """The scan plan without RAW files."""
+    return inventory.plan_scan(_inventory(spark, sf_dir), False).entries.select("doc_id", "path")
+
+
+def packed_bytes(spark, sf_dir):
+    k = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select("c_custkey", S.pack_bytes(F.array(k % 256, F.lit(None).cast("long"), (k * 7) % 256, k % 100)).alias("packed"))
+
+
+def cleared_groups(spark, sf_dir):
+    _, groups, members = _groups(spark, sf_dir)
+    groups, members = snapshot.clear_groups(groups, members, "en")
+    return members.join(groups.select("group_id", "kind"), "group_id").select("session_id", "group_id", "file_id", "kind")
+
+
+def kept_and_purged(spark, sf_dir):
+    """The smallest file of each third group is kept, and the rest of those groups purged."""
+    files, groups, members = _groups(spark, sf_dir)
+    chosen = groups.where("group_id % 3 = 0").select("group_id", F.array("group_id").alias("keepers"))
+    return decisions.keep_selected_and_purge(members, files, chosen)[1]
+
+
+def scanned_library(spark, sf_dir):
+    """A whole scan over the second of two snapshots: live files with their exact groups."""
+    old, new = _snapshots(spark, sf_dir)
+    docs = _inventory(spark, sf_dir).select("doc_id", "path").join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    texts = docs.select("path", F.col("doc_id"), S.content_hash(F.col("text")).alias("content_hash"))
+    prints = texts.where("doc_id % 10 <> 9").select(F.col("doc_id").alias("file_id"), "content_hash")
+    sessions = _session_rows(spark, sf_dir).limit(1).withColumn("session_id", F.lit("lib"))
+    files = old.withColumns({"companion_raw_path": F.lit(None).cast("string"), "companion_raw_size": F.lit(None).cast("long")})
+    empty = lambda schema: spark.createDataFrame([], schema)
+    before = scans.Tables(sessions, files, prints, empty(schemas.GROUPS), empty(schemas.MEMBERS))
+    fingerprint = lambda rows: rows.join(texts.select("path", "content_hash"), "path").select("file_id", "content_hash")
+    after = scans.scan(before, new, "lib", PRESETS["exact_only"], fingerprint, NOW)
+    live = after.files.where("deleted_at is null").select("file_id", "path", "scan_generation")
+    status = after.sessions.where("session_id = 'lib'").select("status")
+    return live.join(after.members.select("file_id", "group_id"), "file_id", "left").join(status, F.lit(True)).select("path", "scan_generation", "group_id", "status")
 
 
 QUERIES = {
@@ -315,7 +450,9 @@ QUERIES = {
         tiered_clusters, companion_pairs, scan_entries, snapshot_diff, rescanned_files, list_sessions, list_groups_page,
         group_details, count_groups, suggested_keepers, next_groups, applied_keepers, kept_all, purge_manifest,
         purge_result, deleted_session, path_parts, thumbnail_keys, formatted_bytes, camera_keys, shutter_texts,
-        raster_hashes, dct_hashes, streamed_events,
+        raster_hashes, dct_hashes, streamed_events, fingerprint_sets, upserted_fingerprints, assembled_fingerprints, exif_dates,
+        exif_tags, labels_and_codes, dimension_texts, rfc3339_times, session_names, session_changes, session_settings,
+        session_progress, scan_totals, plain_entries, packed_bytes, cleared_groups, kept_and_purged, scanned_library,
     )
 }
 
@@ -458,6 +595,19 @@ def _hex(bits: list[str]) -> str:
 _GRADIENT = [f"embedding[{8 * y + x + 1}] < embedding[{8 * y + x + 2}]" for y in range(8) for x in range(7)]
 _MEDIAN = [f"embedding[{i + 1}]::double > m" for i in range(64)]
 
+SETS = "sets as (select session_id, phash, size, width, height, min(file_id) as file_id from {} where phash is not null group by 1, 2, 3, 4, 5)"
+
+
+def _dct() -> str:
+    """The cosine transform of 8 x 8 values as SQL: rows first, then columns."""
+    c = [[math.cos(math.pi * (2 * x + 1) * u / 16) for x in range(8)] for u in range(8)]
+    rows = ", ".join(f"{' + '.join(f'{c[u][x]!r}::double * embedding[{8 * y + x + 1}]::double' for x in range(8))} as t{y}_{u}" for y in range(8) for u in range(8))
+    both = ", ".join(" + ".join(f"{c[v][y]!r}::double * t{y}_{u}" for y in range(8)) for v in range(8) for u in range(8))
+    bits = [f"w[{i + 1}] > m" for i in range(64)]
+    return f"""with t as (select vec_id, {rows} from embeddings), waves as (select vec_id, [{both}] as w from t),
+  middles as (select *, (list_sort(w)[32] + list_sort(w)[33]) / 2 as m from waves) select vec_id, {_hex(bits)} as phash from middles"""
+
+
 ORACLE_SQL = {
     "exact_groups": f"""with {PHOTOS}, {EXACT} select e.session_id, e.group_id, count(*) as member_count,
   cast(sum(p.size + coalesce(p.companion_size, 0)) as bigint) as bytes_recoverable
@@ -465,7 +615,7 @@ ORACLE_SQL = {
     "exact_members": f"with {PHOTOS}, {EXACT} select session_id, group_id, file_id from exact",
     "text_fingerprints": f"with {PRINTS} select file_id as doc_id, lpad(lower(to_hex(phash)), 16, '0') as phash from phashes",
     "simhash_prefix_pairs": f"""with {PHOTOS}, {PRINTS}, every as (select p.*, h.phash from photos p join phashes h using (file_id))
-  select session_id, a_id, b_id, cast(distance as integer) as distance from ({_pairs("every", True)})""",
+  , {SETS.format("every")} select session_id, a_id, b_id, cast(distance as integer) as distance from ({_pairs("sets", True)})""",
     "visual_members": f"with recursive {PHOTOS}, {PRINTS}, {EXACT}, {LEFT}, {VISUAL} select session_id, group_id, file_id, confidence_pct from visual",
     "shots_bursts": f"""with recursive shots as (
   select cast(user_id % {SHOT_SESSIONS} as varchar) as session_id, event_id as file_id, epoch_us(ts) as us, coalesce(event_type, '|') as camera from events where ts is not null
@@ -533,6 +683,42 @@ union all select 'members', count(*) from exact where session_id <> 'en'""",
     "raster_hashes": f"""with r as (
   select vec_id, embedding, (list_sort(embedding)[32]::double + list_sort(embedding)[33]::double) / 2 as m from embeddings
 ) select vec_id, {_hex(_GRADIENT)} as dhash, {_hex(_MEDIAN)} as mhash from r""",
-    "streamed_events": "select event_type, count(*) as n, max(event_id) as last_id from events group by 1",
+    "streamed_events": "select event_type, count(*) as n, max(event_id) as last_id, count(*) as n_stored from events group by 1",
+    "dct_hashes": _dct(),
+    "fingerprint_sets": f"""with {PHOTOS}, {PRINTS}, every as (select p.*, h.phash from photos p join phashes h using (file_id))
+  select session_id, file_id, min(file_id) over (partition by session_id, phash, size, width, height) as set_id from every""",
+    "banded_pairs": f"with {PHOTOS}, {PRINTS}, {EXACT}, {LEFT}, {SETS.format('rest')} select session_id, a_id, b_id from ({_pairs('sets', False)})",
+    "upserted_fingerprints": """select doc_id as file_id, case when doc_id % 4 <> 0 then sha256(text) when doc_id % 8 = 0 then lang end as content_hash,
+  case when doc_id % 4 <> 0 then n_chars end as phash from documents where doc_id % 5 <> 0 or doc_id % 4 = 0""",
+    "assembled_fingerprints": f"""with r as (select vec_id, embedding, (list_sort(embedding)[32]::double + list_sort(embedding)[33]::double) / 2 as m from embeddings)
+  select doc_id, sha256(text) as content_hash, case when vec_id is not null then 8 end as width,
+         case when vec_id is not null then {_hex(_MEDIAN)} end as phash, vec_id is null as rejected from documents left join r on vec_id = doc_id""",
+    "exif_dates": """select event_id, case when event_id % 3 = 0 and ts is not null then strftime(ts, '%Y-%m-%d %H:%M:%S')
+  when event_id % 2 = 0 then '2001-02-03 04:05:06' end as taken from events""",
+    "exif_tags": """select l_orderkey || '-' || l_linenumber as path, l_returnflag || 'cam' as "cameraMake",
+  case when l_linenumber % 2 = 0 then l_linestatus end as "cameraModel", l_linenumber * 100 as iso,
+  'f/' || printf('%.1f', round_even(trunc(l_quantity) / 4, 1)) as aperture,
+  case when trunc(l_quantity) <= 1 then '1.0s' else '1/' || cast(trunc(l_quantity) as bigint) end as "shutterSpeed",
+  case when l_linenumber % 2 = 1 then printf('%.0fmm', trunc(l_quantity)) end as "focalLength", '2020-01-02 03:04:05' as taken from lineitem""",
+    "labels_and_codes": """select event_id, list_extract(['Exact copy', 'Visually similar', 'Burst sequence', 'Metadata match', 'odd'], cast(event_id % 5 + 1 as integer)) as kind,
+  list_extract(['Scanning', 'Paused', 'Scanning'], cast(event_id % 3 + 1 as integer)) as status,
+  list_extract(['Walking directories', 'Hashing photos', 'odd', 'Scan complete'], cast(event_id % 4 + 1 as integer)) as phase from events""",
+    "dimension_texts": f"with {PHOTOS} select file_id, coalesce(width || '×' || height, '—') as shown from photos",
+    "rfc3339_times": """select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' as text,
+  case when event_id % 7 <> 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') end as back from events""",
+    "session_names": """select c_custkey, case when c_custkey % 3 = 2 then c_name when c_custkey % 5 = 0 then 'Scan' else c_mktsegment end as name from customer""",
+    "session_changes": """select distinct lang as session_id, case when lang = 'en' then 'paused' else 'scanning' end as status,
+  cast(case when lang = 'en' then 5 else 4 end as bigint) as scan_generation, lang = 'en' as touched from documents""",
+    "session_settings": """select distinct lang as session_id, '/lib/en' as root, true as exact, false as visual, 6 as threshold from documents where lang = 'en'""",
+    "session_progress": f"""with {PHOTOS}, {EXACT} select 'en' as session_id, count(*) as files_processed, max(file_id) as last_id,
+  (select count(distinct group_id) from exact where session_id = 'en') as "groups" from photos where session_id = 'en'""",
+    "scan_totals": f"""with {PHOTOS}, {EXACT} select count(*) as files_processed, 1000000 as files_total_estimate, count(*) / 10.0::double as files_per_second,
+  100.0::double * count(*) / 1000000 as percent, (select count(distinct group_id) from exact) as groups_found from photos where session_id <> 'en'""",
+    "plain_entries": f"with {INVENTORY} select doc_id, path from kinds where image",
+    "packed_bytes": "select c_custkey, cast(c_custkey % 256 + 65536 * ((c_custkey * 7) % 256) + 16777216 * (c_custkey % 100) as bigint) as packed from customer",
+    "cleared_groups": f"with {PHOTOS}, {EXACT} select session_id, group_id, file_id, 'exact' as kind from exact where session_id <> 'en'",
+    "kept_and_purged": f"""with {PHOTOS}, {EXACT}, members as (select *, file_id = group_id as is_keeper from exact where group_id % 3 = 0), {MANIFEST} select * from manifest""",
+    "scanned_library": f"""with {INVENTORY}, live as (select k.path, k.doc_id, d.text from kinds k join documents d using (doc_id) where k.image and k.doc_id % 10 <> 8)
+  select path, cast(2 + 3 as bigint) as scan_generation, case when count(*) over (partition by text) > 1 then min(doc_id) over (partition by text) end as group_id,
+         'reviewing' as status from live""",
 }
-ORACLE_SQL["banded_pairs"] = f"with {PHOTOS}, {PRINTS}, {EXACT}, {LEFT} select session_id, a_id, b_id from ({_pairs('rest', False)})"

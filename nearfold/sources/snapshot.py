@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, functions as F
 
+from nearfold.plans.storage import delete
+
 KEPT = ("width", "height", "inode", "created_at", "modified_at", "companion_raw_path", "companion_raw_size")
 
 
@@ -73,16 +77,37 @@ def for_clustering(files: DataFrame, fingerprints: DataFrame) -> DataFrame:
     return rows
 
 
-def write_partitions(df: DataFrame, path: str) -> None:
-    """Replaces the sessions that ``df`` holds and leaves the others (dynamic partition overwrite)."""
+def write_partitions(df: DataFrame, path: str, sessions=()) -> None:
+    """Replaces the sessions that ``df`` holds and leaves the others (dynamic partition overwrite).
+
+    ``sessions`` are replaced even if ``df`` has no row of them: their old rows go.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+    wanted = set(sessions)
+    if not wanted:
+        return
+    held = {r.session_id for r in df.where(F.col("session_id").isin(*wanted)).select("session_id").distinct().collect()}
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for status in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where):
+        name, _, value = status.getPath().getName().partition("=")
+        if name == "session_id" and unquote(value) in wanted - held:
+            delete(spark, status.getPath().toString())
+
+
+def clear_groups(groups: DataFrame, members: DataFrame, session_id) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) without those of a session, as before it is clustered anew."""
+    other = ~F.col("session_id").eqNullSafe(F.lit(session_id))
+    gone = groups.where(~other).select("group_id")
+    return groups.where(other), members.join(gone, "group_id", "left_anti")
 
 
 def delete_session(tables: dict[str, DataFrame], session_id) -> dict[str, DataFrame]:
-    """The tables without a session. Fingerprints go with the files that they belong to."""
-    gone = tables["files"].where(F.col("session_id") == session_id).select("file_id")
+    """The tables without a session. Fingerprints go with the files that they belong to. Rows without a session stay."""
+    mine = F.col("session_id").eqNullSafe(F.lit(session_id))
+    gone = tables["files"].where(mine).select("file_id")
     return {
-        name: df.where(F.col("session_id") != session_id) if "session_id" in df.columns else df.join(gone, "file_id", "left_anti")
+        name: df.where(~mine) if "session_id" in df.columns else df.join(gone, "file_id", "left_anti")
         for name, df in tables.items()
     }
 

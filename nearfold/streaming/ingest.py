@@ -12,13 +12,14 @@ FILES_PER_BATCH = 500
 
 def ingest(
     spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, process: Callable[[DataFrame], DataFrame],
-    format: str = "parquet", files_per_batch: int = FILES_PER_BATCH,
+    format: str = "parquet", files_per_batch: int = FILES_PER_BATCH, glob: str = "*",
 ) -> StreamingQuery:
     """Reads what is new under ``source`` and stops. A stopped run goes on where the checkpoint says.
 
     Each batch is one partition of ``target`` named by its id, so a batch that runs again replaces itself.
     """
-    stream = spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(source)
+    stream = spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    stream = stream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(source)
 
     def put(batch: DataFrame, batch_id: int) -> None:
         process(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -61,10 +62,18 @@ def brute_clusters(rows, threshold):
 
 
 def test_two_similar_files(spark):
-    rows = [(1, "s", 100, 100, 100, None, 15, None, None), (2, "s", 100, 100, 100, None, 14, None, None)]
-    config = ScanConfig(exact_hash=False, burst_detection=False, phash_threshold=2)
+    print_ = 0x0123456789ABCDEF
+    rows = [(31, "trip", 7040, 640, 426, None, print_, None, None), (44, "trip", 9900, 640, 426, None, print_ ^ 0x900, None, None), (45, "trip", 1, 2, 3, None, print_, None, None)]
+    config = ScanConfig(exact_hash=False, burst_detection=False, phash_threshold=8)
     found = cluster.tiered_members(frame(spark, rows), config).collect()
-    assert sorted((r.kind, r.group_id, r.file_id, r.confidence) for r in found) == [("visual", 1, 1, 0.5), ("visual", 1, 2, 0.5)]
+    assert sorted((r.kind, r.group_id, r.file_id, r.confidence) for r in found) == [("visual", 31, 31, 0.75), ("visual", 31, 44, 0.75)]
+
+
+def test_least_distance_of_members_that_are_no_link(spark):
+    """Two members are joined by a third; they are nearer to each other than to it, but differ in size and shape."""
+    rows = [(5, "s", 10, 4, 4, None, 0b0, None, None), (6, "s", 20, 4, 4, None, 0b1111, None, None), (7, "s", 20, 9, 9, None, 0b1, None, None)]
+    found = cluster.visual_members(frame(spark, rows), 5).collect()
+    assert {(r.group_id, r.file_id) for r in found} == {(5, 5), (5, 6), (5, 7)} and {round(r.confidence, 5) for r in found} == {0.8}
 
 
 def test_components(spark):
@@ -148,10 +157,11 @@ def test_tiers_exclude_what_is_taken(spark):
 @pytest.mark.parametrize(
     ("paths", "raw", "entries", "companions"),
     [
-        (["/p/D1.JPG", "/p/D1.ARW", "/p/D2.JPG"], True, ["/p/D1.JPG", "/p/D2.JPG"], {"/p/D1.JPG": "/p/D1.ARW"}),
-        (["/p/D1.jpg", "/p/D1.tif"], True, ["/p/D1.jpg"], {"/p/D1.jpg": "/p/D1.tif"}),
-        (["/p/D1.tif"], True, ["/p/D1.tif"], {}),
-        (["/p/D1.JPG", "/p/D1.ARW"], False, ["/p/D1.JPG"], {}),
+        (["/trip/lake 01.jpeg", "/trip/lake 01.nef", "/trip/boat.heic"], True, ["/trip/lake 01.jpeg", "/trip/boat.heic"], {"/trip/lake 01.jpeg": "/trip/lake 01.nef"}),
+        (["/trip/Kite.png", "/trip/kite.TIF"], True, ["/trip/Kite.png"], {"/trip/Kite.png": "/trip/kite.TIF"}),
+        (["/trip/alone.tiff", "/trip/alone.orf"], False, ["/trip/alone.tiff"], {}),
+        (["/trip/only.tif"], True, ["/trip/only.tif"], {}),
+        (["/trip/oak.webp", "/trip/oak.dng"], False, ["/trip/oak.webp"], {}),
         (["/p/D1.JPG", "/p/D1.tif", "/p/D1.arw", "/p/D1.3fr"], True, ["/p/D1.JPG", "/p/D1.tif"], {"/p/D1.JPG": "/p/D1.3fr", "/p/D1.tif": "/p/D1.3fr"}),
         (["/p/.hidden", "/p/noext", "/q/D1.JPG", "/p/D1.ARW"], True, ["/q/D1.JPG"], {}),
     ],
@@ -264,54 +274,99 @@ def test_images(spark, tmp_path):
 
 
 def library(spark):
+    """One group of three: 12 has the largest area, 15 is deleted, 11 has a RAW file beside it."""
     files = spark.createDataFrame(
-        [(1, "s1", "/tmp/a.jpg", 100, 1000, 1000, None, "/tmp/a.arw", 30, None), (2, "s1", "/tmp/b.jpg", 100, 4000, 3000, None, None, None, None), (3, "s1", "/tmp/c.jpg", 50, None, None, T0, None, None, None)],
+        [(11, "alps", "/lib/x/ridge.png", 730, 900, 700, None, "/lib/x/ridge.nef", 2100, None), (12, "alps", "/lib/y/ridge (1).png", 640, 1800, 1400, None, None, None, None), (15, "alps", "/lib/z.png", 90, None, None, T0, None, None, None)],
         "file_id long, session_id string, path string, size long, width int, height int, deleted_at timestamp, companion_raw_path string, companion_raw_size long, date_taken timestamp",
     )
-    members = spark.createDataFrame([(1, "s1", i, None) for i in (1, 2, 3)], schemas.MEMBERS)
-    groups = spark.createDataFrame([(1, "s1", "exact", 1.0, "pending")], schemas.GROUPS)
+    members = spark.createDataFrame([(11, "alps", i, None) for i in (11, 12, 15)], schemas.MEMBERS)
+    groups = spark.createDataFrame([(11, "alps", "visual", 0.9, "pending")], schemas.GROUPS)
     return files, groups, members
 
 
 def test_review_and_purge(spark):
     files, groups, members = library(spark)
     row = review.list_groups(groups, members, files).first()
-    assert (row.member_count, row.bytes_recoverable) == (3, 280)
-    detail = review.group_detail(groups, members, files, files.select("file_id"), 1).first()
-    assert [m.file_id for m in detail.members] == [1, 2]
+    assert (row.member_count, row.bytes_recoverable) == (3, 3560)
+    detail = review.group_detail(groups, members, files.withColumn("modified_at", F.lit(T0)), files.select("file_id"), 11).first()
+    assert [m.file_id for m in detail.members] == [11, 12]
+    one = detail.members[1]
+    key = hashlib.sha256("/lib/y/ridge (1).png".encode() + (640).to_bytes(8, "little")).hexdigest()
+    assert (one.file_name, one.created_at, one.modified_at, one.thumbnail_key) == ("ridge (1).png", None, T0, key)
     with pytest.raises(review.NotFound):
-        review.group_detail(groups, members, files, files.select("file_id"), 9)
-    assert review.suggested_keepers(members, files).first().file_id == 2
+        review.group_detail(groups, members, files, files.select("file_id"), 12)
+    assert review.suggested_keepers(members, files).first().file_id == 12
     with pytest.raises(decisions.NoKeeper):
         decisions.purge_manifest(members, files, groups.select("group_id"))
-    log = spark.createDataFrame([(1, 1, [2], False), (1, 2, [1], True)], "group_id long, seq int, keepers array<long>, undone boolean")
+    log = spark.createDataFrame([(11, 1, [12], False), (11, 2, [11], True)], "group_id long, seq int, keepers array<long>, undone boolean")
     kept = decisions.apply_keepers(members, decisions.latest_decisions(log))
-    assert {r.file_id: r.is_keeper for r in kept.collect()} == {1: False, 2: True, 3: False}
+    assert {r.file_id: r.is_keeper for r in kept.collect()} == {11: False, 12: True, 15: False}
     manifest = decisions.purge_manifest(kept, files, groups.select("group_id"))
-    assert sorted((r.role, r.path, r.bytes) for r in manifest.collect()) == [("companion", "/tmp/a.arw", 30), ("primary", "/tmp/a.jpg", 100)]
-    outcome = lambda ok: spark.createDataFrame([("/tmp/a.jpg", ok, None), ("/tmp/a.arw", True, None)], "path string, ok boolean, error string")
+    gone = [("companion", "/lib/x/ridge.nef", 2100), ("primary", "/lib/x/ridge.png", 730)]
+    assert sorted((r.role, r.path, r.bytes) for r in manifest.collect()) == gone
+    choice = spark.createDataFrame([(11, [12])], "group_id long, keepers array<long>")
+    at_once, listed = decisions.keep_selected_and_purge(members, files, choice)
+    assert sorted((r.role, r.path, r.bytes) for r in listed.collect()) == gone and at_once.where("is_keeper").first().file_id == 12
+    with pytest.raises(decisions.NoKeeper):
+        decisions.keep_selected_and_purge(members, files, spark.createDataFrame([(11, [99])], choice.schema))
+    outcome = lambda ok: spark.createDataFrame([("/lib/x/ridge.png", ok, None), ("/lib/x/ridge.nef", True, None)], "path string, ok boolean, error string")
     done = decisions.apply_purge(files, groups, manifest, outcome(True), T0)
-    assert done.result.first()[1:3] == (2, 130) and done.groups.first().review_status == "resolved"
-    assert done.files.where("file_id = 1").first().deleted_at == T0
+    assert done.result.first()[1:3] == (2, 2830) and done.groups.first().review_status == "resolved"
+    assert done.files.where("file_id = 11").first().deleted_at == T0
     failed = decisions.apply_purge(files, groups, manifest, outcome(False), T0)
-    assert failed.result.first()[1:] == (0, 0, ["/tmp/a.jpg: failed"]) and failed.groups.first().review_status == "pending"
-    every = decisions.apply_keepers(members, spark.createDataFrame([(1, [1, 2, 3])], "group_id long, keepers array<long>"))
+    assert failed.result.first()[1:] == (0, 0, ["/lib/x/ridge.png: failed"]) and failed.groups.first().review_status == "pending"
+    every = decisions.apply_keepers(members, spark.createDataFrame([(11, [11, 12, 15])], "group_id long, keepers array<long>"))
     assert decisions.purge_manifest(every, files, groups.select("group_id")).collect() == []
 
 
 def test_sessions_and_progress(spark):
-    sessions = snapshot.create_session(spark.createDataFrame([], schemas.SESSIONS), "session-1", "/tmp/photos", ScanConfig(), T0, "Test Session")
-    assert sessions.first().status == "scanning" and ScanConfig.from_json(review.session_config(sessions, "session-1")[1]) == ScanConfig()
-    sessions = snapshot.set_status(snapshot.bump_generation(sessions, "session-1", T0), "session-1", "paused", T0)
+    config = ScanConfig(phash_threshold=9, include_raw=True)
+    sessions = snapshot.create_session(spark.createDataFrame([], schemas.SESSIONS), "q7", "/lib/winter/", config, T0)
+    assert sessions.first().status == "scanning" and sessions.first().name == "winter"
+    assert review.session_config(sessions, "q7")[0] == "/lib/winter/" and ScanConfig.from_json(review.session_config(sessions, "q7")[1]) == config
+    sessions = snapshot.set_status(snapshot.bump_generation(sessions, "q7", T0), "q7", "paused", T0)
     assert sessions.first().scan_generation == 1 and sessions.first().status == "paused"
-    metrics = spark.createDataFrame([("session-1", "hashing", 42, 100, "/tmp/photos/a.jpg")], "session_id string, phase string, files_processed long, files_total_estimate long, last_path string")
-    row = review.progress(metrics, library(spark)[1], "session-1").first()
-    assert (row.files_processed, row.files_total_estimate, row.groups) == (42, 100, 0)
+    metrics = spark.createDataFrame([("alps", "clustering", 511, 640, "/lib/y")], "session_id string, phase string, files_processed long, files_total_estimate long, last_path string")
+    row = review.progress(metrics, library(spark)[1], "alps").first()
+    assert (row.files_processed, row.files_total_estimate, row.groups) == (511, 640, 1)
     for call in (lambda: review.progress(metrics, library(spark)[1], "no"), lambda: review.session_config(sessions, "no")):
         with pytest.raises(review.NotFound):
             call()
 
 
+def test_sessions_are_replaced_and_deleted_whole(spark, tmp_path):
+    path = str(tmp_path / "groups")
+    kind = "group_id long, session_id string"
+    snapshot.write_partitions(spark.createDataFrame([(1, "a b"), (2, "c"), (3, "d")], kind), path)
+    snapshot.write_partitions(spark.createDataFrame([(4, "c")], kind), path, ["a b", "c"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(3, "d"), (4, "c")]
+    rows = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "file_id long, session_id string")
+    prints = spark.createDataFrame([(1,), (2,)], "file_id long")
+    left = snapshot.delete_session({"files": rows, "fingerprints": prints}, "x")
+    assert sorted(r.file_id for r in left["files"].collect()) == [2, 3] and [r.file_id for r in left["fingerprints"].collect()] == [2]
+    files, groups, members = library(spark)
+    groups, members = snapshot.clear_groups(groups, members, "alps")
+    assert groups.count() == members.count() == 0
+
+
+def test_shared_folder_must_be_named(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from nearfold.plans import storage
+
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            storage.shared_dir(fake(master))
+    assert storage.shared_dir(fake("local[2]")).startswith("file:///")
+    with storage.scratch(spark) as kept:
+        inner = storage.written(spark.range(3).toDF("id"), "inner")
+        outer = kept(inner, "outer")
+        where = storage.fresh_dir(spark, "x").rpartition("/")[0].removeprefix("file:")
+        assert __import__("os").path.exists(where)
+    assert outer.count() == 3 and not __import__("os").path.exists(where)
+
+
 def test_snapshots(spark, tmp_path):
     files = spark.createDataFrame([(7, "s", "/a", 1, 1, 5, None, None, None, None, 1, None, None, None), (8, "s", "/b", 1, 1, 5, None, None, None, None, 1, None, None, None)], schemas.FILES.replace("file_id long, session_id string, path string, size long, mtime_ns long, width int, height int, inode long, scan_generation long, created_at timestamp, modified_at timestamp, deleted_at timestamp, ", "file_id long, session_id string, path string, size long, mtime_ns long, width int, height int, inode long, created_at timestamp, modified_at timestamp, scan_generation long, deleted_at timestamp, "))
     seen = spark.createDataFrame([("s", "/a", 2, 1), ("s", "/c", 3, 1)], "session_id string, path string, size long, mtime_ns long")
@@ -356,6 +411,7 @@ def test_entry(spark):
 
 
 def test_works_without_the_text_subpackage(tmp_path):
+    """The rest of the library, its entry and its tests in a copy without the two folders."""
     import pathlib
     import shutil
     import subprocess
@@ -364,7 +420,11 @@ def test_works_without_the_text_subpackage(tmp_path):
     import __spark_entry__
 
     root = pathlib.Path(__spark_entry__.__file__).parent
-    shutil.copytree(root / "nearfold", tmp_path / "nearfold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for folder in ("nearfold", "tests"):
+        shutil.copytree(root / folder, tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(root / name, tmp_path)
+    env = {"PATH": os.environ["PATH"], "HOME": os.environ.get("HOME", "/"), "PYTHONPATH": str(tmp_path)}
     code = "import __spark_entry__ as e; q = e.queries(); assert 'exact_groups' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)})
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "-k", "exact or path_parts or configs or entry"], cwd=tmp_path, check=True, env=env)
