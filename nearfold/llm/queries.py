@@ -56,11 +56,9 @@ def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents come in; copies of earlier ones go out; the rest is
     revised to counts with an end token, under a second version; the second batch is committed again."""
     docs = _table(spark, sf_dir, "documents")
-    counted = token_rollup.counts(docs, "doc_id", "text", BYTE_BPE)
-    rows = written(counted.join(docs.select("doc_id", "source", "lang"), "doc_id"), "counts")
-    rows = rows.withColumn("tokenizer_version", F.lit("byte_bpe_50k/1"))
-    first = rows.groupBy("text_hash").agg(F.min("doc_id").alias("first"))
-    flagged = rows.join(first, "text_hash").withColumn("copy", F.col("doc_id") != F.col("first"))
+    rows = written(token_rollup.counts(docs, "doc_id", "text", BYTE_BPE), "counts").withColumn("tokenizer_version", F.lit("byte_bpe_50k/1"))
+    first = written(rows.groupBy("text_hash").agg(F.min("doc_id").alias("first")), "first")  # written: a hot text can be split in the join
+    flagged = rows.join(first.hint("merge"), "text_hash").withColumn("copy", ~F.col("doc_id").eqNullSafe(F.col("first")))
     copies, rest = flagged.where("copy"), flagged.where("not copy")
     second = rest.withColumn("tokenizer_version", F.lit("byte_bpe_50k/2"))
     rollup = token_rollup.Rollup(spark, fresh_dir(spark, "rollup"))

@@ -7,6 +7,7 @@ found in the UTF-8 bytes themselves. A null text is an empty text here.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 PIECE_BYTES = 1 << 18
 FILTER_BITS = 1 << 25
+LONG_SPAN = 256
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -89,12 +91,18 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand."""
+    """A 64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand.
+
+    Sums of this form can be made to collide in runs of a thousand bytes or so, so spans of more than LONG_SPAN bytes are hashed by BLAKE2.
+    """
     n = len(data)
     total = np.zeros(n + 1, dtype=_U)
     np.cumsum(_BYTE[data] * _power("up", _BASE, n), out=total[1:])
     found = (total[ends] - total[starts]) * _power("down", _BASE_INV, n + 1)[starts]
-    return mix(found + (ends - starts).astype(_U))
+    found = mix(found + (ends - starts).astype(_U))
+    for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        found[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return found
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

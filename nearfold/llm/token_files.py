@@ -16,13 +16,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from nearfold.llm.chunkcoder import coder
-from nearfold.llm.files import attempt_file, place
+from nearfold.llm.files import attempt_file, in_ranges, place
 from nearfold.llm.textbatch import utf8
 from nearfold.plans.storage import fresh_dir, written
 
@@ -38,6 +39,7 @@ ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 NO_ID = -(1 << 63)
 LEVEL = 3
 READ_BYTES = 4 << 20
+DOCUMENTS_AT_ONCE = 256
 MANIFEST = "shard int, path string, docs long, tokens long, bytes long"
 
 
@@ -181,7 +183,6 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, ids) of the documents asked for: each file is opened with the ids in its range, and only their frames are read."""
-    spark = manifest.sparkSession
     files = manifest.select("path", "shard")
 
     def ranges(batches):
@@ -192,11 +193,19 @@ def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
 
     spans = files.mapInArrow(ranges, "path string, first long, last long")
     wanted = ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    asked = wanted.join(F.broadcast(spans), F.col("doc_id").between(F.col("first"), F.col("last")))  # a row per file
-
-    def some(table: pa.Table) -> pa.Table:
-        reader = FrameReader(table.column("path")[0].as_py())
-        found = list(reader.documents(table.column("doc_id").to_pylist()))
-        return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "ids": pa.array([x.astype(np.int64) for _, x in found], pa.list_(pa.int64()))})
-
-    return asked.select("path", "doc_id").groupBy("path").applyInArrow(some, "doc_id long, ids array<long>")
+    asked = in_ranges(wanted, "doc_id", spans)
+
+    def some(batches):
+        name, reader = None, None
+        for batch in batches:  # sorted by file and id
+            for path in dict.fromkeys(batch.column(0).to_pylist()):
+                if path != name:
+                    name, reader = path, FrameReader(path)
+                mine = batch.filter(pa.compute.equal(batch.column(0), path)).column(1).to_pylist()
+                for i in range(0, len(mine), DOCUMENTS_AT_ONCE):
+                    found = list(reader.documents(mine[i : i + DOCUMENTS_AT_ONCE]))
+                    yield pa.record_batch(
+                        [pa.array([d for d, _ in found], pa.int64()), pa.array([x.astype(np.int64) for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"]
+                    )
+
+    return asked.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(some, "doc_id long, ids array<long>")

@@ -1,9 +1,8 @@
 """Token totals by source, language and tokenizer version, maintained from signed changes.
 
 A batch of changes becomes one small partial of sums, written as one partition named by the
-batch id. Committing a batch again replaces its partition by an equal one, so a retry or a
-replay changes nothing, and a task or driver that is lost half-way leaves no trace: the
-partition appears when its job commits. Totals are the sums over the partials; ``compact``
+batch id. A batch that has been committed is not written again, so a replay changes nothing; a
+task or driver that is lost half-way leaves a partition without its mark of success, which the retry replaces. Totals are the sums over the partials; ``compact``
 folds committed partials into one and remembers their ids.
 """
 
@@ -23,17 +22,22 @@ KEYS = ["source", "lang", "tokenizer_version"]
 PARTIAL = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, folded array<string>, batch_id string"
 
 
-def counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, text_hash): the number of token ids of every whole text; a null text has 0."""
+def counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """(doc_id, n_tokens, text_hash, and the columns to keep as strings): the number of token ids of every whole text.
+
+    A null text has 0. Every row gives one row, whatever its id: nulls and repeated ids stay as they are.
+    """
 
     def run(batches):
         for batch in batches:
             n = np.array([len(x) for x in coder(vocabulary).encode(*utf8(batch.column(2)))], np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(n), batch.column(1)], ["doc_id", "n_tokens", "text_hash"])
+            yield pa.record_batch([batch.column(0), pa.array(n), batch.column(1), *batch.columns[3:]], ["doc_id", "n_tokens", "text_hash", *keep])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, text_hash string")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_hash"), text.alias("text"), *(F.col(c).cast("string").alias(c) for c in keep)
+    )
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, text_hash string" + "".join(f", `{c}` string" for c in keep))
 
 
 def inserts(rows: DataFrame) -> DataFrame:
@@ -75,18 +79,25 @@ class Rollup:
         folded = every.select(F.explode("folded").alias("batch_id")).distinct()
         return every.join(folded, "batch_id", "left_anti")
 
+    def _committed(self, batch_id: str) -> bool:
+        """Whether the job that wrote the batch has ended: an unfinished one leaves no mark and is written anew."""
+        system, path = place(self._path(batch_id))
+        return system.get_file_info(f"{path}/_SUCCESS").type != fs.FileType.NotFound
+
+    def _put(self, batch_id: str, sums: DataFrame) -> None:
+        sums.repartition(1).write.mode("overwrite").parquet(self._path(batch_id))  # summed before: a row per key
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Adds a batch of signed changes once; False if a compacted partial already has it.
+        """Adds a batch of signed changes once; False if it has been committed, by itself or within a compacted partial.
 
         Null keys are totals of their own; null counts add nothing; a batch without rows is remembered with no totals.
         """
         if not batch_id.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch id has letters, digits, - and _ only")
-        if self._partials().where(F.array_contains("folded", batch_id)).take(1):
+        if self._committed(batch_id) or self._partials().where(F.array_contains("folded", batch_id)).take(1):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum(F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        sums = sums.withColumn("folded", F.array().cast("array<string>"))
-        sums.coalesce(1).write.mode("overwrite").parquet(self._path(batch_id))  # one row per key
+        self._put(batch_id, sums.withColumn("folded", F.array().cast("array<string>")))
         return True
 
     def totals(self) -> DataFrame:
@@ -95,11 +106,16 @@ class Rollup:
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self, batch_id: str) -> None:
-        """Folds all committed partials into one under a new id."""
-        live = self._live()
-        ids = [r.batch_id for r in self._partials().select("batch_id").distinct().collect()]  # one per batch
-        seen = self._partials().select(F.explode("folded").alias("b")).distinct()
-        names = sorted({*ids, *(r.b for r in seen.collect())})
-        sums = live.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums = written(sums, "compacted").withColumn("folded", F.array(*map(F.lit, names)).cast("array<string>"))
-        sums.coalesce(1).write.mode("overwrite").parquet(self._path(batch_id))
+        """Folds all committed partials into one under a new id; nothing is done if that has been committed.
+
+        The ids folded in are rows of the new partial, with no keys and no counts, so no list of them passes through the driver.
+        """
+        if self._committed(batch_id):
+            return
+        every = self._partials().where(F.col("batch_id") != batch_id)
+        sums = self._live().where(F.col("batch_id") != batch_id).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = sums.withColumn("folded", F.array().cast("array<string>"))
+        names = every.select("batch_id").unionByName(every.select(F.explode("folded").alias("batch_id"))).distinct()
+        none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+        names = names.select(*(none.alias(k) for k in KEYS), zero.alias("n_docs"), zero.alias("n_tokens"), F.array("batch_id").alias("folded"))
+        self._put(batch_id, written(sums.unionByName(names), "compacted"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from nearfold.plans.storage import written
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^:/?#]*)"
 
 
@@ -62,7 +64,8 @@ def evaluate(captures: DataFrame, id_col: str, url_col: str, day_col: str, liste
         F.count(F.when(F.col("verdict") == "allow", 1)).alias("n_allow"),
         F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"),
     )
-    joined = rows.join(found, ["host", "fetch_day"], "left")
+    # written, so that the captures of a hot host and day come straight from a shuffle and can be split
+    joined = rows.join(written(found, "verdicts").hint("merge"), ["host", "fetch_day"], "left")
     block, allow = F.coalesce("n_block", F.lit(0)), F.coalesce("n_allow", F.lit(0))
     return joined.select(
         "capture_id",

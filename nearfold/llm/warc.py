@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from nearfold.llm.files import attempt_file, place
+from nearfold.llm.files import attempt_file, in_ranges, place
 from nearfold.plans.storage import fresh_dir, written
 
 LEVEL = 3
@@ -105,9 +105,13 @@ def write(
         data.alias("html"),
         F.sha1(F.encode(data, "UTF-8")).alias("sha1"),
     )
-    groups = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    revisit = (F.octet_length("html") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    told = rows.join(groups, "sha1").select("page_id", "url", "html", "sha1", F.when(revisit, F.col("first")).alias("first"))
+    # only digests and ids meet by digest; payloads are dealt by id and digest, so equal payloads are spread over all tasks
+    keys = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "sha1")
+    groups = keys.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("first is not null and n > 1")
+    revisits = keys.distinct().join(written(groups.select("sha1", "first"), "payloads").hint("merge"), "sha1").where("not page_id <=> first")
+    revisits = revisits.select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "first")
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1"))
+    told = rows.join(revisits.hint("merge"), same, "left").select("page_id", "url", "html", "sha1", "first")
 
     def run(batches):
         stream, path, at = None, "", 0
@@ -185,24 +189,26 @@ class IndexFile:
         at, size = FOOTER.unpack(self.file.read_at(FOOTER.size, end))
         self.directory = json.loads(gzip.decompress(self.file.read_at(size, at)))
         self.keys = [d[0].encode() for d in self.directory]
-
-    def captures(self, wanted: list[str]) -> Iterator[tuple[str, int | None, str, int, int]]:
-        """The captures of these keys, which are in ascending order of their bytes. Each block is read once at most."""
-        block, n = [], -1
-        for key in dict.fromkeys(wanted):
-            code = key.encode()
-            b = max(bisect.bisect_left(self.keys, code) - 1, 0)  # a key may begin at the end of the block before
-            while b < len(self.keys) and self.keys[b] <= code:
-                if b != n:
-                    _, at, size = self.directory[b]
-                    text = gzip.decompress(self.file.read_at(size, at)).decode()
-                    block, n = [x.split("\t", 1) for x in text.split("\n")], b
-                    names = [x[0].encode() for x in block]
-                i = bisect.bisect_left(names, code)
-                while i < len(block) and names[i] == code:
-                    yield key, *json.loads(block[i][1])
-                    i += 1
-                b += 1
+        self.block, self.names, self.number = [], [], -1
+
+    def _read(self, number: int) -> None:
+        if number != self.number:  # sorted keys ask for each block once
+            _, at, size = self.directory[number]
+            text = gzip.decompress(self.file.read_at(size, at)).decode()
+            self.block, self.number = [x.split("\t", 1) for x in text.split("\n")], number
+            self.names = [x[0].encode() for x in self.block]
+
+    def captures(self, key: str) -> Iterator[tuple[str, int | None, str, int, int]]:
+        """The captures of a key: the directory is searched, then the blocks that may hold the key."""
+        code = key.encode()
+        b = max(bisect.bisect_left(self.keys, code) - 1, 0)  # a key may begin at the end of the block before
+        while b < len(self.keys) and self.keys[b] <= code:
+            self._read(b)
+            i = bisect.bisect_left(self.names, code)
+            while i < len(self.block) and self.names[i] == code:
+                yield key, *json.loads(self.block[i][1])
+                i += 1
+            b += 1
 
 
 def _records(found: list[tuple[str, int | None, str, int, int]]) -> Iterator[tuple]:
@@ -233,27 +239,36 @@ def _records(found: list[tuple[str, int | None, str, int, int]]) -> Iterator[tup
 
 
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """The records of every capture whose key is in the column ``surt`` of ``keys``, read from the archives."""
+    """The records of every capture whose key is in the column ``surt`` of ``keys``, read from the archives.
+
+    Keys are dealt to the index files that may hold them, their captures to the archives; both in sorted order, so
+    a task holds one block of an index file, or one range of an archive, at a time.
+    """
     keys = keys.select(F.translate("surt", "\t\n", "  ").alias("surt")).where("surt is not null").distinct()
-    asked = keys.join(F.broadcast(index), F.col("surt").between(F.col("first"), F.col("last")))  # a row per file
+    asked = in_ranges(keys, "surt", index)
 
-    def run(batches):
-        some = list(batches)  # keys only
-        if not some:
-            return
-        table = pa.Table.from_batches(some)
-        for path in table.column("path").unique().to_pylist():
-            mine = table.filter(pa.compute.equal(table.column("path"), path)).column("surt").to_pylist()
-            found: list = []
-            for x in IndexFile(path).captures(sorted(mine, key=str.encode)):
-                found.append(x)
-                if len(found) == 20_000:
-                    yield _batch(found)
-                    found = []
+    def places(batches):
+        name, file = None, None
+        for batch in batches:
+            found = []
+            for path, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if path != name:
+                    name, file = path, IndexFile(path)
+                found += file.captures(key)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+                    ["surt", "page_id", "path", "at", "size"],
+                )
+
+    def records(batches):
+        for batch in batches:
+            found = list(zip(*(c.to_pylist() for c in batch.columns)))
             if found:
                 yield _batch(found)
 
-    return asked.select("path", "surt").repartition("path").mapInArrow(run, RECORD)
+    captures = asked.repartition("path").sortWithinPartitions("path", "surt").mapInArrow(places, CAPTURE)
+    return captures.repartition("path").sortWithinPartitions("path", "at").mapInArrow(records, RECORD)
 
 
 def _batch(found: list) -> pa.RecordBatch:

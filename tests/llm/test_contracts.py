@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -199,6 +200,14 @@ def brute_quality(text):
 
 
 def test_op3(spark, sf, docs, library):
+    import functools
+
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=str(queries.PIECES))
+    piece_ids = functools.cache(lambda w: pieces.encode(w))
+    t = pq.read_table(f"{sf}/documents.parquet")
+    langs = dict(zip(t.column("doc_id").to_pylist(), t.column("lang").to_pylist()))
     rows = {r.doc_id: r for r in queries.op3_fertility_rules(spark, sf).collect()}
     assert rows.keys() == docs.keys()
     for d, text in docs.items():
@@ -211,6 +220,14 @@ def test_op3(spark, sf, docs, library):
         if ids:
             p = np.array(list(count.values())) / len(ids)
             assert abs(r.entropy + (p * np.log2(p)).sum()) < 1e-9
+        assert abs(r.chars_per_token - b[1] / max(len(ids), 1)) < 1e-9
+        words = WORD.findall(text or "")
+        spelt = sum(sum(3 <= i <= 258 for i in piece_ids(w)) for w in words)
+        assert abs(r.fallback_share - spelt / max(1, len(" ".join(words).encode()) - len(words) + 1)) < 1e-9, d
+        band = fertility.BANDS[langs[d]]
+        step = [x <= len(ids) for x in fertility.ENTROPY_STEPS].count(True) - 1
+        inside = band.chars_per_token[0] <= r.chars_per_token <= band.chars_per_token[1] and r.entropy >= band.entropy[step] and r.fallback_share <= band.fallback_share
+        assert r.kept == (inside and not r.base_failed)
 
 
 def test_op3_against_labels(spark, sf):
@@ -331,28 +348,64 @@ def test_rollup_commits_once(spark, tmp_path):
     rollup = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
     rows = spark.createDataFrame([("s", "en", "v", 5), ("s", None, "v", 7), ("s", "en", "v", None)], "source string, lang string, tokenizer_version string, n_tokens long")
     assert rollup.totals().collect() == []
-    for _ in range(2):
-        assert rollup.commit("a", token_rollup.inserts(rows))
+    assert rollup.commit("a", token_rollup.inserts(rows))
+    assert not rollup.commit("a", token_rollup.inserts(rows.limit(1)))
     assert rollup.commit("none", token_rollup.inserts(rows.limit(0)))
     total = lambda: sorted(((r.lang or "", r.n_docs, r.n_tokens) for r in rollup.totals().collect()))
     assert total() == [("", 1, 7), ("en", 2, 5)]
-    rollup.compact("c1")
-    assert total() == [("", 1, 7), ("en", 2, 5)]
+    for _ in range(2):  # a retry
+        rollup.compact("c1")
+        assert total() == [("", 1, 7), ("en", 2, 5)]
     assert not rollup.commit("a", token_rollup.inserts(rows))
     assert rollup.commit("b", token_rollup.deletes(rows.where("lang is null")))
     assert rollup.commit("r", token_rollup.revisions(rows.where("n_tokens = 5").withColumn("old_tokens", rows.n_tokens - 2)))
-    rollup.compact("c2")
-    assert total() == [("en", 2, 7)]
+    for _ in range(2):
+        rollup.compact("c2")
+        assert total() == [("en", 2, 7)]
+    for batch in ("a", "b", "c1", "none", "r", "c2"):
+        assert not rollup.commit(batch, token_rollup.inserts(rows))
+    (tmp_path / "r" / "batch_id=late").mkdir()  # a job that did not end
+    assert rollup.commit("late", token_rollup.inserts(rows.limit(1))) and total() == [("en", 3, 12)]
+
+
+def test_counts_of_null_and_repeated_ids(spark, awkward, empty, library):
+    rows = token_rollup.counts(awkward, "doc_id", "text", queries.BYTE_BPE, ("lang", "start"))
+    found = collections.Counter((r.doc_id, r.n_tokens, r.lang, r.start) for r in rows.collect())
+    assert found == collections.Counter((d, len(library.encode(t or "", add_special_tokens=False).ids), lang, str(k)) for d, t, lang, k in AWKWARD)
+    assert token_rollup.counts(empty, "doc_id", "text", queries.BYTE_BPE, ()).collect() == []
+
+
+def test_op5_on_awkward_rows(spark, tmp_path, library):
+    schema = "doc_id long, text string, source string, lang string"
+    rows = [(1, "a b", "x", "en"), (1, "a b", "x", "en"), (None, "c d e", "y", None), (None, "a b", "x", "en"), (3, None, "x", "en"), (4, "a b", None, "en")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in queries.op5_token_rollups(spark, str(tmp_path)).collect()}
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    expected = {}
+    for version, more in (("byte_bpe_50k/1", 0), ("byte_bpe_50k/2", 1)):  # ids 1, null and 3 stay; the null id and 4 repeat the text of 1
+        expected["x", "en", version] = (3, 2 * (n("a b") + more) + more)
+        expected["y", None, version] = (1, n("c d e") + more)
+    assert found == expected
 
 
-def test_op6(spark, sf):
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_op6(spark, sf, folder):
     import duckdb
 
-    db = duckdb.connect()
-    db.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    where, db = os.path.join(os.path.dirname(sf), folder), duckdb.connect()
+    db.sql(f"create view pages as select * from '{where}/pages.parquet'")
     rows = db.sql(queries.OP6_SQL).fetchall()
-    found = [tuple(r) for r in queries.op6_temporal_url_lists(spark, sf).collect()]
-    assert sorted(found) == sorted(rows) and len({r[-1] for r in rows}) == 3
+    found = [tuple(r) for r in queries.op6_temporal_url_lists(spark, where).collect()]
+    assert sorted(found) == sorted(rows)
+    assert {r[-1] for r in rows} >= {"block", "pass"} and ("allow" in {r[-1] for r in rows} or folder == "sf0.001")
+
+
+def test_url_lists_from_pages_with_nulls(spark, tmp_path):
+    rows = [(None, "http://a.example.com/x", "y"), (1, None, None), (2, "", ""), (3, "no host", None), (4, "http://a.example.com/x", "y"), (4, "http://a.example.com/x", "y")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.op6_temporal_url_lists(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.decision) for r in found if not r.host) == [(False, 1, "pass"), (False, 2, "pass"), (False, 3, "pass")]
+    assert len(found) == 6 and [r.decision for r in found if r.page_id is None] == ["pass"]
 
 
 def test_url_lists_at_the_edges(spark):
@@ -397,17 +450,35 @@ def test_url_lists_at_the_edges(spark):
 
 
 def test_op7(spark, sf, docs):
+    """Every row found is within reach and at the right distance; exact passages are all found, near ones to nine tenths at least."""
     items = pq.read_table(f"{sf}/benchmark.parquet").to_pylist()
     rows = {(r.doc_id, r.item_id): r for r in queries.op7_cgk_decontamination(spark, sf).collect()}
-    found = set()
+    targets = {x["item_id"]: [word_hash(w) for w in WORD.findall(x["text"].translate(LOWER))] for x in items}
+    near, exact = {}, set()
     for d, text in docs.items():
-        words = " " + " ".join(WORD.findall((text or "").translate(LOWER))) + " "
-        for item in items:
-            target = WORD.findall(item["text"].translate(LOWER))
-            if f" {' '.join(target)} " in words:
-                found.add((d, item["item_id"]))
-                assert rows[d, item["item_id"]].distance == 0
-    assert found and found <= rows.keys()
+        words = np.array([word_hash(w) for w in WORD.findall((text or "").translate(LOWER))], np.uint64)
+        held = set(words.tolist())
+        for i, target in targets.items():
+            allowed = len(target) // 10
+            if len(words) and sum(w not in held for w in target) <= allowed:
+                distance = brute_distance_at_most(words, target)
+                if distance <= allowed:
+                    near[d, i] = distance
+                if distance == 0:
+                    exact.add((d, i))
+    assert exact and exact <= rows.keys() <= near.keys()
+    assert all(rows[k].distance == 0 for k in exact) and all(rows[k].distance >= near[k] for k in rows)
+    assert len(rows) >= 0.9 * len(near)
+
+
+def brute_distance_at_most(text, item):
+    """The least edit distance of ``item`` to a run of ``text``, a column of the table at a time (Sellers, 1980)."""
+    cost = np.zeros(len(text) + 1, np.int64)
+    ramp = np.arange(len(text) + 1)
+    for i, w in enumerate(item, 1):
+        step = np.append(i, np.minimum(cost[:-1] + (text != np.uint64(w)), cost[1:] + 1))
+        cost = np.minimum.accumulate(step - ramp) + ramp
+    return int(cost.min())
 
 
 def brute_distance(text, item):
