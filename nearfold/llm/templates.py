@@ -240,11 +240,15 @@ def without_recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
     joined = docs.join(hits.hint("merge"), same, "left")  # as many rows as documents: never a broadcast
     split = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_lines"))  # by hash: linear in the lines
-    kept = F.transform(left, lambda i: F.get(split, i))
+
+    def rest(parts):
+        left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_lines"))  # by hash: linear in the lines
+        return F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+
+    kept = F.get(F.transform(F.array(split), rest), 0)  # split once, not for each line
     return joined.select(
         *(
-            (F.when(F.col("_lines").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c))
+            (F.when(F.col("_lines").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c))
             for c in docs.columns
         ),
         F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
