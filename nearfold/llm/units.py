@@ -37,10 +37,18 @@ _U = np.uint64
 _K = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    found = np.full(n, base)
-    found[0] = 1
-    return np.multiply.accumulate(found)
+_known: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    have = _known.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, _U)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if n <= 1 << 22:
+            _known[base] = have
+    return have[:n]
 
 
 def _runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
@@ -49,8 +57,8 @@ def _runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.nda
     for i, base in enumerate(_K):
         own = mix(words ^ base) if i else words
         total = np.zeros(n, _U)
-        np.cumsum(own * _powers(base, n)[:-1], out=total[1:])
-        down = _powers(_U(pow(int(base), -1, 1 << 64)), n)
+        np.cumsum(own * _powers(int(base), n)[:-1], out=total[1:])
+        down = _powers(pow(int(base), -1, 1 << 64), n)
         found.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(_U)))
     return found
 
@@ -60,13 +68,17 @@ def span(min_words: int) -> int:
     return max(1, (min_words + 2) // 3)
 
 
-def _least(words: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
-    """Marks the words of the least hash in every run of ``width`` words that holds none of ``ends``."""
+STOPS = np.zeros(256, bool)
+STOPS[list(b".!?")] = True
+
+
+def _least(words: np.ndarray, row: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Marks the words of the least hash in every run of ``width`` words of one row that holds none of ``ends``."""
     marked = np.zeros(len(words), bool)
     if len(words) < width:
         return marked
     upto = np.concatenate([[0], np.cumsum(ends)])
-    runs = np.flatnonzero(upto[width:] == upto[:-width])
+    runs = np.flatnonzero((upto[width:] == upto[:-width]) & (row[width - 1 :] == row[: len(row) - width + 1]))
     least = np.lib.stride_tricks.sliding_window_view(words, width)[runs].min(1) if len(runs) else words[:0]
     for k in range(width):  # equal words of a run are all marked
         place = runs + k
@@ -74,49 +86,56 @@ def _least(words: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     return marked
 
 
-def row_units(data: np.ndarray, ends, words, line_first, paragraph_first, min_words: int):
-    """(first word, end word, kind) of the units of one row that has words. ``line_first`` and ``paragraph_first``: number of the first
-    word of each line and paragraph with words, ascending. A unit that is of several kinds comes once, with all their bits."""
-    n = len(words)
-    found = []
-    for kind, begin in ((LINE, line_first), (PARAGRAPH, paragraph_first)):
+def _units(stop: np.ndarray, words: np.ndarray, rows: np.ndarray, breaks: np.ndarray, of: np.ndarray, min_words: int):
+    """(row, first word, end word, kind) of the units of several rows. Row r has the words rows[r] to rows[r + 1] and the lines of[r] to
+    of[r + 1], line i the words from breaks[i] on. A unit that is of several kinds comes once, with all their bits."""
+    n, found = len(words), []
+    size = np.diff(rows)
+    has = np.diff(np.append(breaks, n)) > 0
+    opens = has.copy()
+    opens[1:] &= ~has[:-1]
+    first_lines = of[:-1]
+    opens[first_lines] = has[first_lines]
+    # a row without words ends the paragraph and the line before it; rows begin new ones, so the next begin is the end
+    for kind, some in ((LINE, has), (PARAGRAPH, opens)):
+        begin = breaks[some]
         found.append((begin, np.append(begin[1:], n), np.full(len(begin), kind)))
-    if n >= min_words:
-        stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
-        stop |= _least(words, stop, span(min_words))
-        cuts = np.unique(np.concatenate([[0], np.flatnonzero(stop) + 1, line_first, [n]]))
-        to = np.searchsorted(cuts, cuts + min_words)
-        some = to < len(cuts)
-        found.append((cuts[some], cuts[to[some]], np.full(some.sum(), RUN)))
+    row = np.repeat(np.arange(len(size)), size)
+    cut = np.zeros(n + 1, bool)
+    cut[rows] = True
+    cut[breaks[has]] = True
+    cut[np.flatnonzero(stop | _least(words, row, stop, span(min_words))) + 1] = True
+    cuts = np.flatnonzero(cut)
+    begin = cuts[cuts < n]
+    to = np.searchsorted(cuts, begin + min_words)
+    some = np.flatnonzero(to < len(cuts))
+    some = some[cuts[to[some]] <= rows[row[begin[some]] + 1]]
+    found.append((begin[some], cuts[to[some]], np.full(len(some), RUN)))
     first, last, kind = (np.concatenate(x) for x in zip(*found))
     key, which = np.unique(first * (n + 1) + last, return_inverse=True)
     kinds = np.zeros(len(key), np.int64)
-    np.bitwise_or.at(kinds, which, kind)
-    return key // (n + 1), key % (n + 1), kinds
+    for bit in (LINE, PARAGRAPH, RUN):
+        kinds[which[kind == bit]] |= bit
+    first = key // (n + 1)
+    return row[first], first, key % (n + 1), kinds
 
 
 def _batch_units(batch, column: int, min_words: int):
-    """For each row with words: its number, the bytes before each word's start and after its end in characters, and its units."""
+    """For each piece of a batch: the rows, words, units (first, end, kind) and their places in characters of the text."""
     data, offsets = utf8(batch.column(column))
     for i, j in pieces(offsets):
         some = data[offsets[i] : offsets[j]]
         places = offsets[i : j + 1] - offsets[i]
         low = LOWER[some]
         starts, ends, rows = spans(low, places)
+        if not len(starts):
+            continue
         words = hashes(low, starts, ends)
         begin, _, of = lines(some, places)
-        breaks = np.searchsorted(starts, begin)
+        row, first, last, kinds = _units(STOPS[low[ends - 1]], words, rows, np.searchsorted(starts, begin), of, min_words)
         chars = np.concatenate([[0], np.cumsum((some & 0xC0) != 0x80)])
-        for r in range(j - i):
-            a, b = rows[r], rows[r + 1]
-            if a == b:
-                continue
-            mine = breaks[of[r] : of[r + 1]] - a
-            has = np.diff(np.append(mine, b - a)) > 0
-            opens = has & ~np.append(False, has[:-1])
-            first, last, kinds = row_units(low, ends[a:b], words[a:b], mine[has], mine[opens], min_words)
-            base = chars[places[r]]
-            yield i + r, words[a:b], first, last, kinds, chars[starts[a:b][first]] - base, chars[ends[a:b][last - 1]] - base
+        base = chars[places[row]]
+        yield i + row, words, rows[row], first, last, kinds, chars[starts[first]] - base, chars[ends[last - 1]] - base
 
 
 def _digests(docs: DataFrame, min_words: int) -> DataFrame:
@@ -124,9 +143,8 @@ def _digests(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [_runs(words, first, last)[0] for _, words, first, last, *_ in _batch_units(batch, 0, min_words)]
-            if found:
-                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["d1"])
+            for _, words, _, first, last, *_ in _batch_units(batch, 0, min_words):
+                yield pa.record_batch([pa.array(_runs(words, first, last)[0].view(np.int64))], ["d1"])
 
     return docs.select("text").mapInArrow(run, "d1 long")
 
@@ -136,18 +154,13 @@ def _places(docs: DataFrame, min_words: int, bits: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            row, out = [], []
-            for r, words, first, last, kinds, start, end in _batch_units(batch, 1, min_words):
-                d1, d2 = _runs(words, first, last)
-                some = passing(d1.view(np.int64), bits)
-                if some.any():
-                    row.append(np.full(some.sum(), r))
-                    out.append([x[some] for x in (d1.view(np.int64), d2.view(np.int64), first, last, start, end, kinds)])
-            if out:
-                d1, d2, *rest = (np.concatenate(x) for x in zip(*out))
-                ids = batch.column(0).take(pa.array(np.concatenate(row)))
-                columns = [pa.array(d1), pa.array(d2), ids, *(pa.array(x.astype(np.int32)) for x in rest)]
-                yield pa.record_batch(columns, ["d1", "d2", "doc_id", "first", "last", "start", "end", "kind"])
+            for row, words, base, first, last, kinds, start, end in _batch_units(batch, 1, min_words):
+                d1, d2 = (x.view(np.int64) for x in _runs(words, first, last))
+                some = np.flatnonzero(passing(d1, bits))
+                if len(some):
+                    rest = (first - base, last - base, start, end, kinds)
+                    columns = [pa.array(d1[some]), pa.array(d2[some]), batch.column(0).take(pa.array(row[some])), *(pa.array(x[some].astype(np.int32)) for x in rest)]
+                    yield pa.record_batch(columns, ["d1", "d2", "doc_id", "first", "last", "start", "end", "kind"])
 
     return docs.mapInArrow(run, "d1 long, d2 long, doc_id long, first int, last int, start int, end int, kind int")
 
