@@ -281,8 +281,8 @@ def _room(hits, n, least, most, num: int, den: int):
     tokens are in both; a link needs t / (1 + t) of the two sizes. The bound is least for the member nearest to a size at its limit.
     """
     room = (num + den) * den * hits
-    larger = (most >= n) & (room >= num * F.greatest(den * n - num * most, F.lit(0)))
-    smaller = (least <= n) & (room >= num * F.greatest(den * least - num * n, F.lit(0)))
+    larger = (most >= n) & (den * n >= num * least) & (room >= num * F.greatest(den * n - num * most, F.lit(0)))
+    smaller = (least <= n) & (den * most >= num * n) & (room >= num * F.greatest(den * least - num * n, F.lit(0)))
     return larger | smaller
 
 
@@ -298,11 +298,12 @@ def _across(placed: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFra
     open_ = placed.join(written(mixed, "mixed").hint("merge"), "sig").join(written(sizes, "comps").hint("merge"), "comp")
     open_ = written(open_.withColumn("rank", F.struct("size", "comp")).withColumn("block", _block()), "open")
     asks = open_.select("sig", "rank", "n", F.col("doc_id").alias("query"), F.col("leader").alias("own"))
-    groups = written(open_.groupBy("sig", "leader", "block").agg(F.max("rank").alias("top")), "groups")
-    others = asks.join(groups.hint("merge"), "sig").where("own <> leader and rank < top")
-    others = others.groupBy("query", "n", "leader", "block").agg(F.count("*").alias("hits"))
-    spans = open_.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    others = others.join(written(spans, "spans").hint("merge"), ["leader", "block"])
+    # the sizes are those of the members that hold the token: of two linked sets each is among them for every token they share
+    groups = open_.groupBy("sig", "leader", "block").agg(F.max("rank").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
+    groups = written(groups, "groups")
+    near = (den * F.col("n") >= num * F.col("least")) & (den * F.col("most") >= num * F.col("n"))
+    others = asks.join(groups.hint("merge"), "sig").where("own <> leader and rank < top").where(near)
+    others = others.groupBy("query", "n", "leader", "block").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
     others = others.where(_room(F.col("hits"), F.col("n"), F.col("least"), F.col("most"), num, den)).select("query", "leader", "block")
     # followers of one leader share many tokens: they meet once by the leader instead of once for each token
     tops = written(groups.groupBy("leader", "block").agg(F.max("top").alias("top")), "tops")
