@@ -20,7 +20,7 @@ def _star(edges: DataFrame) -> DataFrame:
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     large = both.where("v > u").join(written(least, "least"), "u")
-    large = written(large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+    large = written(large.select(F.col("v").alias("hi"), F.col("m").alias("lo")), "large")  # a row per edge at most
     low = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
     joined = large.join(low, "hi")
     return (
@@ -31,9 +31,11 @@ def _star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _state(edges: DataFrame):
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node has two lower neighbours, or a lower and a higher one. One aggregate, and no further round."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return not nodes.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("up") < F.col("n"))))).first()[0]
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -52,15 +54,12 @@ def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs = written(pairs.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct(), "edges")
     loops = pairs.where("hi = lo").select(F.col("hi").alias("node"))
     now = pairs.where("hi <> lo")
-    before = _state(now)
-    if before[0]:
-        for _ in range(MAX_ROUNDS):
-            now = written(_star(now), "star")
-            after = _state(now)
-            if after == before:
-                break
-            before = after
-        else:
+    for _ in range(MAX_ROUNDS):
+        if _settled(now):
+            break
+        now = written(_star(now), "star")
+    else:
+        if not _settled(now):
             raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
     found = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = found.select("component").distinct().select(F.col("component").alias("node"), "component")
