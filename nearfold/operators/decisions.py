@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from nearfold.plans.storage import written
+
 
 class NoKeeper(ValueError):
     """A purge of a group in which nothing is kept."""
@@ -36,18 +38,18 @@ def keep_all(groups: DataFrame, members: DataFrame, chosen: DataFrame) -> tuple[
 
 
 def purge_manifest(members: DataFrame, files: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """``(group_id, file_id, role, path, bytes)`` of what to delete: live members that are no keepers, of groups with a keeper, and their companions.
+    """``(group_id, file_id, role, path, bytes)`` of what to delete: live members that are no keepers, of groups with a live keeper, and their companions.
 
-    Groups given as ``chosen`` that have no keeper raise NoKeeper.
+    A keeper that is deleted keeps nothing: a group of which no live member is kept loses nothing. Groups given as ``chosen`` of which
+    none is kept raise NoKeeper.
     """
-    kept = members.groupBy("group_id").agg(F.count_if(F.coalesce("is_keeper", F.lit(False))).alias("keepers"))
+    alive = members.select("group_id", "file_id", F.coalesce("is_keeper", F.lit(False)).alias("is_keeper")).join(files.where("deleted_at is null").drop("session_id", "group_id", "is_keeper"), "file_id")
+    kept = written(alive.where("is_keeper").select("group_id").distinct(), "kept")
     if chosen is not None:
-        kept = chosen.select("group_id").distinct().join(kept, "group_id", "left")
-        bad = kept.where("coalesce(keepers, 0) = 0").limit(5).collect()
+        bad = chosen.select("group_id").distinct().join(kept, "group_id", "left_anti").limit(5).collect()
         if bad:
-            raise NoKeeper(f"no keeper in groups {sorted(r.group_id for r in bad)}")
-    loose = members.where(~F.coalesce("is_keeper", F.lit(False))).join(kept.where("keepers > 0").select("group_id"), "group_id")
-    rows = loose.select("group_id", "file_id").join(files.where("deleted_at is null").drop("session_id"), "file_id")
+            raise NoKeeper(f"no live keeper in groups {sorted(r.group_id for r in bad)}")
+    rows = alive.where("not is_keeper").join(kept, "group_id", "left_semi")
     parts = F.array(
         F.struct(F.lit("primary").alias("role"), F.col("path").alias("path"), F.col("size").alias("bytes")),
         F.struct(F.lit("companion").alias("role"), F.col("companion_raw_path").alias("path"), F.coalesce("companion_raw_size", F.lit(0)).alias("bytes")),

@@ -24,14 +24,22 @@ class Tables:
     members: DataFrame
 
 
+@dataclass(frozen=True)
+class Scanned(Tables):
+    """The tables after a scan, and the ``rejects`` (session_id, path, size, mtime_ns) that got no fingerprint."""
+
+    rejects: DataFrame
+
+
 def scan(
     tables: Tables, listing: DataFrame, session_id: str, config: ScanConfig, fingerprint: Callable[[DataFrame], DataFrame], now,
     burst_window_secs: int | None = None,
-) -> Tables:
+) -> Scanned:
     """The tables after a scan of a session.
 
     ``listing`` has session_id, path, size and mtime_ns of every file there is. Only new and changed files are given to
-    ``fingerprint``, which returns file_id and the columns of the fingerprints; files that are gone get ``now`` as deleted_at.
+    ``fingerprint``, once, which returns file_id and the columns of the fingerprints, with width and height if it knows them; files that are gone
+    get ``now`` as deleted_at. Files without a fingerprint are rejects: not stored, and tried again by the next scan.
     The session's groups are made anew from its live files, those of other sessions stay; its status becomes "reviewing".
     """
     mine = F.col("session_id").eqNullSafe(F.lit(session_id))
@@ -40,16 +48,18 @@ def scan(
     plan = inventory.plan_scan(listing.where(mine), config.include_raw)
     wanted = inventory.attach_companions(plan.entries, plan.companions)
     own, others = tables.files.where(mine), tables.files.where(~mine)
-    updated, prints = snapshot.rescan(own, wanted, fingerprint, generation, now)
-    updated = written(updated, "files")
-    prints = written(snapshot.upsert_fingerprints(tables.fingerprints, prints), "fingerprints")
+    found = snapshot.rescan_with_rejects(own, wanted, fingerprint, generation, now)
+    updated = written(found.files, "files")
+    stored = [c for c in found.fingerprints.columns if c in tables.fingerprints.columns]
+    prints = written(snapshot.upsert_fingerprints(tables.fingerprints, found.fingerprints.select(stored)), "fingerprints")
     live = snapshot.for_clustering(updated, prints)
-    found = written(cluster.tiered_members(live, config, burst_window_secs), "members")
+    grouped = written(cluster.tiered_members(live, config, burst_window_secs), "members")
     groups, members = snapshot.clear_groups(tables.groups, tables.members, session_id)
-    return Tables(
+    return Scanned(
         snapshot.set_status(sessions, session_id, "reviewing", now),
         others.unionByName(updated),
         prints,
-        groups.unionByName(review.groups_of(found).select(groups.columns)),
-        members.unionByName(review.member_rows(found).select(members.columns)),
+        groups.unionByName(review.groups_of(grouped).select(groups.columns)),
+        members.unionByName(review.member_rows(grouped).select(members.columns)),
+        found.rejects,
     )

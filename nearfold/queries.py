@@ -420,12 +420,20 @@ def cleared_groups(spark, sf_dir):
 
 
 def kept_and_purged(spark, sf_dir):
-    """The smallest file of each third group is kept, and the rest of those groups purged."""
+    """The smallest live file of each third group is kept, and the rest of those groups purged."""
     files, groups, members = _groups(spark, sf_dir)
-    chosen = groups.where("group_id % 3 = 0").select("group_id", F.array("group_id").alias("keepers"))
+    live = members.where("group_id % 3 = 0").join(files.where("deleted_at is null").select("file_id"), "file_id")
+    chosen = live.groupBy("group_id").agg(F.array(F.min("file_id")).alias("keepers"))
     return decisions.keep_selected_and_purge(members, files, chosen)[1]
 
 
+def purged_by_live_keepers(spark, sf_dir):
+    """The smallest file of every group is kept, deleted or not: a group whose keeper is deleted loses nothing."""
+    files, groups, members = _groups(spark, sf_dir)
+    chosen = groups.select("group_id", F.array("group_id").alias("keepers"))
+    return decisions.purge_manifest(decisions.apply_keepers(members, chosen), files)
+
+
 def scanned_library(spark, sf_dir):
     """A whole scan over the second of two snapshots: live files with their exact groups."""
     old, new = _snapshots(spark, sf_dir)
@@ -443,6 +451,31 @@ def scanned_library(spark, sf_dir):
     return live.join(after.members.select("file_id", "group_id"), "file_id", "left").join(status, F.lit(True)).select("path", "scan_generation", "group_id", "status")
 
 
+def scanned_tiers(spark, sf_dir):
+    """A whole scan with all three tiers. Two of three files have changed since the last one, and of those one in 17 cannot be fingerprinted."""
+    rows = written(photos(spark, sf_dir).withColumn("session_id", F.lit("lib")), "photos")
+    changed, lost = F.col("file_id") % 3 != 0, F.col("file_id") % 17 == 0
+    exif = F.struct(F.col("date_taken").alias("dateTaken"), F.split_part("camera", F.lit("|"), F.lit(1)).alias("cameraMake"), F.lit(None).cast("string").alias("cameraModel"))
+    prints = rows.select("file_id", "content_hash", "phash", exif.alias("exif"), "width", "height")
+    old = rows.select(
+        "file_id", "session_id", "path", "size", F.lit(1).cast("long").alias("mtime_ns"), *(F.when(~changed, F.col(c)).alias(c) for c in ("width", "height")),
+        F.lit(1).cast("long").alias("scan_generation"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(None).cast("string").alias("companion_raw_path"),
+        F.lit(None).cast("long").alias("companion_raw_size"),
+    )
+    listing = rows.select("session_id", "path", "size", F.when(changed, 2).otherwise(1).cast("long").alias("mtime_ns"))
+    sessions = _session_rows(spark, sf_dir).where("session_id = 'en'").withColumn("session_id", F.lit("lib"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    before = scans.Tables(sessions, old, prints.where(~changed).drop("width", "height"), empty(schemas.GROUPS), empty(schemas.MEMBERS))
+    fingerprint = lambda todo: todo.select("file_id").join(prints.where(~lost), "file_id")
+    after = scans.scan(before, listing, "lib", ScanConfig(phash_threshold=THRESHOLD), fingerprint, NOW, PHOTO_WINDOW)
+    grouped = after.members.join(after.groups.select("group_id", "kind", "confidence"), "group_id")
+    grouped = grouped.select("file_id", "group_id", "kind", S.confidence_percent(F.col("confidence")).alias("confidence_pct"))
+    rejects = after.rejects.select("path", F.lit(True).alias("rejected"))
+    return after.files.join(grouped, "file_id", "left").join(rejects, "path", "left").select(
+        "file_id", "kind", "confidence_pct", "group_id", "width", "height", F.col("deleted_at").isNotNull().alias("deleted"), F.coalesce("rejected", F.lit(False)).alias("rejected")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -452,7 +485,7 @@ QUERIES = {
         purge_result, deleted_session, path_parts, thumbnail_keys, formatted_bytes, camera_keys, shutter_texts,
         raster_hashes, dct_hashes, streamed_events, fingerprint_sets, upserted_fingerprints, assembled_fingerprints, exif_dates,
         exif_tags, labels_and_codes, dimension_texts, rfc3339_times, session_names, session_changes, session_settings,
-        session_progress, scan_totals, plain_entries, packed_bytes, cleared_groups, kept_and_purged, scanned_library,
+        session_progress, scan_totals, plain_entries, packed_bytes, cleared_groups, kept_and_purged, purged_by_live_keepers, scanned_library, scanned_tiers,
     )
 }
 
@@ -535,6 +568,12 @@ def _bursts(rows: str, seconds: int) -> str:
 )"""
 
 
+def _one_session(photos: str) -> str:
+    """The photos of ``scanned_tiers``: one session, without those that got no fingerprint."""
+    one = photos.replace("d.lang as session_id", "'lib' as session_id")
+    return one.replace("on e.event_id = d.doc_id", "on e.event_id = d.doc_id where not (d.doc_id % 17 = 0 and d.doc_id % 3 <> 0)")
+
+
 INVENTORY = """inventory as (
   select doc_id, 'lib' as session_id, n_chars as size,
          '/lib/d' || ((doc_id // 2) % 7) || '/IMG_' || (doc_id // 2) ||
@@ -575,7 +614,7 @@ DECIDED = f"""{PHOTOS}, {EXACT}, areas as (
   from members m join photos p using (file_id) group by 1
 )"""
 
-MANIFEST = """kept as (select group_id from members group by 1 having count(*) filter (where is_keeper) > 0
+MANIFEST = """kept as (select distinct group_id from members join photos using (file_id) where is_keeper and not deleted
 ), loose as (
   select m.group_id, p.* from members m join kept using (group_id) join photos p using (file_id)
   where not coalesce(m.is_keeper, false) and not p.deleted
@@ -717,7 +756,20 @@ union all select 'members', count(*) from exact where session_id <> 'en'""",
     "plain_entries": f"with {INVENTORY} select doc_id, path from kinds where image",
     "packed_bytes": "select c_custkey, cast(c_custkey % 256 + 65536 * ((c_custkey * 7) % 256) + 16777216 * (c_custkey % 100) as bigint) as packed from customer",
     "cleared_groups": f"with {PHOTOS}, {EXACT} select session_id, group_id, file_id, 'exact' as kind from exact where session_id <> 'en'",
-    "kept_and_purged": f"""with {PHOTOS}, {EXACT}, members as (select *, file_id = group_id as is_keeper from exact where group_id % 3 = 0), {MANIFEST} select * from manifest""",
+    "kept_and_purged": f"""with {PHOTOS}, {EXACT}, firsts as (
+  select e.group_id, min(e.file_id) as first from exact e join photos p using (file_id) where not p.deleted and e.group_id % 3 = 0 group by 1
+), members as (select e.*, e.file_id = f.first as is_keeper from exact e join firsts f using (group_id)), {MANIFEST} select * from manifest""",
+    "purged_by_live_keepers": f"with {PHOTOS}, {EXACT}, members as (select *, file_id = group_id as is_keeper from exact), {MANIFEST} select * from manifest",
+    "scanned_tiers": f"""with recursive {_one_session(PHOTOS)}, {PRINTS}, {EXACT}, {LEFT}, {VISUAL}, dated as (
+  select session_id, file_id, us, camera from rest where us is not null and file_id not in (select file_id from visual)
+), {_bursts("dated", PHOTO_WINDOW)}, grouped as (
+  select file_id, group_id, 'exact' as kind, 100 as confidence_pct from exact
+  union all select file_id, group_id, 'visual', confidence_pct from visual union all select file_id, group_id, 'burst', 75 from bursts
+), every as (
+  select doc_id as file_id, doc_id % 17 = 0 and doc_id % 3 <> 0 as lost, case when doc_id % 11 <> 0 then 100 * length(cast(n_chars as varchar)) end as width,
+         case when doc_id % 11 <> 0 then 100 * (1 + doc_id % 3) end as height from documents
+) select file_id, kind, confidence_pct, group_id, case when not lost then width end as width, case when not lost then height end as height,
+  lost as deleted, lost as rejected from every left join grouped using (file_id)""",
     "scanned_library": f"""with {INVENTORY}, live as (select k.path, k.doc_id, d.text from kinds k join documents d using (doc_id) where k.image and k.doc_id % 10 <> 8)
   select path, cast(2 + 3 as bigint) as scan_generation, case when count(*) over (partition by text) > 1 then min(doc_id) over (partition by text) end as group_id,
          'reviewing' as status from live""",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, functions as F
 
-from nearfold.plans.storage import delete
+from nearfold.plans.storage import delete, written
 
 KEPT = ("width", "height", "inode", "created_at", "modified_at", "companion_raw_path", "companion_raw_size")
 
@@ -47,7 +48,7 @@ def upsert_files(old: DataFrame, new: DataFrame, generation: int) -> DataFrame:
 
 
 def upsert_fingerprints(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` replace those of the same file_id, nulls included."""
+    """Rows of ``new`` replace those of the same file_id, nulls included. ``new`` is read twice: give a written table."""
     return old.join(new.select("file_id"), "file_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -70,7 +71,8 @@ def tombstone_missing(files: DataFrame, inventory: DataFrame, generation: int, n
 
 def for_clustering(files: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Live files with their fingerprints; date_taken and camera are taken out of the capture data."""
-    rows = files.where("deleted_at is null").join(fingerprints.drop("width", "height"), "file_id")
+    sides = [c for c in ("width", "height") if c in files.columns]
+    rows = files.where("deleted_at is null").join(fingerprints.drop(*sides), "file_id")
     if "exif" in fingerprints.columns:
         key = F.concat_ws("|", F.coalesce("exif.cameraMake", F.lit("")), F.coalesce("exif.cameraModel", F.lit("")))
         rows = rows.withColumn("date_taken", F.col("exif.dateTaken")).withColumn("camera", F.when(F.col("exif").isNotNull(), key))
@@ -132,13 +134,38 @@ def set_status(sessions: DataFrame, session_id: str, status: str, now) -> DataFr
     )
 
 
-def rescan(files: DataFrame, inventory: DataFrame, fingerprint, generation: int, now) -> tuple[DataFrame, DataFrame]:
-    """(files, fingerprints of new and changed files): ``fingerprint`` is called with those rows only."""
+@dataclass(frozen=True)
+class Rescan:
+    """``files`` after a rescan, the ``fingerprints`` of new and changed ones, and the ``rejects`` that got none."""
+
+    files: DataFrame
+    fingerprints: DataFrame
+    rejects: DataFrame
+
+
+def rescan_with_rejects(files: DataFrame, inventory: DataFrame, fingerprint, generation: int, now) -> Rescan:
+    """``fingerprint`` is called once, with the new and changed rows of the inventory and their file_id, and its result is written.
+
+    A file that gets no fingerprint is not stored: a new one has no row, of a changed one the old row gets a tombstone (what is stored of it is
+    out of date), and the next rescan tries both again. Width and height among the fingerprints go to ``files``.
+    """
     from nearfold.operators.inventory import snapshot_diff
 
     live = files.where("deleted_at is null")
     change = snapshot_diff(inventory, live).where("change in ('new', 'changed')").select("session_id", "path")
-    todo = inventory.join(change, ["session_id", "path"], "left_semi")
-    updated = tombstone_missing(upsert_files(files, todo, generation), inventory, generation, now)
-    ids = updated.select("session_id", "path", "file_id")
-    return updated, fingerprint(todo.join(ids, ["session_id", "path"]))
+    known = files.select("session_id", "path", F.col("file_id").alias("_known"))
+    todo = inventory.drop("file_id").join(change, ["session_id", "path"], "left_semi").join(known, ["session_id", "path"], "left")
+    todo = written(todo.withColumn("file_id", F.coalesce("_known", new_file_id())).drop("_known"), "todo")
+    prints = written(fingerprint(todo), "prints")
+    sides = [c for c in ("width", "height") if c in prints.columns and c in files.columns]
+    done = todo.drop(*sides).join(prints.select("file_id", *sides), "file_id")
+    rejects = todo.join(prints.select("file_id"), "file_id", "left_anti").select("session_id", "path", "size", "mtime_ns")
+    seen = inventory.join(rejects.select("session_id", "path"), ["session_id", "path"], "left_anti")
+    updated = tombstone_missing(upsert_files(files, done.drop("file_id"), generation), seen, generation, now)
+    return Rescan(updated, prints, rejects)
+
+
+def rescan(files: DataFrame, inventory: DataFrame, fingerprint, generation: int, now) -> tuple[DataFrame, DataFrame]:
+    """``rescan_with_rejects`` without the rejects."""
+    found = rescan_with_rejects(files, inventory, fingerprint, generation, now)
+    return found.files, found.fingerprints

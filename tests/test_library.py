@@ -424,7 +424,7 @@ def test_works_without_the_text_subpackage(tmp_path):
         shutil.copytree(root / folder, tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     for name in ("__spark_entry__.py", "bench.py"):
         shutil.copy(root / name, tmp_path)
-    env = {"PATH": os.environ["PATH"], "HOME": os.environ.get("HOME", "/"), "PYTHONPATH": str(tmp_path)}
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, [str(tmp_path), os.environ.get("PYTHONPATH", "")]))}
     code = "import __spark_entry__ as e; q = e.queries(); assert 'exact_groups' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "-k", "exact or path_parts or configs or entry"], cwd=tmp_path, check=True, env=env)
