@@ -6,6 +6,7 @@ most, a group is named by its smallest file_id.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -16,7 +17,7 @@ from nearfold.plans.storage import written
 
 MEMBER = ["session_id", "kind", "confidence", "group_id", "file_id"]
 BURST_CONFIDENCE = 0.75
-FOLD_IN_JVM = 2_000
+CHUNK = 100_000
 
 
 def exact_members(files: DataFrame) -> DataFrame:
@@ -157,66 +158,145 @@ def _islands(dated: DataFrame, window_us: int) -> DataFrame:
     return marked.withColumn("island", F.coalesce(F.last(cut, ignorenulls=True).over(upto), "start")).drop("day", "before", "start")
 
 
-def burst_members(files: DataFrame, window_secs: int, camera: str = "camera") -> DataFrame:
-    """Groups of one camera in anchor windows.
+def _chunked(times: DataFrame, size: int | None = None) -> tuple[DataFrame, int]:
+    """``times`` with ``chunk``: ranges of (session, time) of about ``size`` (CHUNK) rows, written; and how many chunks there are."""
+    parts = max(1, -(-times.count() // (size or CHUNK)))
+    dealt = times.repartitionByRange(parts, "session_id", "us").withColumn("chunk", F.spark_partition_id())
+    return written(dealt, "chunks"), parts
 
-    In time order (ties by file_id) the first row not yet consumed is the anchor. Rows up to and including the window
-    after it are consumed; those of its camera are its group, the others are in none. Rows without a date take no
-    part. ``files`` has session_id, file_id, date_taken and the camera column.
-    """
-    window_us = window_secs * 1_000_000
-    dated = files.where("date_taken is not null").select(
-        "session_id", "file_id", F.unix_micros(F.col("date_taken").cast("timestamp")).alias("us"), F.coalesce(F.col(camera), F.lit("|")).alias("camera")
-    )
-    rows = _islands(dated, window_us)
-    size = rows.groupBy("session_id", "island").agg(F.count("*").alias("rows"))
-    rows = written(rows.join(size.where("rows >= 2"), ["session_id", "island"]), "islands")
 
-    small = rows.where(F.col("rows") <= FOLD_IN_JVM).groupBy("session_id", "island").agg(
-        F.array_sort(F.collect_list(F.struct("us", "file_id", "camera"))).alias("rows")
-    )
-    zero = F.struct(
-        F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("camera"),
-        F.array().cast("array<struct<anchor:bigint,file_id:bigint>>").alias("out"),
-    )
-
-    def step(s, r):
-        fresh = s["at"].isNull() | (r["us"] - s["at"] > window_us)
-        anchor = F.when(fresh, r["file_id"]).otherwise(s["id"])
-        taken = fresh | (r["camera"] == s["camera"])
-        one = F.array(F.struct(anchor.alias("anchor"), r["file_id"].alias("file_id")))
-        return F.struct(
-            F.when(fresh, r["us"]).otherwise(s["at"]).alias("at"), anchor.alias("id"),
-            F.when(fresh, r["camera"]).otherwise(s["camera"]).alias("camera"),
-            F.when(taken, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"),
-        )
-
-    folded = small.select("session_id", F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("m"))
-    folded = folded.select("session_id", "m.anchor", "m.file_id")
-
-    def long_island(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["us", "file_id"])
-        at, anchor, camera_, keep, anchors = None, None, None, [], []
-        for us, fid, cam in zip(frame["us"], frame["file_id"], frame["camera"]):
-            if at is None or us - at > window_us:
-                at, anchor, camera_ = us, fid, cam
-            if cam == camera_:
-                keep.append(fid)
-                anchors.append(anchor)
-        return pd.DataFrame({"session_id": frame["session_id"].iloc[0], "anchor": anchors, "file_id": keep})
-
-    large = rows.where(F.col("rows") > FOLD_IN_JVM).groupBy("session_id", "island")
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    large = large.applyInPandas(long_island, f"session_id {types['session_id']}, anchor long, file_id long")
-    shots = folded.unionByName(large)
+def _after(us: np.ndarray, window_us: int) -> np.ndarray:
+    """For each time, in order, the place of the first one more than the window later; the number of times if there is none."""
+    return np.searchsorted(us, us + window_us, "right")
+
+
+def _last_anchors(us: np.ndarray, window_us: int) -> np.ndarray:
+    """For each time, were it an anchor, the place of the last anchor that then follows in the chunk: all jumps at once, doubled until they end."""
+    jump = _after(us, window_us)
+    jump = np.where(jump < len(us), jump, np.arange(len(us)))
+    while True:
+        twice = jump[jump]
+        if (twice == jump).all():
+            return jump
+        jump = twice
+
+
+def _entries(chunks: DataFrame, bounds: DataFrame, window_us: int) -> DataFrame:
+    """``(session_id, chunk, entry_us, carry_us)`` of the chunks of ``bounds``: the first anchor in the chunk, if any, and the last one before it.
+
+    A chunk turns any anchor that enters it into the last anchor in it, and that one enters a later chunk. These transitions, of the
+    few anchors that can be the last of a chunk, are followed from the first time of each session by doubling: in round i the
+    reached ones are joined with their 2^i-th successors. ``bounds`` has the sessions of several chunks, two rows per chunk at most.
+    """
+    kind = chunks.schema["session_id"].dataType.simpleString()
+    ends = {}
+    for r in bounds.orderBy("session_id", "chunk").collect():  # at most two rows per chunk, whatever the number of sessions
+        ends.setdefault(r.session_id, []).append((r.last_us, r.chunk))
+    begin = -(1 << 62)
+
+    def exits(frame: pd.DataFrame) -> pd.DataFrame:
+        session, us = frame["session_id"].iloc[0], np.sort(frame["us"].to_numpy())
+        last = us[np.unique(_last_anchors(us, window_us))]
+        held = ends[session]
+        if held[0][1] == frame["chunk"].iloc[0]:  # the start, which is before everything, enters the first chunk
+            last = np.append(last, begin)
+        at = np.searchsorted(np.array([e for e, _ in held]), np.where(last == begin, begin, last + window_us), "right")
+        last, at = last[at < len(held)], at[at < len(held)]
+        return pd.DataFrame({"session_id": session, "a": last, "chunk": [held[i][1] for i in at]})
+
+    def transitions(frame: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        us, a = np.sort(frame["us"].to_numpy()), asked["a"].to_numpy()
+        entry = np.searchsorted(us, np.where(a == begin, begin, a + window_us), "right")
+        return pd.DataFrame({"session_id": asked["session_id"], "chunk": asked["chunk"], "a": a, "entry_us": us[entry], "b": us[_last_anchors(us, window_us)[entry]]})
+
+    several = written(chunks.join(bounds.select("session_id", "chunk"), ["session_id", "chunk"], "left_semi").select("session_id", "chunk", "us"), "several")
+    leaving = several.groupBy("session_id", "chunk").applyInPandas(exits, f"session_id {kind}, a long, chunk int")
+    edges = several.groupBy("session_id", "chunk").cogroup(written(leaving, "exits").groupBy("session_id", "chunk"))
+    edges = edges.applyInPandas(transitions, f"session_id {kind}, chunk int, a long, entry_us long, b long")
+    edges = written(edges, "transitions")
+    reached, jump = edges.where(F.col("a") == begin).select("session_id", "a"), edges.select("session_id", "a", "b")
+    while not jump.isEmpty():
+        on = reached.join(jump, ["session_id", "a"]).select("session_id", F.col("b").alias("a"))
+        reached = written(reached.unionByName(on).distinct(), "reached")
+        ahead = jump.select("session_id", F.col("a").alias("b"), F.col("b").alias("c"))
+        jump = written(jump.join(ahead, ["session_id", "b"]).select("session_id", "a", F.col("c").alias("b")), "jump")
+    visited = edges.join(reached, ["session_id", "a"]).select("session_id", "chunk", "entry_us", "b")
+    over = Window.partitionBy("session_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
+    found = bounds.join(visited, ["session_id", "chunk"], "left").withColumn("carry_us", F.last("b", ignorenulls=True).over(over))
+    return found.select("session_id", "chunk", "entry_us", "carry_us")
+
+
+def anchored(rows: DataFrame, window_us: int, chunk: int | None = None) -> DataFrame:
+    """``(session_id, us, anchor_id, anchor_camera)`` for every distinct time of ``rows`` (session_id, file_id, us, camera): the anchor that consumes it.
+
+    Rows of one time have one anchor, so times are folded, not rows. They are cut into chunks of bounded size, also within
+    a session; ``_entries`` says where the anchors enter a chunk, and each chunk is folded by itself.
+    """
+    kind = rows.schema["session_id"].dataType.simpleString()
+    times = rows.groupBy("session_id", "us").agg(F.min(F.struct("file_id", "camera")).alias("first"))
+    chunks, parts = _chunked(written(times.select("session_id", "us", "first.file_id", "first.camera"), "times"), chunk)
+    chunks = chunks.withColumn("_null", F.lit(None).cast("long"))
+    if parts > 1:
+        bounds = chunks.groupBy("session_id", "chunk").agg(F.max("us").alias("last_us"))
+        many = bounds.groupBy("session_id").agg(F.count("*").alias("n")).where("n > 1").select("session_id")
+        info = written(_entries(chunks, written(bounds.join(many, "session_id"), "bounds"), window_us), "entries")
+        carry = chunks.select("session_id", F.col("us").alias("carry_us"), F.col("file_id").alias("carry_id"), F.col("camera").alias("carry_camera"))
+        info = info.join(carry, ["session_id", "carry_us"], "left").withColumn("inner", F.lit(True))
+        chunks = chunks.join(info, ["session_id", "chunk"], "left")
+    else:
+        chunks = chunks.withColumns({"entry_us": F.col("_null"), "carry_us": F.col("_null"), "carry_id": F.col("_null"), "carry_camera": F.lit(None).cast("string"), "inner": F.lit(None).cast("boolean")})
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("us")
+        us, one = frame["us"].to_numpy(), frame.iloc[0]
+        ids, cameras = frame["file_id"].to_numpy(), frame["camera"].to_numpy(object)
+        whole = pd.isna(one["inner"])  # the only chunk of its session
+        i = 0 if whole else len(us) if pd.isna(one["entry_us"]) else int(np.searchsorted(us, int(one["entry_us"])))
+        jump, anchors = _after(us, window_us).tolist(), []
+        while i < len(us):
+            anchors.append(i)
+            i = jump[i]
+        at = np.searchsorted(np.array(anchors, np.int64), np.arange(len(us)), "right") - 1
+        of = np.array([*anchors, 0])[at]  # -1: before the first anchor here
+        anchor_id, anchor_camera = ids[of], cameras[of]
+        if (at < 0).any():
+            anchor_id = np.where(at < 0, int(one["carry_id"]), anchor_id)
+            anchor_camera[at < 0] = one["carry_camera"]
+        return pd.DataFrame({"session_id": frame["session_id"], "us": us, "anchor_id": anchor_id, "anchor_camera": anchor_camera})
+
+    return chunks.drop("_null").groupBy("session_id", "chunk").applyInPandas(fold, f"session_id {kind}, us long, anchor_id long, anchor_camera string")
+
+
+def burst_rows(rows: DataFrame, window_us: int, chunk: int | None = None) -> DataFrame:
+    """Burst members of ``rows`` (session_id, file_id, us, camera); ``chunk`` is the number of times that are folded together."""
+    rows = written(rows, "dated")
+    of = written(anchored(rows, window_us, chunk), "anchored")
+    shots = rows.join(of.hint("merge"), ["session_id", "us"]).where("camera = anchor_camera").select("session_id", F.col("anchor_id").alias("anchor"), "file_id")
+    shots = written(shots, "shots")
     groups = shots.groupBy("session_id", "anchor").agg(F.min("file_id").alias("group_id"), F.count("*").alias("n")).where("n >= 2")
     return (
-        shots.join(groups, ["session_id", "anchor"])
+        shots.join(written(groups, "bursts"), ["session_id", "anchor"])
         .withColumns({"kind": F.lit("burst"), "confidence": F.lit(BURST_CONFIDENCE).cast("float")})
         .select(MEMBER)
     )
 
 
+def dated_rows(files: DataFrame, camera: str = "camera") -> DataFrame:
+    """What the burst tier looks at: (session_id, file_id, us, camera) of the files with a date."""
+    us = F.unix_micros(F.col("date_taken").cast("timestamp"))
+    return files.where("date_taken is not null").select("session_id", "file_id", us.alias("us"), F.coalesce(F.col(camera), F.lit("|")).alias("camera"))
+
+
+def burst_members(files: DataFrame, window_secs: int, camera: str = "camera", chunk: int | None = None) -> DataFrame:
+    """Groups of one camera in anchor windows.
+
+    In time order (ties by file_id) the first row not yet consumed is the anchor. Rows up to and including the window
+    after it are consumed; those of its camera are its group, the others are in none. Rows without a date take no
+    part. ``files`` has session_id, file_id, date_taken and the camera column.
+    """
+    return burst_rows(dated_rows(files, camera), window_secs * 1_000_000, chunk)
+
+
 def without(files: DataFrame, used: DataFrame) -> DataFrame:
     """Files that no earlier tier has taken."""
     return files.join(used.select("session_id", "file_id"), ["session_id", "file_id"], "left_anti")

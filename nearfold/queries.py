@@ -122,6 +122,13 @@ def shots_bursts(spark, sf_dir):
     return cluster.burst_members(shots, SHOT_WINDOW).select("session_id", "group_id", "file_id")
 
 
+def feed_bursts(spark, sf_dir):
+    """All events as one feed without a gap, cut into chunks of 1,000 times."""
+    events = _table(spark, sf_dir, "events")
+    shots = events.select(F.lit("feed").alias("session_id"), F.col("event_id").alias("file_id"), F.col("ts").alias("date_taken"), F.col("event_type").alias("camera"))
+    return cluster.burst_members(shots, SHOT_WINDOW, chunk=1_000).select("group_id", "file_id")
+
+
 def tiered_clusters(spark, sf_dir):
     files = written(photos(spark, sf_dir), "photos")
     found = cluster.tiered_members(files, ScanConfig(phash_threshold=THRESHOLD), PHOTO_WINDOW)
@@ -479,7 +486,7 @@ def scanned_tiers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_groups, exact_members, text_fingerprints, simhash_prefix_pairs, visual_members, banded_pairs, shots_bursts,
+        exact_groups, exact_members, text_fingerprints, simhash_prefix_pairs, visual_members, banded_pairs, shots_bursts, feed_bursts,
         tiered_clusters, companion_pairs, scan_entries, snapshot_diff, rescanned_files, list_sessions, list_groups_page,
         group_details, count_groups, suggested_keepers, next_groups, applied_keepers, kept_all, purge_manifest,
         purge_result, deleted_session, path_parts, thumbnail_keys, formatted_bytes, camera_keys, shutter_texts,
@@ -659,6 +666,9 @@ ORACLE_SQL = {
     "shots_bursts": f"""with recursive shots as (
   select cast(user_id % {SHOT_SESSIONS} as varchar) as session_id, event_id as file_id, epoch_us(ts) as us, coalesce(event_type, '|') as camera from events where ts is not null
 ), {_bursts("shots", SHOT_WINDOW)} select session_id, group_id, file_id from bursts""",
+    "feed_bursts": f"""with recursive shots as (
+  select 'feed' as session_id, event_id as file_id, epoch_us(ts) as us, coalesce(event_type, '|') as camera from events where ts is not null
+), {_bursts("shots", SHOT_WINDOW)} select group_id, file_id from bursts""",
     "tiered_clusters": f"""with recursive {PHOTOS}, {PRINTS}, {EXACT}, {LEFT}, {VISUAL}, dated as (
   select session_id, file_id, us, camera from rest where us is not null and file_id not in (select file_id from visual)
 ), {_bursts("dated", PHOTO_WINDOW)}

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfold.functions import fingerprint as P, scalars as S
-from nearfold.operators import cluster, components, decisions, inventory, process, review
+from nearfold.operators import cluster, components, decisions, inventory, process, review, scan
 from nearfold.plans import schemas
 from nearfold.plans.config import PRESETS, ScanConfig, resolve_config
 from nearfold.sources import files as source, snapshot
@@ -133,9 +133,9 @@ def brute_bursts(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "fold"), [(0, 2000), (60, 2000), (60, 3), (5000, 2000), (200_000, 10)])
+@pytest.mark.parametrize(("window", "fold"), [(0, 2000), (60, 2000), (60, 3), (5000, 4), (200_000, 5)])
 def test_bursts_against_a_loop(spark, monkeypatch, window, fold):
-    monkeypatch.setattr(cluster, "FOLD_IN_JVM", fold)
+    monkeypatch.setattr(cluster, "CHUNK", fold)
     rng = random.Random(window)
     rows = [
         (i, rng.choice("ab"), 1, None, None, None, None, rng.random() > 0.05 and T0 + dt.timedelta(seconds=rng.choice([30, 60, 90_000]) * rng.randrange(12)) or None, rng.choice(["x|", "y|"]))
@@ -145,6 +145,29 @@ def test_bursts_against_a_loop(spark, monkeypatch, window, fold):
     assert found == brute_bursts(rows, window)
 
 
+@pytest.mark.parametrize(("window", "chunk"), [(7, 40), (45, 25), (700, 30), (100_000, 60)])
+def test_one_session_without_a_gap_is_folded_by_chunks(spark, monkeypatch, window, chunk):
+    """No task holds more than a few chunks, and windows may span several of them."""
+    monkeypatch.setattr(cluster, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    at, rows = 0, []
+    for i in range(600):
+        at += rng.choice([0, 1, 2, 5])
+        rows.append((i * 7 % 601, "s" if i else "t", 1, None, None, None, None, T0 + dt.timedelta(seconds=at), rng.choice(["x|", "y|", "z|"])))
+    held = []
+    fold = cluster._chunked
+
+    def spy(times, size):
+        found, parts = fold(times, size)
+        held.append((parts, found.groupBy("session_id", "chunk").count().agg({"count": "max"}).first()[0]))
+        return found, parts
+
+    monkeypatch.setattr(cluster, "_chunked", spy)
+    found = {r.file_id: r.group_id for r in cluster.burst_members(frame(spark, rows), window).collect()}
+    assert found == brute_bursts(rows, window)
+    assert held[0][0] > 5 and held[0][1] <= 3 * chunk
+
+
 def test_tiers_exclude_what_is_taken(spark):
     day = [T0 + dt.timedelta(seconds=i) for i in range(8)]
     rows = [(i, "s", 10 + (i > 1), 5, 5, "h" if i < 2 else f"h{i}", 1 << min(i, 40) // 9, day[i], "c|") for i in range(8)]
@@ -319,6 +342,44 @@ def test_review_and_purge(spark):
     assert decisions.purge_manifest(every, files, groups.select("group_id")).collect() == []
 
 
+def test_deleted_keepers_keep_nothing(spark):
+    files, groups, members = library(spark)
+    choice = lambda *ids: spark.createDataFrame([(11, list(ids))], "group_id long, keepers array<long>")
+    kept = decisions.apply_keepers(members, choice(15))  # 15 is deleted
+    assert decisions.purge_manifest(kept, files).collect() == []
+    with pytest.raises(decisions.NoKeeper):
+        decisions.keep_selected_and_purge(members, files, choice(15))
+    _, listed = decisions.keep_selected_and_purge(members, files, choice(12, 15))
+    assert sorted(r.file_id for r in listed.collect()) == [11, 11]
+
+
+def test_scan_stores_dimensions_and_tries_rejects_again(spark):
+    listing = spark.createDataFrame([("q", "/a.jpg", 10, 1), ("q", "/b.jpg", 20, 1), ("q", "/c.jpg", 30, 1)], "session_id string, path string, size long, mtime_ns long")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    sessions = snapshot.create_session(empty(schemas.SESSIONS), "q", "/lib", ScanConfig(), T0)
+    before = scan.Tables(sessions, empty(schemas.FILES), empty(schemas.FINGERPRINTS), empty(schemas.GROUPS), empty(schemas.MEMBERS))
+    asked = spark.sparkContext.accumulator(0)
+
+    def prints(bad):
+        def one(rows):
+            for r in rows:
+                asked.add(1)
+                if r.path != bad:
+                    yield (r.file_id, "h" + r.path, 1, 5, 640, 480)
+
+        return lambda todo: spark.createDataFrame(todo.rdd.mapPartitions(one), "file_id long, content_hash string, dhash long, phash long, width int, height int").withColumn("exif", F.lit(None).cast(schemas.EXIF))
+
+    first = scan.scan(before, listing, "q", ScanConfig(), prints("/c.jpg"), T0)
+    assert asked.value == 3 and [r.path for r in first.rejects.collect()] == ["/c.jpg"]
+    assert sorted((r.path, r.width, r.height) for r in first.files.collect()) == [("/a.jpg", 640, 480), ("/b.jpg", 640, 480)]
+    assert first.groups.count() == 1 and first.members.count() == 2 and first.groups.first().kind == "visual"  # equal dimensions, other sizes
+    tables = scan.Tables(first.sessions, first.files, first.fingerprints, first.groups, first.members)
+    second = scan.scan(tables, listing.withColumn("mtime_ns", F.when(F.col("path") == "/a.jpg", 2).otherwise(1).cast("long")), "q", ScanConfig(), prints("/a.jpg"), T0)
+    assert asked.value == 5 and [r.path for r in second.rejects.collect()] == ["/a.jpg"]
+    assert {r.path: r.deleted_at for r in second.files.collect()} == {"/a.jpg": T0, "/b.jpg": None, "/c.jpg": None}
+    assert second.members.count() == 2
+
+
 def test_sessions_and_progress(spark):
     config = ScanConfig(phash_threshold=9, include_raw=True)
     sessions = snapshot.create_session(spark.createDataFrame([], schemas.SESSIONS), "q7", "/lib/winter/", config, T0)
