@@ -81,44 +81,44 @@ def similar_pairs(files: DataFrame, threshold: int, band_count: int = 1) -> Data
     pigeonhole principle. Rows equal in all compared columns stand as one.
     """
     rows = _fingerprint_sets(files)
+    return linked_pairs(rows, rows, threshold, band_count, F.col("a.id") < F.col("b.id"))
+
+
+def linked_pairs(left: DataFrame, right: DataFrame, threshold: int, band_count: int, wanted) -> DataFrame:
+    """The pairs of similar_pairs of a row a of ``left`` and b of ``right`` (session_id, id, phash, size, width, height) that are ``wanted``."""
     if band_count > 1:
         masks = bands(band_count)
     else:
         top = bands(1, 48, 64)[0]
         masks = [top | m for m in bands(threshold + 1, 0, 48)] if threshold < 16 else [top]
-    rows = _blocked(rows, masks).select("session_id", "band", "key", "id", "phash", "size", "width", "height")
+    sides = [_blocked(rows, masks).select("session_id", "band", "key", "id", "phash", "size", "width", "height") for rows in (left, right)]
     distance = S.hamming(F.col("a.phash"), F.col("b.phash"))
     near = (
         (F.col("a.session_id") == F.col("b.session_id"))
         & (F.col("a.band") == F.col("b.band"))
         & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.id") < F.col("b.id"))
+        & wanted
         & _compatible()
         & (distance <= threshold)
         & (F.col("a.band") == _first_band(masks))
     )
-    pairs = rows.alias("a").join(rows.alias("b"), near)
+    pairs = sides[0].alias("a").join(sides[1].alias("b"), near)
     return pairs.select("a.session_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), distance.alias("distance"))
 
 
-def visual_members(files: DataFrame, threshold: int = 6, band_count: int = 1) -> DataFrame:
-    """Connected components of similar_pairs. Confidence: 1 - least distance / threshold over all pairs of the group.
+def group_confidences(parts: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """``(group_id, confidence)`` of the groups of two files or more.
 
-    The least distance is that of a link, or that of two members which are no link as they are not compatible: those are looked
-    for by ``threshold`` bands within the group, which hold every pair nearer than the threshold.
+    ``parts`` has group_id, id, phash and n (how many files stand for the row), ``pairs`` the links (a_id, b_id, distance). The least
+    distance is 0 if a row stands for several files, else that of a link, or of two members which are no link as they are not compatible: those
+    are looked for by ``threshold`` bands within the group, which hold every pair nearer than the threshold.
     """
-    sets = _fingerprint_sets(files)
-    same = ["session_id", "phash", "size", "width", "height"]
-    pairs = written(similar_pairs(files, threshold, band_count), "similar")
-    parts = connected_components(pairs, "a_id", "b_id").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
-    parts = sets.join(parts, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
-    parts = written(parts, "parts")
     linked = pairs.join(parts.select(F.col("id").alias("a_id"), "group_id"), "a_id").select("group_id", "distance")
     inner = _blocked(parts.select("group_id", "id", "phash"), bands(max(threshold, 1))).alias("a")
     met = (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))
     closer = inner.join(inner.alias("b"), met).select(F.col("a.group_id").alias("group_id"), S.hamming(F.col("a.phash"), F.col("b.phash")).alias("distance"))
     distances = linked.unionByName(closer).groupBy("group_id").agg(F.min("distance").alias("d"))
-    groups = (
+    return (
         parts.groupBy("group_id")
         .agg(F.sum("n").alias("members"), F.max("n").alias("most"))
         .where("members >= 2")
@@ -126,6 +126,17 @@ def visual_members(files: DataFrame, threshold: int = 6, band_count: int = 1) ->
         .withColumn("d", F.when(F.col("most") > 1, 0).otherwise(F.col("d")))
         .select("group_id", S.visual_confidence(F.coalesce("d", F.lit(threshold)), threshold).alias("confidence"))
     )
+
+
+def visual_members(files: DataFrame, threshold: int = 6, band_count: int = 1) -> DataFrame:
+    """Connected components of similar_pairs. Confidence: 1 - least distance / threshold over all pairs of the group."""
+    sets = _fingerprint_sets(files)
+    same = ["session_id", "phash", "size", "width", "height"]
+    pairs = written(similar_pairs(files, threshold, band_count), "similar")
+    parts = connected_components(pairs, "a_id", "b_id").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+    parts = sets.join(parts, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
+    parts = written(parts, "parts")
+    groups = group_confidences(parts, pairs, threshold)
     near = parts.join(groups, "group_id").select(
         "group_id", "confidence", *(F.col(c).alias(f"_{c}") for c in same)
     )

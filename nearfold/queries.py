@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearfold.functions import fingerprint as P, scalars as S
-from nearfold.operators import cluster, decisions, inventory, process, review, scan as scans
+from nearfold.operators import cluster, decisions, incremental, inventory, process, review, scan as scans
 from nearfold.plans import schemas
 from nearfold.plans.config import PRESETS, ScanConfig, resolve_config
 from nearfold.plans.storage import fresh_dir, written
@@ -24,6 +24,7 @@ from nearfold.streaming import ingest as streaming
 THRESHOLD = 6
 PHOTO_WINDOW = 600
 SHOT_WINDOW = 600
+FEED_WINDOW = 6_000
 SHOT_SESSIONS = 20
 NOW = dt.datetime(2024, 6, 1)
 
@@ -126,7 +127,7 @@ def feed_bursts(spark, sf_dir):
     """All events as one feed without a gap, cut into chunks of 1,000 times."""
     events = _table(spark, sf_dir, "events")
     shots = events.select(F.lit("feed").alias("session_id"), F.col("event_id").alias("file_id"), F.col("ts").alias("date_taken"), F.col("event_type").alias("camera"))
-    return cluster.burst_members(shots, SHOT_WINDOW, chunk=1_000).select("group_id", "file_id")
+    return cluster.burst_members(shots, FEED_WINDOW, chunk=1_000).select("group_id", "file_id")
 
 
 def tiered_clusters(spark, sf_dir):
@@ -135,6 +136,23 @@ def tiered_clusters(spark, sf_dir):
     return found.select("session_id", "kind", S.confidence_percent(F.col("confidence")).alias("confidence_pct"), "group_id", "file_id")
 
 
+def incremental_clusters(spark, sf_dir):
+    """All tiers after a first load and two deltas: inserts and deletes, then changes and the other deletes."""
+    rows = written(photos(spark, sf_dir).select(incremental.FILE), "photos")
+    number, none = F.col("file_id"), rows.select("file_id").limit(0)
+    doomed, late, changed = number % 9 == 4, number % 5 == 0, number % 7 == 0
+    older = {"content_hash": F.when(~changed, F.col("content_hash")), "phash": F.when(changed, F.shiftleft("phash", 1)).otherwise(F.col("phash")),
+             "size": F.col("size") + F.when(changed, 1).otherwise(0), "date_taken": F.when(~changed, F.col("date_taken")).otherwise(F.col("date_taken") + F.expr("interval 30 minutes"))}
+    state = incremental.empty(spark)
+    for upserts, deletes in (
+        (rows.where(~late).withColumns(older), none),
+        (rows.where(late).withColumns(older), rows.where(doomed & (number % 2 == 0)).select("file_id")),
+        (rows.where(changed & ~doomed), rows.where(doomed & (number % 2 == 1)).select("file_id")),
+    ):
+        state = incremental.apply(state, upserts, deletes, THRESHOLD, PHOTO_WINDOW)
+    return state.members().select("session_id", "kind", S.confidence_percent(F.col("confidence")).alias("confidence_pct"), "group_id", "file_id")
+
+
 def _inventory(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     k = F.floor(F.col("doc_id") / 2)
@@ -487,7 +505,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         exact_groups, exact_members, text_fingerprints, simhash_prefix_pairs, visual_members, banded_pairs, shots_bursts, feed_bursts,
-        tiered_clusters, companion_pairs, scan_entries, snapshot_diff, rescanned_files, list_sessions, list_groups_page,
+        tiered_clusters, incremental_clusters, companion_pairs, scan_entries, snapshot_diff, rescanned_files, list_sessions, list_groups_page,
         group_details, count_groups, suggested_keepers, next_groups, applied_keepers, kept_all, purge_manifest,
         purge_result, deleted_session, path_parts, thumbnail_keys, formatted_bytes, camera_keys, shutter_texts,
         raster_hashes, dct_hashes, streamed_events, fingerprint_sets, upserted_fingerprints, assembled_fingerprints, exif_dates,
@@ -668,12 +686,18 @@ ORACLE_SQL = {
 ), {_bursts("shots", SHOT_WINDOW)} select session_id, group_id, file_id from bursts""",
     "feed_bursts": f"""with recursive shots as (
   select 'feed' as session_id, event_id as file_id, epoch_us(ts) as us, coalesce(event_type, '|') as camera from events where ts is not null
-), {_bursts("shots", SHOT_WINDOW)} select group_id, file_id from bursts""",
+), {_bursts("shots", FEED_WINDOW)} select group_id, file_id from bursts""",
     "tiered_clusters": f"""with recursive {PHOTOS}, {PRINTS}, {EXACT}, {LEFT}, {VISUAL}, dated as (
   select session_id, file_id, us, camera from rest where us is not null and file_id not in (select file_id from visual)
 ), {_bursts("dated", PHOTO_WINDOW)}
 select session_id, 'exact' as kind, 100 as confidence_pct, group_id, file_id from exact
 union all select session_id, 'visual', confidence_pct, group_id, file_id from visual
+union all select session_id, 'burst', 75, group_id, file_id from bursts""",
+    "incremental_clusters": f"""with recursive {PHOTOS.replace("on e.event_id = d.doc_id", "on e.event_id = d.doc_id where d.doc_id % 9 <> 4")}, {PRINTS}, {EXACT}, {LEFT}, {VISUAL}, dated as (
+  select session_id, file_id, us, camera from rest where us is not null and file_id not in (select file_id from visual)
+), {_bursts("dated", PHOTO_WINDOW)}
+select session_id, 'exact' as kind, 100 as confidence_pct, group_id, file_id from exact
+union all select session_id, 'visual', confidence_pct, group_id, file_id from visual
 union all select session_id, 'burst', 75, group_id, file_id from bursts""",
     "companion_pairs": f"with {INVENTORY} select * from pairs",
     "scan_entries": f"""with {INVENTORY} select k.doc_id, k.path, k.size, p.companion_raw_path, p.companion_raw_size
