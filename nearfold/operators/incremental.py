@@ -101,7 +101,6 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
 
         # exact
         hashes = before.unionByName(coming).where("content_hash is not null").select("session_id", "content_hash").distinct()
-        hashes = written(hashes, "hashes")
         same = written(_only(files, hashes, "session_id", "content_hash"), "same")
         old_exact = written(_only(state.exact, hashes, "session_id", "content_hash"), "old-exact")
         groups = cluster.exact_members(same).join(same.select("file_id", "content_hash"), "file_id").select(state.exact.columns)
@@ -109,9 +108,8 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         exact = keep(_but(state.exact, hashes, "session_id", "content_hash").unionByName(new_exact), "exact")
         # whoever may have come into the later tiers or left them
         doubtful = written(ids.unionByName(old_exact.select("file_id")).unionByName(new_exact.select("file_id")).distinct(), "doubtful")
-        was = _but(written(_only(state.files, doubtful, "file_id"), "was"), old_exact, "file_id")
-        now = _but(written(_only(files, doubtful, "file_id"), "now"), new_exact, "file_id")
-        was, now = written(was, "was-left"), written(now, "now-left")
+        was = written(_but(_only(state.files, doubtful, "file_id"), old_exact, "file_id"), "was")
+        now = written(_but(_only(files, doubtful, "file_id"), new_exact, "file_id"), "now")
 
         # visual: files, nodes
         print_ = lambda df: df.where("phash is not null").withColumn("node", _node())
@@ -126,8 +124,7 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         counted = written(counted, "counted")
         alive = counted.where("n > 0")
         nodes = keep(_but(state.nodes, moved, "id").unionByName(alive), "nodes")
-        dead = written(_but(had, alive, "id").select("id"), "dead")
-        fresh = written(_but(alive, had, "id"), "fresh")
+        dead, fresh = counted.where("n = 0").select("id"), written(_but(alive, had, "id"), "fresh")
         # links
         mark = nodes.join(fresh.select("id", F.lit(True).alias("is_fresh")), "id", "left")
         known = mark.withColumn("id", F.when(F.col("is_fresh"), F.concat(F.lit("+"), "id")).otherwise(F.concat(F.lit("-"), "id")))
@@ -141,11 +138,11 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         left = state.links.join(stale, "a_id", "left_anti").join(stale.withColumnRenamed("a_id", "b_id"), "b_id", "left_anti").select(state.links.columns)
         links = keep(left.unionByName(fresh_links), "links")
         # components: those that lost a node are split again, then new links join whole components
-        broken = written(_only(state.parts, dead, "id").select("component").distinct(), "broken")
+        broken = _only(state.parts, dead, "id").select("component").distinct()
         pieces = written(_but(_only(state.parts, broken, "component"), dead, "id").select("id"), "pieces")
         inner = _only(left, pieces.select(F.col("id").alias("a_id")), "a_id")
         split = connected_components(inner, "a_id", "b_id").select(F.col("node").alias("id"), "component")
-        split = written(pieces.join(split, "id", "left").withColumn("component", F.coalesce("component", "id")), "split")
+        split = pieces.join(split, "id", "left").withColumn("component", F.coalesce("component", "id"))
         rough = _but(state.parts, broken, "component").unionByName(split).unionByName(fresh.select("id", F.col("id").alias("component")))
         rough = written(rough, "rough")
         ends = fresh_links.join(rough.select(F.col("id").alias("a_id"), F.col("component").alias("x")), "a_id")
@@ -157,7 +154,7 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         touched = moved.select("id").unionByName(pieces).unionByName(fresh_links.select(F.col("a_id").alias("id"))).unionByName(fresh_links.select(F.col("b_id").alias("id")))
         touched = written(touched.distinct(), "touched")
         dropped = written(_only(state.parts, touched, "id").select("component").distinct(), "dropped")
-        again = written(_only(parts, written(_only(parts, touched, "id").select("component").distinct(), "grouped"), "component"), "again")
+        again = written(_only(parts, _only(parts, touched, "id").select("component").distinct(), "component"), "again")
         rows = written(again.select(F.col("component").alias("group_id"), "id").join(nodes.select("id", "phash", "n"), "id"), "rows")
         sure = cluster.group_confidences(rows, _only(links, rows.select(F.col("id").alias("a_id")), "a_id"), threshold)
         sure = written(sure.withColumnRenamed("group_id", "component"), "confidences")

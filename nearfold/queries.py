@@ -19,7 +19,7 @@ from nearfold.plans import schemas
 from nearfold.plans.config import PRESETS, ScanConfig, resolve_config
 from nearfold.plans.storage import fresh_dir, written
 from nearfold.sources import snapshot
-from nearfold.streaming import ingest as streaming
+from nearfold.streaming import ingest as streaming, upsert
 
 THRESHOLD = 6
 PHOTO_WINDOW = 600
@@ -154,12 +154,15 @@ def incremental_clusters(spark, sf_dir):
 
 
 def _inventory(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    return _as_inventory(_table(spark, sf_dir, "documents"))
+
+
+def _as_inventory(docs: DataFrame, *more) -> DataFrame:
     k = F.floor(F.col("doc_id") / 2)
     ends = [".JPG", ".ARW", ".JPG", ".tif", ".JPG", ".jpg", ".png", ".CR2", ".heic", ".txt"]
     ext = F.element_at(F.array(*map(F.lit, ends)), (F.col("doc_id") % 10 + 1).cast("int"))
     path = F.concat(F.lit("/lib/d"), (k % 7).cast("string"), F.lit("/IMG_"), k.cast("string"), ext)
-    return docs.select("doc_id", F.lit("lib").alias("session_id"), path.alias("path"), F.col("n_chars").alias("size"))
+    return docs.select("doc_id", F.lit("lib").alias("session_id"), path.alias("path"), F.col("n_chars").alias("size"), *more)
 
 
 def companion_pairs(spark, sf_dir):
@@ -328,6 +331,28 @@ def streamed_events(spark, sf_dir):
     return found.join(again, found["event_type"].eqNullSafe(again["event_type"])).select(found["event_type"], "n", "last_id", "n_stored")
 
 
+def stream_upsert(spark, sf_dir):
+    """Two scans whose listings come as streams: the second finds files new, changed, unchanged and gone; its last batch is put twice and a compaction comes between."""
+    base = fresh_dir(spark, "upserts")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _table(spark, sf_dir, "documents").schema)
+    stored = upsert.SnapshotStream(spark, f"{base}/snapshot")
+    m = F.col("doc_id") % 10
+    prints = lambda rows: rows.select("file_id", "content_hash", F.col("size").alias("phash"))
+    for generation, gone, mtime in ((1, 9, F.lit(1)), (2, 8, F.when(m == 5, 2).otherwise(1))):
+        def listed(batch, gone=gone, mtime=mtime):
+            rows = _as_inventory(batch.where(m != gone), S.content_hash(F.col("text")).alias("content_hash"))
+            return rows.withColumn("mtime_ns", mtime.cast("long"))
+
+        stored.ingest(sf_dir, schema, f"{base}/state-{generation}", generation, listed, prints, glob="documents*", files_per_batch=1).awaitTermination()
+        stored.close(generation, NOW)
+        if generation == 1:
+            stored.compact()
+    stored.put(listed(_table(spark, sf_dir, "documents")), 2, 0, prints)
+    stored.close(2, NOW)
+    found = stored.state()
+    return found.select("path", "size", "mtime_ns", "scan_generation", F.col("deleted_at").isNotNull().alias("deleted"), "content_hash", "phash")
+
+
 def upserted_fingerprints(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     old = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("file_id"), S.content_hash(F.col("text")).alias("content_hash"), F.col("n_chars").alias("phash"))
@@ -508,7 +533,7 @@ QUERIES = {
         tiered_clusters, incremental_clusters, companion_pairs, scan_entries, snapshot_diff, rescanned_files, list_sessions, list_groups_page,
         group_details, count_groups, suggested_keepers, next_groups, applied_keepers, kept_all, purge_manifest,
         purge_result, deleted_session, path_parts, thumbnail_keys, formatted_bytes, camera_keys, shutter_texts,
-        raster_hashes, dct_hashes, streamed_events, fingerprint_sets, upserted_fingerprints, assembled_fingerprints, exif_dates,
+        raster_hashes, dct_hashes, streamed_events, stream_upsert, fingerprint_sets, upserted_fingerprints, assembled_fingerprints, exif_dates,
         exif_tags, labels_and_codes, dimension_texts, rfc3339_times, session_names, session_changes, session_settings,
         session_progress, scan_totals, plain_entries, packed_bytes, cleared_groups, kept_and_purged, purged_by_live_keepers, scanned_library, scanned_tiers,
     )
@@ -620,6 +645,12 @@ INVENTORY = """inventory as (
   where k.image group by 1, 2
 )"""
 
+OLD_AND_NEW = """old as (
+  select *, 1 as mtime from inventory where doc_id % 10 <> 9
+), new as (
+  select *, case when doc_id % 10 = 5 then 2 else 1 end as mtime from inventory where doc_id % 10 <> 8
+)"""
+
 DECIDED = f"""{PHOTOS}, {EXACT}, areas as (
   select e.group_id, p.file_id, row_number() over (partition by e.group_id order by
          coalesce(p.width, 0) * coalesce(p.height, 0) desc, p.us asc nulls last, p.size desc, p.file_id) as n
@@ -702,10 +733,12 @@ union all select session_id, 'burst', 75, group_id, file_id from bursts""",
     "companion_pairs": f"with {INVENTORY} select * from pairs",
     "scan_entries": f"""with {INVENTORY} select k.doc_id, k.path, k.size, p.companion_raw_path, p.companion_raw_size
   from kinds k left join pairs p using (path) where k.image and k.path not in (select companion_raw_path from pairs)""",
-    "snapshot_diff": f"""with {INVENTORY} select path, case doc_id % 10 when 9 then 'new' when 8 then 'missing' when 5 then 'changed' else 'unchanged' end as change from inventory""",
-    "rescanned_files": f"""with {INVENTORY} select path, case when doc_id % 10 <> 9 then doc_id end as file_id, size,
-  cast(case when doc_id % 10 = 5 then 2 else 1 end as bigint) as mtime_ns,
-  cast(case when doc_id % 10 = 8 then 1 else 2 end as bigint) as scan_generation, doc_id % 10 = 8 as deleted from inventory""",
+    "snapshot_diff": f"""with {INVENTORY}, {OLD_AND_NEW} select coalesce(n.path, o.path) as path,
+  case when o.path is null then 'new' when n.path is null then 'missing' when o.size = n.size and o.mtime = n.mtime then 'unchanged' else 'changed' end as change
+  from old o full join new n on n.path = o.path""",
+    "rescanned_files": f"""with {INVENTORY}, {OLD_AND_NEW} select coalesce(n.path, o.path) as path, o.doc_id as file_id, coalesce(n.size, o.size) as size,
+  cast(coalesce(n.mtime, o.mtime) as bigint) as mtime_ns, cast(case when n.path is null then 1 else 2 end as bigint) as scan_generation, n.path is null as deleted
+  from old o full join new n on n.path = o.path""",
     "list_sessions": f"""with {DECIDED} select p.session_id, max(p.file_id) as updated_s, count(*) filter (where not p.deleted) as file_count,
   (select count(distinct group_id) from members m where m.session_id = p.session_id and group_id % 3 <> 1) as pending_groups,
   (select count(distinct group_id) from members m where m.session_id = p.session_id) as total_groups
@@ -757,6 +790,10 @@ union all select 'members', count(*) from exact where session_id <> 'en'""",
   select vec_id, embedding, (list_sort(embedding)[32]::double + list_sort(embedding)[33]::double) / 2 as m from embeddings
 ) select vec_id, {_hex(_GRADIENT)} as dhash, {_hex(_MEDIAN)} as mhash from r""",
     "streamed_events": "select event_type, count(*) as n, max(event_id) as last_id, count(*) as n_stored from events group by 1",
+    "stream_upsert": f"""with {INVENTORY}, {OLD_AND_NEW} select coalesce(new.path, old.path) as path, coalesce(new.size, old.size) as size, cast(coalesce(new.mtime, old.mtime) as bigint) as mtime_ns,
+  cast(case when new.path is null then 1 else 2 end as bigint) as scan_generation, new.path is null as deleted, sha256(d.text) as content_hash,
+  coalesce(new.size, old.size) as phash
+  from old full join new on old.path = new.path join documents d on d.doc_id = coalesce(new.doc_id, old.doc_id)""",
     "dct_hashes": _dct(),
     "fingerprint_sets": f"""with {PHOTOS}, {PRINTS}, every as (select p.*, h.phash from photos p join phashes h using (file_id))
   select session_id, file_id, min(file_id) over (partition by session_id, phash, size, width, height) as set_id from every""",
