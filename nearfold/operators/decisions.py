@@ -1,4 +1,7 @@
-"""Keeper decisions, undo and the purge."""
+"""Keeper decisions, undo and the purge.
+
+Decisions come as arrays of keepers by group (``apply_keepers``), or as a log of events with a row for each keeper (``replayed``).
+"""
 
 from __future__ import annotations
 
@@ -22,6 +25,51 @@ def latest_decisions(log: DataFrame) -> DataFrame:
     return log.where(~F.coalesce("undone", F.lit(False))).withColumn("n", F.row_number().over(by)).where("n = 1").select("group_id", "keepers")
 
 
+KEEP, KEEP_ALL, UNDO = "keep", "keep_all", "undo"
+
+
+def with_undone(events: DataFrame) -> DataFrame:
+    """The keep and keep_all events of a log, each with ``undone``.
+
+    ``events`` (session_id, seq, op, group_id) is append-only: "keep" and "keep_all" act on a group and go on the stack of their session, "undo" takes the last
+    one off and has no group; with an empty stack it does nothing. The height of the stack is a running sum that does not fall below
+    zero. At each height events and undos take turns, so an event is undone if an undo follows it there.
+    """
+    by = Window.partitionBy("session_id").orderBy("seq")  # the decisions of one person at a time
+    step = F.when(F.col("op") == UNDO, -1).otherwise(1)
+    rows = events.withColumn("step", step).withColumn("sum", F.sum("step").over(by))
+    rows = rows.withColumn("floor", F.least(F.lit(0), F.min("sum").over(by)))
+    before = F.coalesce(F.lag("floor").over(by), F.lit(0))
+    rows = rows.withColumn("idle", (F.col("op") == UNDO) & (F.col("sum") < before)).where("not idle")
+    rows = rows.withColumn("height", F.col("sum") - F.col("floor") + F.when(F.col("op") == UNDO, 1).otherwise(0))
+    at = Window.partitionBy("session_id", "height").orderBy("seq")
+    rows = rows.withColumn("undone", F.coalesce(F.lead("op").over(at) == UNDO, F.lit(False)))
+    return rows.where(F.col("op") != UNDO).select("session_id", "seq", "op", "group_id", "undone")
+
+
+def replayed(groups: DataFrame, members: DataFrame, events: DataFrame, keepers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) after a log of decisions; ``keepers`` has a row (session_id, seq, file_id) for each file that a keep event keeps.
+
+    An undo brings back the keepers that the group had before the event: those of its last event that is not undone. If there is none, they are those that
+    ``members`` has, and the others are no keepers, as after any decision. Groups without an event stay as they are. A group that was once kept as a
+    whole stays resolved. Events of other groups or sessions than those given are ignored.
+    """
+    told = written(with_undone(events), "told")
+    last = told.groupBy("group_id").agg(
+        F.max(F.when(~F.col("undone"), F.struct("seq", "op", "session_id"))).alias("open"), F.bool_or(F.col("op") == KEEP_ALL).alias("whole")
+    )
+    last = written(last.select("group_id", "open.seq", "open.op", F.col("open.session_id").alias("by"), "whole"), "last")  # written: a hot group can be split
+    listed = keepers.select(F.col("session_id").alias("by"), "seq", "file_id", F.lit(True).alias("listed")).distinct()
+    joined = members.join(last, "group_id", "left").join(listed, ["by", "seq", "file_id"], "left")
+    kept = (
+        F.when(F.col("op") == KEEP_ALL, True).when(F.col("op") == KEEP, F.coalesce("listed", F.lit(False)))
+        .when(F.col("whole").isNotNull(), F.coalesce("is_keeper", F.lit(False))).otherwise(F.col("is_keeper"))
+    )
+    done = groups.join(last.select("group_id", "whole"), "group_id", "left")
+    done = done.withColumn("review_status", F.when(F.col("whole"), "resolved").otherwise(F.col("review_status")))
+    return done.select(groups.columns), joined.withColumn("is_keeper", kept).select(members.columns)
+
+
 def apply_keepers(members: DataFrame, decisions: DataFrame) -> DataFrame:
     """Listed files are keepers, the others of their group are not; groups without a decision stay as they are."""
     joined = members.join(decisions.select("group_id", "keepers"), "group_id", "left")

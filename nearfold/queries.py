@@ -246,6 +246,28 @@ def applied_keepers(spark, sf_dir):
     return members.select("group_id", "file_id", "is_keeper")
 
 
+def undo_decisions(spark, sf_dir):
+    """Keepers after a log of events for each group: a decision by its number modulo 3, undone for one in five; where it divides by 4
+    another decision and up to three undos, of which the last reach back to groups before."""
+    _, groups, members = _groups(spark, sf_dir)
+    members = members.withColumn("is_keeper", F.when(F.col("group_id") % 2 == 1, F.col("file_id") == F.col("group_id")))
+    g = F.col("group_id")
+    event = lambda at, op, when: F.when(when, F.struct((10 * g + at).alias("seq"), F.lit(op).alias("op")))
+    more = g % 4 == 0
+    listed = F.array(
+        event(1, "keep", g % 3 == 0), event(1, "keep_all", g % 3 == 1), event(2, "undo", g % 5 == 0), event(3, "keep", more),
+        event(4, "undo", more & (g % 8 == 0)), event(5, "undo", more & (g % 16 == 0)), event(6, "undo", more & (g % 32 == 0)),
+    )
+    events = groups.select("session_id", "group_id", F.explode(F.array_compact(listed)).alias("e"))
+    events = written(events.select("session_id", "e.seq", "e.op", F.when(F.col("e.op") != "undo", g).alias("group_id")), "events")
+    last = written(members.groupBy("group_id").agg(F.max("file_id").alias("last")), "last")
+    ends = members.select("session_id", "group_id", "file_id").join(last, "group_id")
+    at_first = ends.where("file_id = group_id").select("session_id", (10 * g + 1).alias("seq"), "file_id")
+    keepers = at_first.unionByName(ends.where("file_id = last").select("session_id", (10 * g + 3).alias("seq"), "file_id"))
+    groups, members = decisions.replayed(groups, members, events, keepers)
+    return members.join(groups.select("group_id", "review_status"), "group_id").select("group_id", "file_id", "is_keeper", "review_status")
+
+
 def kept_all(spark, sf_dir):
     _, groups, members = _groups(spark, sf_dir)
     groups, members = decisions.keep_all(groups, members, groups.where("group_id % 3 = 1").select("group_id"))
@@ -531,7 +553,7 @@ QUERIES = {
     for f in (
         exact_groups, exact_members, text_fingerprints, simhash_prefix_pairs, visual_members, banded_pairs, shots_bursts, feed_bursts,
         tiered_clusters, incremental_clusters, companion_pairs, scan_entries, snapshot_diff, rescanned_files, list_sessions, list_groups_page,
-        group_details, count_groups, suggested_keepers, next_groups, applied_keepers, kept_all, purge_manifest,
+        group_details, count_groups, suggested_keepers, next_groups, applied_keepers, undo_decisions, kept_all, purge_manifest,
         purge_result, deleted_session, path_parts, thumbnail_keys, formatted_bytes, camera_keys, shutter_texts,
         raster_hashes, dct_hashes, streamed_events, stream_upsert, fingerprint_sets, upserted_fingerprints, assembled_fingerprints, exif_dates,
         exif_tags, labels_and_codes, dimension_texts, rfc3339_times, session_names, session_changes, session_settings,
@@ -757,6 +779,29 @@ union all select session_id, 'burst', 75, group_id, file_id from bursts""",
     "applied_keepers": f"with {DECIDED} select group_id, file_id, is_keeper from members",
     "kept_all": f"""with {PHOTOS}, {EXACT} select group_id, file_id, case when group_id % 3 = 1 then true end as is_keeper,
   case when group_id % 3 = 1 then 'resolved' else 'pending' end as review_status from exact""",
+    "undo_decisions": f"""with recursive {PHOTOS}, {EXACT}, g as (select distinct session_id, group_id from exact), listed as (
+  select session_id, group_id, 10 * group_id + 1 as seq, case group_id % 3 when 0 then 'keep' else 'keep_all' end as op from g where group_id % 3 <> 2
+  union all select session_id, group_id, 10 * group_id + 2, 'undo' from g where group_id % 5 = 0
+  union all select session_id, group_id, 10 * group_id + 3, 'keep' from g where group_id % 4 = 0
+  union all select session_id, group_id, 10 * group_id + 4, 'undo' from g where group_id % 8 = 0
+  union all select session_id, group_id, 10 * group_id + 5, 'undo' from g where group_id % 16 = 0
+  union all select session_id, group_id, 10 * group_id + 6, 'undo' from g where group_id % 32 = 0
+), ordered as (select *, row_number() over (partition by session_id order by seq) as n from listed
+), stacks as (
+  select distinct session_id, cast(0 as bigint) as n, cast([] as bigint[]) as stack from g
+  union all
+  select s.session_id, o.n, case when o.op = 'undo' then list_slice(s.stack, 1, len(s.stack) - 1) else list_append(s.stack, o.seq) end
+  from stacks s join ordered o on o.session_id = s.session_id and o.n = s.n + 1
+), final as (select session_id, unnest(arg_max(stack, n)) as seq from stacks group by 1
+), open as (select group_id, max(o.seq) as seq, arg_max(o.op, o.seq) as op from final f join ordered o using (session_id, seq) group by 1
+), ever as (select group_id, bool_or(op = 'keep_all') as whole from ordered where op <> 'undo' group by 1
+), ends as (select group_id, max(file_id) as last from exact group by 1
+), held as (select *, case when group_id % 2 = 1 then file_id = group_id end as was from exact)
+select h.group_id, h.file_id,
+  case when p.op = 'keep_all' then true when p.op = 'keep' then h.file_id = case p.seq % 10 when 1 then h.group_id else x.last end
+       when e.group_id is not null then coalesce(h.was, false) else h.was end as is_keeper,
+  case when e.whole then 'resolved' else 'pending' end as review_status
+from held h left join open p using (group_id) left join ever e using (group_id) join ends x using (group_id)""",
     "purge_manifest": f"with {DECIDED}, {MANIFEST} select * from manifest",
     "purge_result": f"""with {DECIDED}, {MANIFEST}, told as (
   select *, case file_id % 10 when 4 then 'denied' when 7 then 'not tried' end as error from manifest

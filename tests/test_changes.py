@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from nearfold.operators import cluster, incremental
+from nearfold.operators import cluster, decisions, incremental
 from nearfold.plans import schemas
 from nearfold.plans.config import ScanConfig
 from nearfold.sources import snapshot
@@ -102,3 +102,35 @@ def test_a_stream_that_dies_between_write_and_commit(spark, tmp_path):
     assert live(stored.files()) == live(after) and stored.files().where("deleted_at is not null").count() == 2
     assert stored.fingerprints().where("content_hash is null").count() == 0
     assert calls[-2:] == [2, 2]
+
+
+def test_undo_takes_decisions_off_a_stack(spark):
+    rng = random.Random(3)
+    groups = [(g, "ab"[g % 2], "exact", 1.0, "pending") for g in range(6)]
+    members = [(g, "ab"[g % 2], 10 * g + i, rng.choice([None, True, False])) for g in range(6) for i in range(3)]
+    now, events, keepers, stacks, whole = {(g, f): k for g, _, f, k in members}, [], [], {"a": [], "b": []}, set()
+    of = {g: [f for h, _, f, _ in members if h == g] for g in range(6)}
+    for seq in range(120):
+        session = rng.choice("ab")
+        op = rng.choice(["keep", "keep_all", "undo", "undo"])
+        g = rng.choice([x[0] for x in groups[:5] if x[1] == session])
+        events.append((session, seq, op, None if op == "undo" else g))
+        if op == "undo":
+            if stacks[session]:
+                g, held = stacks[session].pop()
+                now |= {(g, f): f in held for f in of[g]}
+            continue
+        stacks[session].append((g, [f for f in of[g] if now[g, f]]))
+        chosen = of[g] if op == "keep_all" else rng.sample(of[g], rng.randrange(3))
+        whole |= {g} if op == "keep_all" else set()
+        keepers += [(session, seq, f) for f in chosen if op == "keep"]
+        now |= {(g, f): f in chosen for f in of[g]}
+    frames = (
+        spark.createDataFrame(groups, schemas.GROUPS), spark.createDataFrame(members, schemas.MEMBERS), spark.createDataFrame(events, "session_id string, seq long, op string, group_id long"),
+        spark.createDataFrame(keepers, "session_id string, seq long, file_id long"),
+    )
+    done, kept = decisions.replayed(*frames)
+    assert {(r.group_id, r.file_id): r.is_keeper for r in kept.collect()} == now and kept.count() == 18
+    assert {r.group_id for r in done.where("review_status = 'resolved'").collect()} == whole
+    _, same = decisions.replayed(*frames[:2], frames[2].limit(0), frames[3].limit(0))
+    assert sorted(map(tuple, same.collect()), key=repr) == sorted(members, key=repr)
