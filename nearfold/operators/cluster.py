@@ -73,6 +73,14 @@ def _first_band(masks: list[int]):
     return F.coalesce(*(F.when(differ.bitwiseAND(_signed(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
 
 
+def _masks(threshold: int, band_count: int) -> list[int]:
+    """The bits of which a pair must share one group: those of several bands, or the top 16 with one of threshold + 1 parts of the others."""
+    if band_count > 1:
+        return bands(band_count)
+    top = bands(1, 48, 64)[0]
+    return [top | m for m in bands(threshold + 1, 0, 48)] if threshold < 16 else [top]
+
+
 def similar_pairs(files: DataFrame, threshold: int, band_count: int = 1) -> DataFrame:
     """``(session_id, a_id, b_id, distance)``, a_id < b_id: compatible rows that share a band and differ in ``threshold`` bits at most.
 
@@ -86,11 +94,7 @@ def similar_pairs(files: DataFrame, threshold: int, band_count: int = 1) -> Data
 
 def linked_pairs(left: DataFrame, right: DataFrame, threshold: int, band_count: int, wanted) -> DataFrame:
     """The pairs of similar_pairs of a row a of ``left`` and b of ``right`` (session_id, id, phash, size, width, height) that are ``wanted``."""
-    if band_count > 1:
-        masks = bands(band_count)
-    else:
-        top = bands(1, 48, 64)[0]
-        masks = [top | m for m in bands(threshold + 1, 0, 48)] if threshold < 16 else [top]
+    masks = _masks(threshold, band_count)
     sides = [_blocked(rows, masks).select("session_id", "band", "key", "id", "phash", "size", "width", "height") for rows in (left, right)]
     distance = S.hamming(F.col("a.phash"), F.col("b.phash"))
     near = (
@@ -106,42 +110,85 @@ def linked_pairs(left: DataFrame, right: DataFrame, threshold: int, band_count:
     return pairs.select("a.session_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), distance.alias("distance"))
 
 
-def group_confidences(parts: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """``(group_id, confidence)`` of the groups of two files or more.
+def component_links(sets: DataFrame, threshold: int, band_count: int = 1) -> DataFrame:
+    """``(a_id, b_id)``: links with the connected components of all pairs of similar_pairs, but not all the pairs.
 
-    ``parts`` has group_id, id, phash and n (how many files stand for the row), ``pairs`` the links (a_id, b_id, distance). The least
-    distance is 0 if a row stands for several files, else that of a link, or of two members which are no link as they are not compatible: those
-    are looked for by ``threshold`` bands within the group, which hold every pair nearer than the threshold.
+    Compatible rows share a size, or width and height, so each is a point of both kinds and compatibility is part of the key. Rows of one point
+    (equal prints) are a star. In a block of a key the first point is its pivot: points within the threshold of it are a
+    star too, and need not be compared with one another; the others are compared with those points of the block whose distance from the
+    pivot differs by the threshold at most. So a hot print, size or block is linear unless its points are far from the pivot.
     """
-    linked = pairs.join(parts.select(F.col("id").alias("a_id"), "group_id"), "a_id").select("group_id", "distance")
-    inner = _blocked(parts.select("group_id", "id", "phash"), bands(max(threshold, 1))).alias("a")
-    met = (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))
-    closer = inner.join(inner.alias("b"), met).select(F.col("a.group_id").alias("group_id"), S.hamming(F.col("a.phash"), F.col("b.phash")).alias("distance"))
-    distances = linked.unionByName(closer).groupBy("group_id").agg(F.min("distance").alias("d"))
-    return (
-        parts.groupBy("group_id")
-        .agg(F.sum("n").alias("members"), F.max("n").alias("most"))
-        .where("members >= 2")
-        .join(distances, "group_id", "left")
-        .withColumn("d", F.when(F.col("most") > 1, 0).otherwise(F.col("d")))
-        .select("group_id", S.visual_confidence(F.coalesce("d", F.lit(threshold)), threshold).alias("confidence"))
-    )
+    key, at = ["session_id", "kind", "k1", "k2", "phash"], ["id", "phash"]
+    one = sets.select("session_id", F.lit(1).alias("kind"), F.col("size").alias("k1"), F.lit(0).cast("long").alias("k2"), *at).where("k1 is not null")
+    two = sets.select("session_id", F.lit(2).alias("kind"), F.col("width").cast("long").alias("k1"), F.col("height").cast("long").alias("k2"), *at).where("k1 is not null and k2 is not null")
+    rows = written(one.unionByName(two).where("session_id is not null"), "kinds")
+    points = written(rows.groupBy(*key).agg(F.min("id").alias("hub"), F.count("*").alias("n")), "points")
+    stars = rows.join(points.where("n > 1").select(*key, "hub"), key).select(F.col("id").alias("a_id"), F.col("hub").alias("b_id"))
+
+    masks = _masks(threshold, band_count)
+    block = ["session_id", "kind", "k1", "k2", "band", "key"]
+    dealt = _blocked(points.select(*key, F.col("hub").alias("id")), masks)
+    pivots = dealt.groupBy(*block).agg(F.min(F.struct("id", "phash")).alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    met = dealt.join(written(pivots.select(*block, "pivot"), "pivots"), block)
+    met = met.withColumn("d", S.hamming(F.col("phash"), F.col("pivot.phash"))).where("id <> pivot.id")
+    met = written(met.select(*block, "id", "phash", "d", F.col("pivot.id").alias("pivot")), "met")
+    near = met.where(F.col("d") <= threshold).select(F.col("id").alias("a_id"), F.col("pivot").alias("b_id"))
+    far = met.where(F.col("d") > threshold)
+    shells = F.explode(F.sequence(F.col("d") - threshold, F.col("d") + threshold))
+    asked = far.select(*block, F.col("id").alias("a_id"), F.col("phash").alias("print"), shells.alias("d"))
+    other = (F.col("d") <= threshold) | (F.col("a_id") < F.col("id"))
+    pairs = asked.join(met.select(*block, "id", "phash", "d"), [*block, "d"]).where(other & (S.hamming(F.col("print"), F.col("phash")) <= threshold) & (F.col("a_id") != F.col("id")))
+    pairs = pairs.select("a_id", F.col("id").alias("b_id"))
+    return stars.where("a_id <> b_id").unionByName(near).unionByName(pairs)
+
+
+def group_confidences(parts: DataFrame, threshold: int) -> DataFrame:
+    """``(group_id, confidence)`` of the groups of two files or more: 1 - least distance / threshold, over all pairs of files, linked or not.
+
+    ``parts`` has group_id, phash and n (how many files stand for the row). A print that two files of a group share gives 0. Groups without one
+    are searched for prints a bit apart, by flipping each bit, then by bands for wider radii, and leave the search with their first hit; what
+    is as far apart as the threshold has confidence 0.
+    """
+    prints = written(parts.groupBy("group_id", "phash").agg(F.sum("n").alias("n")), "prints")
+    groups = prints.groupBy("group_id").agg(F.sum("n").alias("members"), F.max("n").alias("most")).where("members >= 2")
+    groups = written(groups, "groups")
+    found = groups.where("most > 1").select("group_id", F.lit(0).alias("d"))
+    left = prints.join(groups.where("most = 1").select("group_id"), "group_id", "left_semi").select("group_id", "phash")
+    if threshold > 1:
+        left = written(left, "single-prints")
+        bits = F.array(*(_signed(1 << b) for b in range(64)))
+        flipped = left.withColumn("bit", F.explode(bits)).select("group_id", F.col("phash").bitwiseXOR(F.col("bit")).alias("phash"))
+        hits = written(flipped.join(left, ["group_id", "phash"], "left_semi").select("group_id", F.lit(1).alias("d")).distinct(), "one-bit")
+        found = found.unionByName(hits)
+        for radius in sorted({min(3, threshold - 1), threshold - 1} - {1}):
+            left = left.join(hits, "group_id", "left_anti")
+            inner = _blocked(left, bands(radius + 1))
+            met = (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.phash") < F.col("b.phash"))
+            closer = inner.alias("a").join(inner.alias("b"), met).select(F.col("a.group_id").alias("group_id"), S.hamming(F.col("a.phash"), F.col("b.phash")).alias("d"))
+            hits = written(closer.where(F.col("d") <= radius).groupBy("group_id").agg(F.min("d").alias("d")), f"radius-{radius}")
+            found = found.unionByName(hits)
+    d = F.coalesce("d", F.lit(threshold))
+    return groups.select("group_id").join(found, "group_id", "left").select("group_id", S.visual_confidence(d, threshold).alias("confidence"))
 
 
 def visual_members(files: DataFrame, threshold: int = 6, band_count: int = 1) -> DataFrame:
     """Connected components of similar_pairs. Confidence: 1 - least distance / threshold over all pairs of the group."""
-    sets = _fingerprint_sets(files)
     same = ["session_id", "phash", "size", "width", "height"]
-    pairs = written(similar_pairs(files, threshold, band_count), "similar")
-    parts = connected_components(pairs, "a_id", "b_id").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
-    parts = sets.join(parts, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
-    parts = written(parts, "parts")
-    groups = group_confidences(parts, pairs, threshold)
-    near = parts.join(groups, "group_id").select(
-        "group_id", "confidence", *(F.col(c).alias(f"_{c}") for c in same)
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
-    return files.where("phash is not null").join(near, on).withColumn("kind", F.lit("visual")).select(MEMBER)
+    rows = files.where("phash is not null").select("file_id", *same, set_name().alias("set"))
+    rows = written(rows, "prints-of-files")
+    sets = written(rows.groupBy("set", *same).agg(F.min("file_id").alias("id"), F.count("*").alias("n")), "sets")
+    parts = connected_components(component_links(sets, threshold, band_count), "a_id", "b_id")
+    parts = sets.join(parts.select(F.col("node").alias("id"), F.col("component").alias("group_id")), "id", "left")
+    parts = written(parts.select("set", "phash", "n", F.coalesce("group_id", "id").alias("group_id")), "parts")
+    groups = written(group_confidences(parts.select("group_id", "phash", "n"), threshold), "confidences")
+    near = written(parts.join(groups, "group_id").select("set", "group_id", "confidence"), "grouped")
+    return rows.select("set", "session_id", "file_id").join(near, "set").withColumn("kind", F.lit("visual")).select(MEMBER)
+
+
+def set_name():
+    """The name of a set of equal rows: a digest of session, fingerprint, size, width and height, nulls told apart from texts."""
+    same = ["session_id", "phash", "size", "width", "height"]
+    return F.md5(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in same)))
 
 
 def _islands(dated: DataFrame, window_us: int) -> DataFrame:

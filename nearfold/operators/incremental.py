@@ -11,6 +11,9 @@ deleted ids and goes down the tiers:
   join components as wholes, by their names. Members and confidences of touched components are computed anew.
 * burst: islands that lose a row, or have a new row within the window, are folded anew from their rows. No anchor outside depends on them.
 
+Links are stored as pairs of nodes, so that a component can be split again when a node goes; unlike those of ``cluster.component_links`` they are all
+pairs of a block within the threshold.
+
 Old tables meet the delta by semi and anti joins on touched keys. Spark broadcasts those keys while they are few (a size it checks) and shuffles by them
 beyond that. The result is the same as that of ``cluster.tiered_members`` over all live files.
 """
@@ -66,11 +69,6 @@ def empty(spark: SparkSession, session_type: str = "string") -> State:
     return State(*(spark.createDataFrame([], s) for s in schemas))
 
 
-def _node():
-    """The name of a node: a digest of the values that its files share, nulls told apart from texts."""
-    return F.md5(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in VALUES)))
-
-
 def _only(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
     return df.join(keys, list(on), "left_semi")
 
@@ -112,7 +110,7 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         now = written(_but(_only(files, doubtful, "file_id"), new_exact, "file_id"), "now")
 
         # visual: files, nodes
-        print_ = lambda df: df.where("phash is not null").withColumn("node", _node())
+        print_ = lambda df: df.where("phash is not null").withColumn("node", cluster.set_name())
         gone, come = _changes(print_(was).select("node", "file_id"), print_(now).select("node", "file_id"))
         gone, come = written(gone, "gone"), written(come, "come")
         seen = keep(state.seen.join(gone, ["node", "file_id"], "left_anti").unionByName(come), "seen")
@@ -155,8 +153,8 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         touched = written(touched.distinct(), "touched")
         dropped = written(_only(state.parts, touched, "id").select("component").distinct(), "dropped")
         again = written(_only(parts, _only(parts, touched, "id").select("component").distinct(), "component"), "again")
-        rows = written(again.select(F.col("component").alias("group_id"), "id").join(nodes.select("id", "phash", "n"), "id"), "rows")
-        sure = cluster.group_confidences(rows, _only(links, rows.select(F.col("id").alias("a_id")), "a_id"), threshold)
+        rows = again.select(F.col("component").alias("group_id"), "id").join(nodes.select("id", "phash", "n"), "id")
+        sure = cluster.group_confidences(rows.select("group_id", "phash", "n"), threshold)
         sure = written(sure.withColumnRenamed("group_id", "component"), "confidences")
         held = again.join(sure, "component").join(seen.withColumnRenamed("node", "id"), "id").select("component", "confidence", "file_id")
         held = written(held, "held")

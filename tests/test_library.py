@@ -105,6 +105,35 @@ def test_visual_tier_against_brute_force(spark, threshold, partitions):
     assert {r.file_id: (r.group_id, round(r.confidence, 5)) for r in found} == brute_clusters(rows, threshold)
 
 
+def test_hot_prints_and_blocks_are_linear(spark):
+    """One print with as many sizes as rows, and many prints around one another: few links for each row, one group each."""
+    n = 20_000
+    blank = spark.range(n).selectExpr("id as file_id", "'s' as session_id", "id + 1 as size", "640 as width", "480 as height", "0L as phash")
+    ball = spark.range(n).selectExpr("id + 100000 as file_id", "'s' as session_id", "7L as size", "null as width", "null as height", "shiftleft(1L, 62) + shiftleft(1L, cast(id % 41 as int)) + shiftleft(1L, cast(id div 41 % 41 as int)) as phash")
+    files = blank.unionByName(ball).withColumns({"width": F.col("width").cast("int"), "height": F.col("height").cast("int")})
+    sets = files.groupBy("session_id", "phash", "size", "width", "height").agg(F.min("file_id").alias("id"))
+    prints = sets.where("id >= 100000").count()
+    links = cluster.component_links(sets, 6)
+    assert links.count() <= 2 * n + 7 * prints
+    groups = cluster.visual_members(files, 6).groupBy("group_id", "confidence").count().collect()
+    assert sorted((r.group_id, r["count"], r.confidence) for r in groups) == [(0, n, 1.0), (100_000, n, 1.0)]
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3, 5])
+def test_confidence_of_far_members(spark, threshold):
+    """Chains of prints, each a step from the next: the least distance is found at any radius."""
+    rows, expected = [], {}
+    for g in range(8):
+        step = 1 + g % max(1, threshold)
+        bits = 0
+        for i in range(4):
+            rows.append((100 * g + i, "s", g, None, None, None, (g << 48) | bits, None, None))
+            bits |= ((1 << step) - 1) << (step * i)
+            expected[100 * g + i] = round(1 - min(step, threshold) / threshold, 5)
+    found = {r.file_id: round(r.confidence, 5) for r in cluster.visual_members(frame(spark, rows), threshold).collect()}
+    assert found == expected
+
+
 def test_bands_find_every_pair(spark):
     rng = random.Random(1)
     rows = [(i, "s", 1, None, None, None, rng.getrandbits(62) & 0xFF0000FF00FF, None, None) for i in range(150)]
