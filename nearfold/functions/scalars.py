@@ -82,9 +82,9 @@ def camera_key(make: Column, model: Column) -> Column:
 
 
 def exif_date(original: Column, plain: Column) -> Column:
-    """The first of the two that parses as yyyy:MM:dd HH:mm:ss, read as UTC."""
-    form = F.lit("yyyy:MM:dd HH:mm:ss")
-    return F.coalesce(F.try_to_timestamp(original, form), F.try_to_timestamp(plain, form))
+    """The first of the two that parses as yyyy:MM:dd HH:mm:ss, read as UTC whatever the time zone of the session is."""
+    utc = lambda text: F.try_to_timestamp(F.concat(text, F.lit("+0000")), F.lit("yyyy:MM:dd HH:mm:ssxx"))
+    return F.coalesce(utc(original), utc(plain))
 
 
 def clean_ascii(values: Column) -> Column:

@@ -22,10 +22,10 @@ CHUNK = 100_000
 
 def exact_members(files: DataFrame) -> DataFrame:
     """Files of equal content_hash; a null hash equals nothing."""
-    known = files.where("content_hash is not null").select("session_id", "content_hash", "file_id")
-    groups = known.groupBy("session_id", "content_hash").agg(F.min("file_id").alias("group_id"), F.count("*").alias("n"))
+    known = written(files.where("content_hash is not null").select("session_id", "content_hash", "file_id"), "hashes")
+    groups = known.groupBy("session_id", "content_hash").agg(F.min("file_id").alias("group_id"), F.count("*").alias("n")).where("n >= 2")
     return (
-        known.join(groups.where("n >= 2"), ["session_id", "content_hash"])
+        known.join(written(groups, "copies"), ["session_id", "content_hash"])  # written: a hot hash can be split in the join
         .withColumns({"kind": F.lit("exact"), "confidence": F.lit(1.0).cast("float")})
         .select(MEMBER)
     )

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from nearfold.functions.scalars import basename, thumbnail_key
+from nearfold.plans.config import ScanConfig
 from nearfold.plans.schemas import EXIF
+from nearfold.plans.storage import written
 
 
 class NotFound(LookupError):
@@ -52,10 +57,11 @@ def list_groups(
     """A page of groups, the most certain first, with member counts and recoverable bytes."""
     wanted = groups if session_id is None else groups.where(F.col("session_id") == session_id)
     wanted = wanted if status is None else wanted.where(F.col("review_status") == status)
-    totals = recoverable_bytes(members, files)
+    order = (F.desc("confidence"), F.asc("group_id"))
+    page = written(wanted.orderBy(*order).offset(offset).limit(limit), "page")  # cut first: only the members of its groups are summed
+    totals = recoverable_bytes(members.join(page.select("group_id"), "group_id", "left_semi"), files)
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("member_count", "bytes_recoverable")}
-    listed = wanted.join(totals, "group_id", "left").withColumns(zero)
-    return listed.orderBy(F.desc("confidence"), "group_id").offset(offset).limit(limit)
+    return page.join(totals, "group_id", "left").withColumns(zero).orderBy(*order)
 
 
 def group_details(groups: DataFrame, members: DataFrame, files: DataFrame, fingerprints: DataFrame) -> DataFrame:
@@ -106,6 +112,15 @@ def session_config(sessions: DataFrame, session_id: str):
     return row.root_path, row.config
 
 
+def session_configs(sessions: DataFrame) -> DataFrame:
+    """``(session_id, root_path)`` and a column for each setting: that of the stored text, or the default where it is missing, null or malformed."""
+    defaults = asdict(ScanConfig())
+    kinds = {bool: "boolean", int: "int"}
+    names = json.loads(ScanConfig().to_json()).keys()
+    held = F.from_json("config", ", ".join(f"{n} {kinds[type(v)]}" for n, v in zip(names, defaults.values())))
+    return sessions.withColumn("_c", held).select("session_id", "root_path", *(F.coalesce(F.col("_c")[n], F.lit(v)).alias(c) for n, (c, v) in zip(names, defaults.items())))
+
+
 def progress(metrics: DataFrame, groups: DataFrame, session_id: str) -> DataFrame:
     """The progress row of a session with its number of groups, or NotFound."""
     one = metrics.where(F.col("session_id") == session_id)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nearfold.functions import fingerprint as P, scalars as S
 from nearfold.operators import cluster, decisions, incremental, inventory, process, review, scan as scans
 from nearfold.plans import schemas
-from nearfold.plans.config import PRESETS, ScanConfig, resolve_config
+from nearfold.plans.config import PRESETS, ScanConfig
 from nearfold.plans.storage import fresh_dir, written
 from nearfold.sources import snapshot
 from nearfold.streaming import ingest as streaming, upsert
@@ -457,11 +457,11 @@ def session_changes(spark, sf_dir):
 
 
 def session_settings(spark, sf_dir):
-    """Root and configuration of one session, read back and resolved."""
+    """Root and configuration of every session, from texts with other presets, missing keys and malformed ones."""
     rows = _session_rows(spark, sf_dir)
-    root, config = review.session_config(rows, "en")
-    held = resolve_config("custom", ScanConfig.from_json(config))
-    return rows.where("session_id = 'en'").select("session_id", F.lit(root).alias("root"), F.lit(held.exact_hash).alias("exact"), F.lit(held.visual_similar).alias("visual"), F.lit(held.phash_threshold).alias("threshold"))
+    texts = F.when(F.col("session_id") == "en", F.lit(PRESETS["exact_only"].to_json())).when(F.col("session_id") == "de", '{"phashThreshold": 9}').otherwise("{not json")
+    found = review.session_configs(rows.withColumn("config", texts))
+    return found.select("session_id", F.col("root_path").alias("root"), F.col("exact_hash").alias("exact"), F.col("visual_similar").alias("visual"), F.col("phash_threshold").alias("threshold"), "burst_window_secs")
 
 
 def session_progress(spark, sf_dir):
@@ -472,7 +472,7 @@ def session_progress(spark, sf_dir):
 
 def scan_totals(spark, sf_dir):
     files, groups, _ = _groups(spark, sf_dir)
-    return streaming.scan_metrics(files.where("not session_id = 'en'"), groups, 1_000_000, 10.0).select("files_processed", "files_total_estimate", "files_per_second", "percent", "groups_found")
+    return streaming.scan_metrics(files, groups, 1_000_000, 10.0).select("files_processed", "files_total_estimate", "files_per_second", "percent", "groups_found")
 
 
 def plain_entries(spark, sf_dir):
@@ -512,7 +512,7 @@ def scanned_library(spark, sf_dir):
     docs = _inventory(spark, sf_dir).select("doc_id", "path").join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     texts = docs.select("path", F.col("doc_id"), S.content_hash(F.col("text")).alias("content_hash"))
     prints = texts.where("doc_id % 10 <> 9").select(F.col("doc_id").alias("file_id"), "content_hash")
-    sessions = _session_rows(spark, sf_dir).limit(1).withColumn("session_id", F.lit("lib"))
+    sessions = _session_rows(spark, sf_dir).where("session_id = 'en'").withColumn("session_id", F.lit("lib"))
     files = old.withColumns({"companion_raw_path": F.lit(None).cast("string"), "companion_raw_size": F.lit(None).cast("long")})
     empty = lambda schema: spark.createDataFrame([], schema)
     before = scans.Tables(sessions, files, prints, empty(schemas.GROUPS), empty(schemas.MEMBERS))
@@ -868,7 +868,7 @@ union all select 'members', count(*) from exact where session_id <> 'en'""",
     "session_progress": f"""with {PHOTOS}, {EXACT} select 'en' as session_id, count(*) as files_processed, max(file_id) as last_id,
   (select count(distinct group_id) from exact where session_id = 'en') as "groups" from photos where session_id = 'en'""",
     "scan_totals": f"""with {PHOTOS}, {EXACT} select count(*) as files_processed, 1000000 as files_total_estimate, count(*) / 10.0::double as files_per_second,
-  100.0::double * count(*) / 1000000 as percent, (select count(distinct group_id) from exact) as groups_found from photos where session_id <> 'en'""",
+  100.0::double * count(*) / 1000000 as percent, (select count(distinct group_id) from exact) as groups_found from photos""",
     "plain_entries": f"with {INVENTORY} select doc_id, path from kinds where image",
     "packed_bytes": "select c_custkey, cast(c_custkey % 256 + 65536 * ((c_custkey * 7) % 256) + 16777216 * (c_custkey % 100) as bigint) as packed from customer",
     "cleared_groups": f"with {PHOTOS}, {EXACT} select session_id, group_id, file_id, 'exact' as kind from exact where session_id <> 'en'",

@@ -82,8 +82,10 @@ def for_clustering(files: DataFrame, fingerprints: DataFrame) -> DataFrame:
 def write_partitions(df: DataFrame, path: str, sessions=()) -> None:
     """Replaces the sessions that ``df`` holds and leaves the others (dynamic partition overwrite).
 
-    ``sessions`` are replaced even if ``df`` has no row of them: their old rows go.
+    ``sessions`` are replaced even if ``df`` has no row of them: their old rows go. ``df`` is computed once, before anything is replaced, so it may
+    read from ``path`` itself.
     """
+    df = written(df, "partitions")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
     wanted = set(sessions)
     if not wanted:

@@ -134,3 +134,51 @@ def test_undo_takes_decisions_off_a_stack(spark):
     assert {r.group_id for r in done.where("review_status = 'resolved'").collect()} == whole
     _, same = decisions.replayed(*frames[:2], frames[2].limit(0), frames[3].limit(0))
     assert sorted(map(tuple, same.collect()), key=repr) == sorted(members, key=repr)
+
+
+def test_listing_equals_a_walk(spark, tmp_path):
+    import os
+
+    from nearfold.sources import files, listing
+
+    for name in ("a.JPG", "x/b.png", "x/y/c.jpg", "x/y/z/d e.jpg", "x/y/z/.hidden", "x/noext", "p/q/r/s/t.tif", "p/end."):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1" * len(name))
+    os.symlink(tmp_path / "a.JPG", tmp_path / "x/link.jpg")
+    os.symlink(tmp_path / "x", tmp_path / "loop")
+    os.utime(tmp_path / "a.JPG", ns=(5, 1_700_000_000_123_456_789))
+    walked = {}
+    for folder, _, names in os.walk(tmp_path):
+        for n in names:
+            path = os.path.join(folder, n)
+            if not os.path.islink(path):
+                held = os.stat(path)
+                walked[f"file:{path}"] = (held.st_size, held.st_mtime_ns, held.st_ino)
+    for depth in (0, 1, 2, 9):
+        df = listing.listed(spark, str(tmp_path), "s", depth=depth)
+        assert {r.path: (r.size, r.mtime_ns, r.inode) for r in df.collect()} == walked and df.count() == len(walked)
+    assert df.where("mtime_ns = 1700000000123456789").selectExpr("unix_micros(modified_at)").first()[0] == 1_700_000_000_123_456
+    some = listing.listed(spark, str(tmp_path), "s", ["jpg", "tif"])
+    assert {r.path.rpartition("/")[2] for r in some.collect()} == {"a.JPG", "c.jpg", "d e.jpg", "t.tif"}
+    plain = {r.path for r in files.inventory(spark, str(tmp_path), "s").collect()}
+    assert {p for p in walked if "hidden" not in p} <= plain | set()
+    assert listing.listed(spark, str(tmp_path / "none"), "s").collect() == []
+
+
+def test_capture_dates_are_utc_in_any_session(spark):
+    from nearfold.functions import scalars as S
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        row = spark.range(1).select(F.unix_seconds(S.exif_date(F.lit("2024:07:01 12:00:00"), F.lit(None).cast("string"))).alias("t"), S.exif_date(F.lit("x"), F.lit("2024:07:01 25:00:00")).alias("bad")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert row.t == int(dt.datetime(2024, 7, 1, 12, tzinfo=dt.timezone.utc).timestamp()) and row.bad is None
+
+
+def test_replaced_partitions_may_come_from_the_table_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    snapshot.write_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "id long, session_id string"), path)
+    snapshot.write_partitions(spark.read.parquet(path).where("session_id = 'a'").selectExpr("id + 10 as id", "session_id"), path, ["a"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(2, "b"), (11, "a")]
