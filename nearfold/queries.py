@@ -864,7 +864,8 @@ union all select 'members', count(*) from exact where session_id <> 'en'""",
     "session_names": """select c_custkey, case when c_custkey % 3 = 2 then c_name when c_custkey % 5 = 0 then 'Scan' else c_mktsegment end as name from customer""",
     "session_changes": """select distinct lang as session_id, case when lang = 'en' then 'paused' else 'scanning' end as status,
   cast(case when lang = 'en' then 5 else 4 end as bigint) as scan_generation, lang = 'en' as touched from documents""",
-    "session_settings": """select distinct lang as session_id, '/lib/en' as root, true as exact, false as visual, 6 as threshold from documents where lang = 'en'""",
+    "session_settings": """select distinct lang as session_id, '/lib/' || lang as root, true as exact, lang <> 'en' as visual,
+  case when lang = 'de' then 9 else 6 end as threshold, 2 as burst_window_secs from documents""",
     "session_progress": f"""with {PHOTOS}, {EXACT} select 'en' as session_id, count(*) as files_processed, max(file_id) as last_id,
   (select count(distinct group_id) from exact where session_id = 'en') as "groups" from photos where session_id = 'en'""",
     "scan_totals": f"""with {PHOTOS}, {EXACT} select count(*) as files_processed, 1000000 as files_total_estimate, count(*) / 10.0::double as files_per_second,
