@@ -139,8 +139,20 @@ def suggested_keepers(members: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def next_groups(groups: DataFrame) -> DataFrame:
-    """For each pending group of a session the next in the order of the queue; the first after the last."""
-    by = Window.partitionBy("session_id").orderBy(F.desc("confidence"), F.asc("group_id"))
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = F.coalesce(F.lead("group_id").over(by), F.first("group_id").over(whole))
-    return groups.where("review_status = 'pending'").select("session_id", "group_id", following.alias("next_group_id"))
+    """For each pending group of a session the next in the order of the queue; the first after the last.
+
+    The queue is cut into ranges of its order, also within a session. What follows the last group of a range comes from a table with a row for
+    each range and session, so no task holds a whole session.
+    """
+    order = (F.desc("confidence"), F.asc("group_id"))
+    queue = groups.where("review_status = 'pending'").select("session_id", "group_id", "confidence")
+    queue = written(queue.repartitionByRange("session_id", *order).withColumn("part", F.spark_partition_id()), "queue")
+    by = Window.partitionBy("session_id", "part").orderBy(*order)
+    rows = written(queue.withColumns({"n": F.row_number().over(by), "ahead": F.lead("group_id").over(by)}), "ahead")
+    parts = Window.partitionBy("session_id").orderBy("part")  # a row per range
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = rows.where("n = 1").select("session_id", "part", "group_id")
+    edges = edges.withColumn("after", F.coalesce(F.lead("group_id").over(parts), F.first("group_id").over(whole))).drop("group_id")
+    edges = written(edges, "edges").withColumnsRenamed({"session_id": "_session", "part": "_part"})
+    joined = rows.join(edges, rows["session_id"].eqNullSafe(F.col("_session")) & (rows["part"] == F.col("_part")))
+    return joined.select("session_id", "group_id", F.coalesce("ahead", "after").alias("next_group_id"))

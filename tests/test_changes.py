@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from nearfold.operators import cluster, decisions, incremental
+from nearfold.operators import cluster, decisions, incremental, review
 from nearfold.plans import schemas
 from nearfold.plans.config import ScanConfig
 from nearfold.sources import snapshot
@@ -182,3 +182,20 @@ def test_replaced_partitions_may_come_from_the_table_itself(spark, tmp_path):
     snapshot.write_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "id long, session_id string"), path)
     snapshot.write_partitions(spark.read.parquet(path).where("session_id = 'a'").selectExpr("id + 10 as id", "session_id"), path, ["a"])
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(2, "b"), (11, "a")]
+
+
+def test_the_queue_of_one_session_is_cut_into_ranges(spark):
+    rng = random.Random(6)
+    rows = [(g, rng.choice(["hot", "hot", "hot", "b", None]), "exact", rng.choice([1.0, 0.75, 0.5, None]), rng.choice(["pending", "pending", "resolved"])) for g in range(400)]
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(setting, "false")  # few rows would else be one range
+        found = {r.group_id: r.next_group_id for r in review.next_groups(spark.createDataFrame(rows, schemas.GROUPS).repartition(7)).collect()}
+    finally:
+        spark.conf.unset(setting)
+    expected = {}
+    for session in ("hot", "b", None):
+        queue = [r[0] for r in sorted((r for r in rows if r[1] == session and r[4] == "pending"), key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))]
+        expected |= dict(zip(queue, [*queue[1:], queue[0]]))
+    assert found == expected
+    assert review.next_groups(spark.createDataFrame([], schemas.GROUPS)).collect() == []
