@@ -19,7 +19,7 @@ from nearfold.plans import schemas
 from nearfold.plans.config import PRESETS, ScanConfig
 from nearfold.plans.storage import fresh_dir, written
 from nearfold.sources import snapshot
-from nearfold.streaming import ingest as streaming, upsert
+from nearfold.streaming import ingest as streaming, metrics, upsert
 
 THRESHOLD = 6
 PHOTO_WINDOW = 600
@@ -466,8 +466,19 @@ def session_settings(spark, sf_dir):
 
 def session_progress(spark, sf_dir):
     _, groups, _ = _groups(spark, sf_dir)
-    metrics = _table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("session_id")).agg(F.count("*").alias("files_processed"), F.max("doc_id").alias("last_id"))
-    return review.progress(metrics, groups, "en").select("session_id", "files_processed", "last_id", "groups")
+    counts = _table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("session_id")).agg(F.count("*").alias("files_processed"), F.max("doc_id").alias("last_id"))
+    return review.progress(counts, groups, "en").select("session_id", "files_processed", "last_id", "groups")
+
+
+def observed_metrics(spark, sf_dir):
+    """The metrics of each session, counted by the jobs that write its entries."""
+    base = fresh_dir(spark, "metrics")
+    table = metrics.Metrics(spark, f"{base}/reports")
+    rows = _inventory(spark, sf_dir)
+    for session, part in (("odd", F.col("doc_id") % 2 == 1), ("even", F.col("doc_id") % 2 == 0)):
+        for share in (rows.where(part & (F.col("doc_id") % 3 == 0)), rows.where(part)):
+            table.write(share, f"{base}/{session}", session, total=1_000_000)
+    return table.progress().select("session_id", "phase", "files_processed", "files_total_estimate", "percent", "last_path")
 
 
 def scan_totals(spark, sf_dir):
@@ -557,7 +568,7 @@ QUERIES = {
         purge_result, deleted_session, path_parts, thumbnail_keys, formatted_bytes, camera_keys, shutter_texts,
         raster_hashes, dct_hashes, streamed_events, stream_upsert, fingerprint_sets, upserted_fingerprints, assembled_fingerprints, exif_dates,
         exif_tags, labels_and_codes, dimension_texts, rfc3339_times, session_names, session_changes, session_settings,
-        session_progress, scan_totals, plain_entries, packed_bytes, cleared_groups, kept_and_purged, purged_by_live_keepers, scanned_library, scanned_tiers,
+        session_progress, observed_metrics, scan_totals, plain_entries, packed_bytes, cleared_groups, kept_and_purged, purged_by_live_keepers, scanned_library, scanned_tiers,
     )
 }
 
@@ -868,6 +879,8 @@ union all select 'members', count(*) from exact where session_id <> 'en'""",
   case when lang = 'de' then 9 else 6 end as threshold, 2 as burst_window_secs from documents""",
     "session_progress": f"""with {PHOTOS}, {EXACT} select 'en' as session_id, count(*) as files_processed, max(file_id) as last_id,
   (select count(distinct group_id) from exact where session_id = 'en') as "groups" from photos where session_id = 'en'""",
+    "observed_metrics": f"""with {INVENTORY} select case when doc_id % 2 = 1 then 'odd' else 'even' end as session_id, 'hashing' as phase,
+  count(*) as files_processed, 1000000 as files_total_estimate, 100.0::double * count(*) / 1000000 as percent, max(path) as last_path from inventory group by 1""",
     "scan_totals": f"""with {PHOTOS}, {EXACT} select count(*) as files_processed, 1000000 as files_total_estimate, count(*) / 10.0::double as files_per_second,
   100.0::double * count(*) / 1000000 as percent, (select count(distinct group_id) from exact) as groups_found from photos""",
     "plain_entries": f"with {INVENTORY} select doc_id, path from kinds where image",

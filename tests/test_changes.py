@@ -199,3 +199,23 @@ def test_the_queue_of_one_session_is_cut_into_ranges(spark):
         expected |= dict(zip(queue, [*queue[1:], queue[0]]))
     assert found == expected
     assert review.next_groups(spark.createDataFrame([], schemas.GROUPS)).collect() == []
+
+
+def test_progress_survives_a_restart(spark, tmp_path):
+    from nearfold.streaming import ingest, metrics
+
+    table = metrics.Metrics(spark, str(tmp_path / "reports"))
+    spark.createDataFrame([("/a", 1), ("/b", 2), ("/c", 3)], "path string, n long").repartition(3).write.parquet(str(tmp_path / "in"))
+    for expected in (3, 5):
+        listener = metrics.StreamReports(table, "s", total=10)
+        spark.streams.addListener(listener)
+        try:
+            ingest.ingest(spark, str(tmp_path / "in"), "path string, n long", str(tmp_path / "out"), str(tmp_path / "state"), lambda b: b, files_per_batch=1).awaitTermination()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        finally:
+            spark.streams.removeListener(listener)
+        row = table.progress().first()
+        assert (row.session_id, row.files_processed, row.percent, row.phase) == ("s", expected, 10.0 * expected, "hashing")
+        spark.createDataFrame([("/d", 4), ("/e", 5)], "path string, n long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table.write(spark.createDataFrame([("/z", 1)], "path string, n long").limit(0), str(tmp_path / "none"), "empty")
+    assert table.progress().where("session_id = 'empty'").first()[2:6] == (0, 0, 0.0, 0.0)
