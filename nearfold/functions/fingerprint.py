@@ -106,49 +106,83 @@ def plain_path(origin: Column) -> Column:
     return F.regexp_replace(origin, "^file:///", "file:/")
 
 
-def image_hashes(images: DataFrame) -> DataFrame:
-    """``(path, width, height, dhash, phash)`` from Spark's image source; images that do not decode have null values.
+TILE_BYTES = 1 << 20
+GREY = np.array([114.0, 587.0, 299.0])  # thousandths of blue, green and red
 
-    Grey levels are averaged over the cells of a 9 x 8 grid for the gradient hash and of an 8 x 8 grid,
-    through the cosine transform, for the median hash.
-    """
 
-    def cells(grey: np.ndarray, rows: int, columns: int) -> np.ndarray:
-        ys, xs = (np.linspace(0, n, k + 1) for n, k in zip(grey.shape, (rows, columns)))
-        total = np.pad(grey.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+def image_tiles(images: DataFrame, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """``(path, width, height, channels, tiles, tile, y, x, data)``: the decoded pixels of Spark's image source in pieces.
 
-        def at(y, x):  # bilinear: a cell may begin within a pixel
-            y0, x0 = np.minimum(y.astype(int), grey.shape[0] - 1), np.minimum(x.astype(int), grey.shape[1] - 1)
-            fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-            a, b = total[np.ix_(y0, x0)], total[np.ix_(y0, x0 + 1)]
-            c, d = total[np.ix_(y0 + 1, x0)], total[np.ix_(y0 + 1, x0 + 1)]
-            return (a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy
+    A tile is as many whole pixel rows as ``tile_bytes`` holds or, of wider rows, a part of one: ``data`` begins at pixel (y, x).
+    The tiles of an image follow one another in one partition, numbered from 0. An image that did not decode has one row with nulls.
+    """
+    width, height, channels = (F.col(f"image.{c}") for c in ("width", "height", "nChannels"))
+    sizes = images.select(
+        plain_path(F.col("image.origin")).alias("path"), F.when(width > 0, width).alias("width"), F.when(width > 0, height).alias("height"),
+        channels.alias("channels"), F.col("image.data").alias("data"),
+    )
+    whole = lambda a, b: F.floor(a / b).cast("int")
+    pixels = F.greatest(F.lit(1), whole(F.lit(tile_bytes), F.col("channels")))
+    shaped = sizes.withColumn("_pixels", pixels).withColumn("_rows", F.greatest(F.lit(1), whole(pixels, F.col("width"))))
+    shaped = shaped.withColumn("_parts", F.ceil(F.col("width") / F.col("_pixels")).cast("int"))
+    shaped = shaped.withColumn("tiles", (F.ceil(F.col("height") / F.col("_rows")) * F.col("_parts")).cast("int"))
+
+    def cut(data: Column, t: Column) -> Column:
+        y, x = whole(t, F.col("_parts")) * F.col("_rows"), t % F.col("_parts") * F.col("_pixels")
+        rows = F.least(F.col("_rows"), F.col("height") - y)
+        columns = F.least(F.col("_pixels"), F.col("width") - x)
+        at = (y * F.col("width") + x) * F.col("channels")
+        return F.struct(t.alias("tile"), y.alias("y"), x.alias("x"), F.substring(data, at + 1, rows * columns * F.col("channels")).alias("data"))
+
+    numbers = F.sequence(F.lit(0), F.col("tiles") - 1)
+    parts = _bound(F.col("data"), lambda data: F.transform(numbers, lambda t: cut(data, t)))  # the pixels are bound once, not read for each tile
+    each = shaped.select("path", "width", "height", "channels", "tiles", F.explode_outer(parts).alias("part"))
+    return each.select("path", "width", "height", "channels", "tiles", "part.*")
+
+
+def _overlap(first: int, n: int, size: int, cells: int) -> np.ndarray:
+    """How much of the pixels first, first + 1, ... of ``size`` lies in each of ``cells`` equal cells, in 1 / cells of a pixel: whole numbers."""
+    begin = (first + np.arange(n, dtype=np.int64)) * cells
+    edge = np.arange(cells + 1, dtype=np.int64)[:, None] * size
+    return np.maximum(0, np.minimum(begin + cells, edge[1:]) - np.maximum(begin, edge[:-1])).astype(float)
+
+
+def image_hashes(images: DataFrame, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """``(path, width, height, dhash, phash)`` from Spark's image source; images that do not decode have null values.
 
-        sums = np.diff(np.diff(at(ys, xs), axis=0), axis=1)
-        return sums * (rows * columns / grey.size)
+    Grey levels are averaged over the cells of a 9 x 8 grid for the gradient hash and of an 8 x 8 grid,
+    through the cosine transform, for the median hash. A worker holds one Arrow batch of tiles (a bound in bytes of the session)
+    and, of the image they belong to, two grids of sums. The sums are whole numbers, so the hashes do not depend on the tiles.
+    """
 
     def packed(bits: np.ndarray) -> int:
         value = sum(1 << i for i, b in enumerate(bits.ravel().tolist()) if b)
         return value - (1 << 64) if value >> 63 else value
 
     basis = np.cos(np.pi * np.outer(np.arange(8), 2 * np.arange(8) + 1) / 16)
+    schema = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("dhash", pa.int64()), ("phash", pa.int64())])
 
     def run(batches):
+        wide, square = np.zeros((8, 9), np.int64), np.zeros((8, 8), np.int64)
         for batch in batches:
-            out = []
-            for path, w, h, channels, data in zip(*(c.to_pylist() for c in batch.columns)):
-                row = {"path": path, "width": None, "height": None, "dhash": None, "phash": None}
-                if w and w > 0:
-                    pixels = np.frombuffer(data, np.uint8).reshape(h, w, channels).astype(float)
-                    colour = pixels[:, :, :3] @ [0.114, 0.587, 0.299] if channels >= 3 else pixels[:, :, 0]
-                    small = cells(colour, 8, 9)
-                    waves = basis @ cells(colour, 8, 8) @ basis.T
-                    row |= {"width": w, "height": h, "dhash": packed(small[:, :-1] < small[:, 1:]), "phash": packed(waves > np.median(waves))}
-                out.append(row)
+            out, data = [], batch.column(8)
+            for i, (path, w, h, channels, tiles, tile, y, x) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(8)))):
+                if tile is None:
+                    out.append({"path": path})
+                    continue
+                if tile == 0:
+                    wide[:], square[:] = 0, 0
+                pixels = np.frombuffer(data[i].as_buffer(), np.uint8).reshape(-1, channels)
+                grey = pixels[:, :3].astype(float) @ GREY if channels >= 3 else pixels[:, 0] * 1000.0
+                grey = grey.reshape(-1, min(w, len(grey)))
+                rows, columns = grey.shape
+                down = _overlap(y, rows, h, 8) @ grey
+                for total, cells in ((wide, 9), (square, 8)):
+                    total += (down @ _overlap(x, columns, w, cells).T).astype(np.int64)
+                if tile == tiles - 1:
+                    waves = basis @ (square / (1000.0 * w * h)) @ basis.T
+                    out.append({"path": path, "width": w, "height": h, "dhash": packed(wide[:, :-1] < wide[:, 1:]), "phash": packed(waves > np.median(waves))})
             if out:
-                yield pa.RecordBatch.from_pylist(
-                    out, pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("dhash", pa.int64()), ("phash", pa.int64())])
-                )
+                yield pa.RecordBatch.from_pylist(out, schema)
 
-    columns = images.select(plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height", "image.nChannels", "image.data")
-    return columns.mapInArrow(run, "path string, width int, height int, dhash long, phash long")
+    return image_tiles(images, tile_bytes).mapInArrow(run, "path string, width int, height int, dhash long, phash long")

@@ -325,6 +325,40 @@ def test_images(spark, tmp_path):
     assert exact.count() == 4 and none.count() == 0 and exact.where("phash is not null").count() == 0
 
 
+def test_hashes_do_not_depend_on_tiles(spark, tmp_path):
+    """Odd sizes, one row, one column and wide rows cut in parts, against sums over pixels repeated to whole cells."""
+    rng = np.random.default_rng(1)
+    shapes = [(64, 72), (61, 53), (1, 400), (400, 1), (3, 1000), (8, 9), (5, 7)]
+    pictures = {f"{i}.png": rng.integers(0, 256, s).astype(np.uint8) for i, s in enumerate(shapes)} | {"flat.png": np.full((50, 30), 7, np.uint8)}
+    for name, p in pictures.items():
+        (tmp_path / name).write_bytes(png(p))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    images = source.images(spark, str(tmp_path))
+
+    def cells(p, rows, columns):
+        fine = np.repeat(np.repeat(p.astype(np.int64), rows, 0), columns, 1)
+        return fine.reshape(rows, p.shape[0], columns, p.shape[1]).sum((1, 3))
+
+    basis = np.cos(np.pi * np.outer(np.arange(8), 2 * np.arange(8) + 1) / 16)
+    bits = lambda marks: sum(1 << i for i, b in enumerate(marks.ravel()) if b)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    expected = {}
+    for name, p in pictures.items():
+        wide, waves = cells(p, 8, 9), basis @ (cells(p, 8, 8) / p.size) @ basis.T
+        expected[name] = (p.shape[1], p.shape[0], signed(bits(wide[:, :-1] < wide[:, 1:])), signed(bits(waves > np.median(waves))))
+    for size in (1, 100, 1 << 20):
+        tiles = P.image_tiles(images, size)
+        assert tiles.where(F.length("data") > size).count() == 0
+        assert tiles.agg(F.sum(F.length("data"))).first()[0] == sum(p.size for p in pictures.values())
+        got = {r.path.rpartition("/")[2]: tuple(r)[1:] for r in P.image_hashes(images, size).collect()}
+        assert got.pop("bad.png") == (None,) * 4
+        assert {n: r[:3] for n, r in got.items()} == {n: r[:3] for n, r in expected.items()}
+        assert all(got[n][3] == expected[n][3] for n in got if n != "flat.png")  # equal cells: the signs of the waves are rounding
+    assert P.image_hashes(images.limit(0)).count() == 0
+    twice = P.image_hashes(images.unionAll(images)).groupBy("path").agg(F.count_distinct("dhash", "phash", "width")).collect()
+    assert sorted(r[1] for r in twice) == [0] + [1] * len(pictures)
+
+
 def library(spark):
     """One group of three: 12 has the largest area, 15 is deleted, 11 has a RAW file beside it."""
     files = spark.createDataFrame(
