@@ -108,13 +108,14 @@ class Packer:
 def pack(pieces: DataFrame, keys: list[str], length: str, cap: Capacity = Capacity()) -> DataFrame:
     """``pieces`` with sequence_id and offset. Lengths are 1 to ``cap.tokens``; others raise.
 
-    Ties go by the keys. Columns of these two names in the input raise; an empty table gives an empty one.
+    Ties go by the keys. Pieces are dealt to groups by their places in the table, whatever their keys, so nulls and repeated keys
+    spread like others. Columns of these two names in the input raise; an empty table gives an empty one.
     """
     clash = {"sequence_id", "offset", "_group"} & set(pieces.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are given by pack")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(length, "descending"), *((k, "ascending") for k in keys)])

@@ -14,7 +14,9 @@ its offsets in the original text. A unit is
   that begin or end within a line.
 
 Repeated units that touch in a document are one span, and a span is removed if it has ``min_words`` words or more: ten short
-lines in a row that stand elsewhere too are, one short line that many texts have by chance is not.
+lines in a row that stand elsewhere too are, one short line that many texts have by chance is not. With ``min_places`` a span
+is also removed, however short, if it holds a line or paragraph that stands in as many places. ``repeated_units`` gives all
+repeated lines and paragraphs as rows, those that are not removed too; the runs are an option of ``repeats``.
 A passage of ``2 * min_words`` words or more holds a whole unit. Where it stands in two places, the later
 occurrence goes but for the words before its first and after its last common cut.
 
@@ -86,8 +88,8 @@ def _least(words: np.ndarray, row: np.ndarray, ends: np.ndarray, width: int) ->
     return marked
 
 
-def _units(stop: np.ndarray, words: np.ndarray, rows: np.ndarray, breaks: np.ndarray, of: np.ndarray, min_words: int):
-    """(row, first word, end word, kind) of the units of several rows. Row r has the words rows[r] to rows[r + 1] and the lines of[r] to
+def _units(stop: np.ndarray, words: np.ndarray, rows: np.ndarray, breaks: np.ndarray, of: np.ndarray, min_words: int | None):
+    """(row, first word, end word, kind) of the units of several rows; no runs without ``min_words``. Row r has the words rows[r] to rows[r + 1] and the lines of[r] to
     of[r + 1], line i the words from breaks[i] on. A unit that is of several kinds comes once, with all their bits."""
     n, found = len(words), []
     size = np.diff(rows)
@@ -101,16 +103,17 @@ def _units(stop: np.ndarray, words: np.ndarray, rows: np.ndarray, breaks: np.nda
         begin = breaks[some]
         found.append((begin, np.append(begin[1:], n), np.full(len(begin), kind)))
     row = np.repeat(np.arange(len(size)), size)
-    cut = np.zeros(n + 1, bool)
-    cut[rows] = True
-    cut[breaks[has]] = True
-    cut[np.flatnonzero(stop | _least(words, row, stop, span(min_words))) + 1] = True
-    cuts = np.flatnonzero(cut)
-    begin = cuts[cuts < n]
-    to = np.searchsorted(cuts, begin + min_words)
-    some = np.flatnonzero(to < len(cuts))
-    some = some[cuts[to[some]] <= rows[row[begin[some]] + 1]]
-    found.append((begin[some], cuts[to[some]], np.full(len(some), RUN)))
+    if min_words is not None:
+        cut = np.zeros(n + 1, bool)
+        cut[rows] = True
+        cut[breaks[has]] = True
+        cut[np.flatnonzero(stop | _least(words, row, stop, span(min_words))) + 1] = True
+        cuts = np.flatnonzero(cut)
+        begin = cuts[cuts < n]
+        to = np.searchsorted(cuts, begin + min_words)
+        some = np.flatnonzero(to < len(cuts))
+        some = some[cuts[to[some]] <= rows[row[begin[some]] + 1]]
+        found.append((begin[some], cuts[to[some]], np.full(len(some), RUN)))
     first, last, kind = (np.concatenate(x) for x in zip(*found))
     key, which = np.unique(first * (n + 1) + last, return_inverse=True)
     kinds = np.zeros(len(key), np.int64)
@@ -120,7 +123,7 @@ def _units(stop: np.ndarray, words: np.ndarray, rows: np.ndarray, breaks: np.nda
     return row[first], first, key % (n + 1), kinds
 
 
-def _batch_units(batch, column: int, min_words: int):
+def _batch_units(batch, column: int, min_words: int | None):
     """For each piece of a batch: the rows, words, units (first, end, kind) and their places in characters of the text."""
     data, offsets = utf8(batch.column(column))
     for i, j in pieces(offsets):
@@ -138,7 +141,7 @@ def _batch_units(batch, column: int, min_words: int):
         yield i + row, words, rows[row], first, last, kinds, chars[starts[first]] - base, chars[ends[last - 1]] - base
 
 
-def _digests(docs: DataFrame, min_words: int) -> DataFrame:
+def _digests(docs: DataFrame, min_words: int | None) -> DataFrame:
     """(d1): the first digest of every unit of every text."""
 
     def run(batches):
@@ -149,7 +152,7 @@ def _digests(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "d1 long")
 
 
-def _places(docs: DataFrame, min_words: int, bits: np.ndarray) -> DataFrame:
+def _places(docs: DataFrame, min_words: int | None, bits: np.ndarray) -> DataFrame:
     """(d1, d2, doc_id, first, last, start, end, kind) of the units that pass the filter: their words and characters in the text."""
 
     def run(batches):
@@ -165,38 +168,95 @@ def _places(docs: DataFrame, min_words: int, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "d1 long, d2 long, doc_id long, first int, last int, start int, end int, kind int")
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+def _repeated(docs: DataFrame, id_col: str, text_col: str, min_words: int | None) -> DataFrame:
+    """``_places`` of the units that stand in two places or more, as a written table; with false hits of the filter and single places of repeated rows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    often = _digests(rows, min_words).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
+    often = written(often, "often")
+    some = _places(rows, min_words, filter_bits(often, "d1")).join(often.hint("merge"), "d1")
+    return written(some, "places")
+
+
+def _first(some: DataFrame) -> DataFrame:
+    """(d1, d2, kept, other, places): the first and last place of each unit that has several."""
+    place = F.struct("doc_id", "start")
+    return some.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("other"), F.count("*").alias("places")).where("kept <> other")
+
+
+def _hot(min_places: int | None):
+    """Whether a line or paragraph stands in ``min_places`` places."""
+    if min_places is None:
+        return F.lit(False)
+    return (F.col("places") >= min_places) & (F.col("kind").bitwiseAND(LINE | PARAGRAPH) > 0)
+
+
+def _single(some: DataFrame) -> DataFrame:
+    """Each place once, so that repeated rows count once."""
+    return some.dropDuplicates(["d1", "d2", "doc_id", "start"])
+
+
+def repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, runs: bool = True, min_places: int | None = None) -> DataFrame:
     """(doc_id, start, end, first_doc_id, first_start, words, by_lines, by_runs): the spans to remove, disjoint within a document.
 
     first_doc_id and first_start tell where the kept occurrence of the span's first unit stands, words how long the span is,
-    by_lines and by_runs whether lines or paragraphs, and runs between cuts, are among its units. Null and wordless
-    texts have no units; rows with a null id take no part; an id names one text, and a repeated
+    by_lines and by_runs whether lines or paragraphs, and runs between cuts, are among its units. Without ``runs`` lines and paragraphs alone are
+    units. Null and wordless texts have no units; rows with a null id take no part; an id names one text, and a repeated
     row counts once. Other columns are ignored, an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     with scratch(docs.sparkSession) as kept:
-        often = _digests(rows, min_words).groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-        often = written(often, "often")
-        some = _places(rows, min_words, filter_bits(often, "d1")).join(often.hint("merge"), "d1")
-        some = written(some, "places")
-        place = F.struct("doc_id", "start")
-        first = some.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept <> other")
-        again = some.join(written(first.select("d1", "d2", "kept"), "first").hint("merge"), ["d1", "d2"]).where("kept <> struct(doc_id, start)")
-        return kept(_spans(again).where(F.col("words") >= min_words), "repeats")
-
-
-def _spans(again: DataFrame) -> DataFrame:
-    """The repeated units of each document that overlap or follow one another as one span."""
+        some = _repeated(docs, id_col, text_col, min_words if runs else None)
+        first = written(_first(some if min_places is None else _single(some)).select("d1", "d2", "kept", "places"), "first")
+        again = some.join(first.hint("merge"), ["d1", "d2"]).where("kept <> struct(doc_id, start)").withColumn("hot", _hot(min_places))
+        return kept(_spans(_marked(again)).where((F.col("words") >= min_words) | F.col("hot")).drop("hot"), "repeats")
+
+
+def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, min_places: int | None = None) -> DataFrame:
+    """(doc_id, start, end, line, paragraph, words, places, first_doc_id, first_start, removed): each place of every repeated line and paragraph.
+
+    Units of any length, the kept first place of each among the rows; ``line`` and ``paragraph`` tell what a unit is there, places in how many
+    places it stands. ``removed`` are the later places inside spans that ``repeats`` without runs gives. Nulls, repeated rows and empty tables: as there.
+    """
+    with scratch(docs.sparkSession) as kept:
+        some = written(_single(_repeated(docs, id_col, text_col, None)), "units")
+        all_places = written(some.join(written(_first(some).drop("other"), "first").hint("merge"), ["d1", "d2"]), "all")
+        again = _marked(all_places.where("kept <> struct(doc_id, start)").withColumn("hot", _hot(min_places)))
+        again = written(again, "marked")
+        gone = again.groupBy("doc_id", "span").agg((F.max("last") - F.min("first")).alias("n"), F.max("hot").alias("hot"))
+        gone = written(gone.where((F.col("n") >= min_words) | F.col("hot")).select("doc_id", "span"), "gone")
+        gone = again.join(gone.hint("merge"), ["doc_id", "span"]).select("doc_id", "first", F.lit(True).alias("gone"))
+        found = all_places.join(gone.hint("merge"), ["doc_id", "first"], "left")
+        result = found.select(
+            "doc_id",
+            F.col("start").cast("long").alias("start"),
+            F.col("end").cast("long").alias("end"),
+            (F.col("kind").bitwiseAND(LINE) > 0).alias("line"),
+            (F.col("kind").bitwiseAND(PARAGRAPH) > 0).alias("paragraph"),
+            (F.col("last") - F.col("first")).cast("long").alias("words"),
+            "places",
+            F.col("kept.doc_id").alias("first_doc_id"),
+            F.col("kept.start").cast("long").alias("first_start"),
+            (F.col("gone").isNotNull() & F.expr("kept <> struct(doc_id, start)")).alias("removed"),
+        )
+        return kept(result, "units")
+
+
+def _marked(again: DataFrame) -> DataFrame:
+    """One row per document and first word, with the number of the span it is in: units that overlap or follow one another share one."""
     again = again.groupBy("doc_id", "first").agg(
-        F.max("last").alias("last"), F.max("end").alias("end"), F.min("start").alias("start"), F.min("kept").alias("kept"), F.bit_or("kind").alias("kind")
-    )
+        F.max("last").alias("last"), F.max("end").alias("end"), F.min("start").alias("start"), F.min("kept").alias("kept"), F.bit_or("kind").alias("kind"),
+        F.max("hot").alias("hot"),
+    )
     by = Window.partitionBy("doc_id").orderBy("first")  # one document's units
     reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = again.withColumn("opens", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
-    marked = marked.withColumn("span", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.withColumn("span", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _spans(marked: DataFrame) -> DataFrame:
+    """The repeated units of each document that share a span as one."""
     merged = marked.groupBy("doc_id", "span").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kept", "first").alias("kept"),
-        (F.max("last") - F.min("first")).alias("words"), F.bit_or("kind").alias("kind"),
+        (F.max("last") - F.min("first")).alias("words"), F.bit_or("kind").alias("kind"), F.max("hot").alias("hot"),
     )
     return merged.select(
         "doc_id",
@@ -207,12 +267,13 @@ def _spans(again: DataFrame) -> DataFrame:
         F.col("words").cast("long").alias("words"),
         (F.col("kind").bitwiseAND(LINE | PARAGRAPH) > 0).alias("by_lines"),
         (F.col("kind").bitwiseAND(RUN) > 0).alias("by_runs"),
+        "hot",
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, runs: bool = True, min_places: int | None = None) -> DataFrame:
     """``docs`` with the spans of ``repeats`` cut out of the texts; all rows and columns stay."""
-    cut = repeats(docs, id_col, text_col, min_words)
+    cut = repeats(docs, id_col, text_col, min_words, runs, min_places)
     cut = cut.groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     joined = docs.join(cut, F.col(id_col) == F.col("_of"), "left")
     text = F.col(text_col).cast("string")

@@ -319,6 +319,21 @@ def test_packing_is_best_fit_one_piece_at_a_time():
     assert packer.used == grouped.used == len(bins)
 
 
+def test_pieces_of_one_key_are_dealt_to_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    pieces = spark.range(2000).selectExpr("if(id % 3 = 0, id, null) as doc_id", "0 as piece", "id % 900 + 1 as length")
+    out = packing.pack(pieces, ["doc_id", "piece"], "length").collect()
+    assert len(out) == 2000
+    sizes = collections.Counter(r.sequence_id >> 32 for r in out)
+    assert len(sizes) == 20 and max(sizes.values()) < 200
+    held = collections.defaultdict(list)
+    for r in out:
+        held[r.sequence_id].append((r.offset, r.length))
+    for some in held.values():
+        some.sort()
+        assert [o for o, _ in some] == [sum(n for _, n in some[:i]) for i in range(len(some))] and sum(n for _, n in some) <= 1024
+
+
 def test_packing_awkward_rows(spark, awkward, empty):
     rows = packing.pack_documents(awkward, "doc_id", "text", queries.BYTE_BPE, 2).collect()
     check_packing(rows, 1024)
@@ -660,6 +675,62 @@ def test_short_lines_and_paragraphs(spark):
     assert 3 not in found and found[2][0][4] == 14
 
 
+def lines_and_paragraphs(text):
+    """{(start, end): (is a line, is a paragraph, words)} of the lines and paragraphs with a word."""
+    found, paragraph, at = {}, [], 0
+    for line in [*text.split("\n"), ""]:
+        words = [(at + m.start(), at + m.end(), m.group().translate(LOWER)) for m in WORD.finditer(line)]
+        if words:
+            found[words[0][0], words[-1][1]] = (True, False, tuple(w[2] for w in words))
+            paragraph += words
+        elif paragraph:
+            key = paragraph[0][0], paragraph[-1][1]
+            found[key] = (key in found, True, tuple(w[2] for w in paragraph))
+            paragraph = []
+        at += len(line) + 1
+    return found
+
+
+@pytest.mark.parametrize("min_places", [None, 5])
+def test_every_repeated_line_and_paragraph(spark, sf, docs, min_places):
+    texts = {d: t or "" for d, t in docs.items()}
+    texts |= {10**6 + k: "All rights reserved.\n\nx%d y%d\nz%d" % (k, k, k) for k in range(6)}
+    parsed = {d: lines_and_paragraphs(t) for d, t in texts.items()}
+    where = collections.defaultdict(list)
+    for d, units_ in parsed.items():
+        for (a, b), (_, _, words) in units_.items():
+            where[words].append((d, a))
+    expected = {}
+    for d, units_ in parsed.items():
+        for (a, b), (line, para, words) in units_.items():
+            if len(where[words]) > 1:
+                expected[d, a, b] = (line, para, len(words), len(where[words]), *min(where[words]))
+    rows = [(d, t, "en", 0) for d, t in texts.items()]
+    df = spark.createDataFrame([*rows, rows[0], rows[-1]], SCHEMA)
+    got = units.repeated_units(df, "doc_id", "text", units.MIN_WORDS, min_places).collect()
+    assert len(got) == len(expected) > 100
+    assert {(r.doc_id, r.start, r.end): (r.line, r.paragraph, r.words, r.places, r.first_doc_id, r.first_start) for r in got} == expected
+    spans = collections.defaultdict(list)
+    for r in units.repeats(df, "doc_id", "text", units.MIN_WORDS, False, min_places).collect():
+        assert r.by_lines and not r.by_runs
+        spans[r.doc_id].append((r.start, r.end))
+    inside = lambda r: any(a <= r.start and r.end <= b for a, b in spans[r.doc_id])
+    first = lambda r: (r.doc_id, r.start) == (r.first_doc_id, r.first_start)
+    assert all(r.removed == (inside(r) and not first(r)) for r in got)
+    reserved = {r.doc_id: r.removed for r in got if r.doc_id >= 10**6 and r.start == 0}
+    assert len(reserved) == 6 and sum(reserved.values()) == (0 if min_places is None else len(reserved) - 1 + (len(where["all", "rights", "reserved."]) > 6))
+    hot = collections.defaultdict(set)
+    for r in got:
+        if r.removed:
+            hot[r.doc_id].add((r.start, r.end))
+    assert all(any(a <= s_ and e <= b for s_, e in hot[d]) for d, found in spans.items() for a, b in found)
+
+
+def test_repeated_units_of_awkward_rows(spark, awkward, empty):
+    assert units.repeated_units(empty, "doc_id", "text").collect() == []
+    assert all(r.doc_id is not None and r.places > 1 for r in units.repeated_units(awkward, "doc_id", "text").collect())
+
+
 def test_passages_inside_lines_are_cut(spark, awkward, empty):
     rng = np.random.default_rng(4)
     draw = lambda n: " ".join("x%d%s" % (i, "." if i % 9 == 0 else "") for i in rng.integers(0, 10**6, n))
@@ -760,6 +831,25 @@ def pseudo(rng, n):
     return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(n))
 
 
+def test_recall_of_classes(spark):
+    """Families of texts with edits of their own: pairs that share three quarters of their word pairs are in one class, whatever is least in their bands."""
+    rng = np.random.default_rng(31)
+    texts = {}
+    for family in range(120):
+        base = pseudo(rng, 120).split()
+        for _ in range(5):
+            words, edits = list(base), int(rng.integers(0, 13))
+            for place in rng.integers(0, 120, edits).tolist():
+                words[place] = pseudo(rng, 1)
+            texts[len(texts)] = " ".join(words)
+    of = class_of(spark, texts)
+    pairs = {d: set(zip(t.split(), t.split()[1:])) for d, t in texts.items()}
+    near = [(a, b) for a in texts for b in range(a + 1, a - a % 5 + 5) if len(pairs[a] & pairs[b]) >= 0.75 * len(pairs[a] | pairs[b])]
+    found = sum(of[a] == of[b] for a, b in near)
+    assert len(near) > 300 and found >= 0.9 * len(near), (found, len(near))
+    assert all(of[a] != of[b] for a in range(0, 600, 5) for b in range(a + 5, 600, 5))
+
+
 def test_templates_with_any_hash_are_found_in_short_documents(spark):
     rng = np.random.default_rng(11)
     rows = []
