@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nearfold.llm import decontam, fertility, ngram_join, packing, templates
 from nearfold.llm.queries import BYTE_BPE, PIECES
-from nearfold.plans.storage import scratch, written
+from nearfold.plans.storage import delete, fresh_dir, scratch
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -64,8 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over ``documents``, each written as Parquet and read again.
+
+    A stage's table is deleted as soon as the next one is written; that of the last stage but one stays, as the result reads it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        found, path = stage(spark, docs, sf_dir), fresh_dir(spark, name.replace(" ", "-"))
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
