@@ -7,49 +7,70 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-WORDS_AT_ONCE = 1 << 16
+BYTES_AT_ONCE = 1 << 24
+WORDS_AT_ONCE = 1 << 18
 WORDS_KEPT = 500_000
-
-
-def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """The first 64 bits of the MD5 of each word."""
-    found = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = known.get(w)
-        if h is None:
-            if len(known) >= WORDS_KEPT:
-                known.clear()
-            h = known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
-        found[i] = h
-    return found
+LANE = 255
+
+
+def _word_bits(words: list[str], known: dict[str, bytes]) -> np.ndarray:
+    """The first 64 bits of the MD5 of each word, a byte for each bit; eight of the bytes at a time as one long."""
+    if len(known) >= WORDS_KEPT:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = hashlib.md5(w.encode()).digest()[7::-1]
+    found = np.frombuffer(b"".join([known[w] for w in words]), np.uint8).reshape(-1, 8)
+    return np.unpackbits(found, axis=1, bitorder="little").view(np.uint64)
+
+
+def _simhash(texts: pa.Array, known: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows with words, their SimHash). Each distinct word is hashed once; the bits of up to LANE words of a row
+    are added eight counters to a long, then these sums row by row."""
+    parts = pc.split_pattern(texts.fill_null(""), pattern=" ")
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    codes, rows = coded.indices.to_numpy(), np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+    if "" in words:
+        full = codes != words.index("")
+        codes, rows = codes[full], rows[full]
+    count = np.bincount(rows, minlength=len(texts))
+    bits, sums = _word_bits(words, known), np.zeros((len(texts), 64), np.int64)
+    for i in range(0, len(codes), WORDS_AT_ONCE):
+        row = rows[i : i + WORDS_AT_ONCE]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        nth = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+        cut = np.flatnonzero(nth % LANE == 0)
+        lanes = np.add.reduceat(bits[codes[i : i + WORDS_AT_ONCE]], cut, axis=0).view(np.uint8)
+        sums[row[first]] += np.add.reduceat(lanes, np.searchsorted(cut, first), axis=0, dtype=np.int64)
+    some = np.flatnonzero(count)
+    return some, np.packbits(2 * sums[some] > count[some, None], axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
 def text_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, phash)`` by SimHash (Charikar, 2002) over the space-separated words of a lower-case text.
 
     Bit b is set if more than half of the words, repeats counted, have it set. The value depends on one row only, so
-    rows are taken in Arrow batches and nothing is shuffled; of a long text at most WORDS_AT_ONCE words are spread
-    to bits at a time. A document without words has no row. Null texts are without words.
+    rows are taken in Arrow batches and nothing is shuffled; a batch is worked through in parts of BYTES_AT_ONCE bytes, or of
+    one longer text, and WORDS_AT_ONCE words at most are spread to bits at a time. A document without words has no row. Null texts are without words.
     """
 
     def run(batches):
-        known: dict[str, int] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
-            rows, prints = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = [w for w in (text or "").split(" ") if w]
-                if not words:
-                    continue
-                sums = np.zeros(64, np.int64)
-                for j in range(0, len(words), WORDS_AT_ONCE):
-                    bits = np.unpackbits(_word_hashes(words[j : j + WORDS_AT_ONCE], known).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    sums += bits.sum(axis=0, dtype=np.int64)
-                rows.append(i)
-                prints.append(np.packbits(2 * sums > len(words), bitorder="little").view(np.int64)[0])
-            yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(prints, pa.int64())], [id_col, "phash"])
+            texts = batch.column(1)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            i = 0
+            while i < len(texts):
+                before = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right")))
+                rows, prints = _simhash(texts.slice(i, j - i), known)
+                yield pa.record_batch([batch.column(0).take(pa.array(rows + i, pa.int64())), pa.array(prints, pa.int64())], [id_col, "phash"])
+                i = j
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.lower(F.col(text_col))).mapInArrow(run, f"`{id_col}` {kind}, phash long")
