@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -29,6 +30,7 @@ from nearfold.plans.storage import fresh_dir, written
 
 LEVEL = 3
 BLOCK_LINES = 1000
+BATCH_ROWS = 10_000
 READ_GAP = 1 << 16
 READ_BYTES = 4 << 20
 FOOTER = struct.Struct("<QI")  # where the directory begins, and its length
@@ -242,24 +244,26 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
     """The records of every capture whose key is in the column ``surt`` of ``keys``, read from the archives.
 
     Keys are dealt to the index files that may hold them, their captures to the archives; both in sorted order, so
-    a task holds one block of an index file, or one range of an archive, at a time.
+    a task holds one block of an index file, or one range of an archive, and BATCH_ROWS captures at a time, however many a key has.
     """
     keys = keys.select(F.translate("surt", "\t\n", "  ").alias("surt")).where("surt is not null").distinct()
     asked = in_ranges(keys, "surt", index)
 
-    def places(batches):
+    def asked_captures(batches):
         name, file = None, None
         for batch in batches:
-            found = []
             for path, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if path != name:
                     name, file = path, IndexFile(path)
-                found += file.captures(key)
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
-                    ["surt", "page_id", "path", "at", "size"],
-                )
+                yield from file.captures(key)
+
+    def places(batches):
+        found = asked_captures(batches)
+        while some := list(islice(found, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*some), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+                ["surt", "page_id", "path", "at", "size"],
+            )
 
     def records(batches):
         for batch in batches:

@@ -199,6 +199,19 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(held) - len(set(held)), len(covered)
 
 
+def brute_kept(text, lang, library, piece_ids):
+    """The verdict on one text of a known language, from its definition."""
+    b, words = brute_quality(text), WORD.findall(text or "")
+    if b[0] < 50 or 100 * b[4] > 50 * b[0]:
+        return False
+    ids = library.encode(text, add_special_tokens=False).ids
+    p = np.array(list(collections.Counter(ids).values())) / len(ids)
+    spelt = sum(sum(3 <= i <= 258 for i in piece_ids(w)) for w in words) / (len(" ".join(words).encode()) - len(words) + 1)
+    band, step = fertility.BANDS[lang], [x <= len(ids) for x in fertility.ENTROPY_STEPS].count(True) - 1
+    low, high = band.chars_per_token
+    return low <= b[1] / len(ids) <= high and -(p * np.log2(p)).sum() >= band.entropy[step] and spelt <= band.fallback_share
+
+
 def test_op3(spark, sf, docs, library):
     import functools
 
@@ -464,6 +477,20 @@ def test_url_lists_at_the_edges(spark):
     assert url_lists.evaluate(captures.limit(0), "id", "url", "day", url_lists.intervals(entries.limit(0))).collect() == []
 
 
+def test_url_lists_with_long_urls_and_clashing_columns(spark):
+    from datetime import date
+
+    day = lambda n: date(2024, 1, n)
+    long = "x" * 300_000
+    entries = spark.createDataFrame([("a", "block", "bad.com", day(1), True, "z", 1)], "list string, verdict string, key string, day date, added boolean, decision string, start int")
+    captures = spark.createDataFrame(
+        [(1, f"http://bad.com/{long}", day(2), "k", "allow", 7), (2, f"http://{long}.bad.com/", day(2), "k", "allow", 7), (3, f"http://{long}", day(2), None, None, None), (4, long, day(2), "bad.com", "block", 7)],
+        "id long, url string, day date, key string, verdict string, capture_id int",
+    )
+    rows = url_lists.evaluate(captures, "id", "url", "day", url_lists.intervals(entries)).collect()
+    assert sorted((r.capture_id, r.decision) for r in rows) == [(1, "block"), (2, "block"), (3, "pass"), (4, "pass")]
+
+
 def test_op7(spark, sf, docs):
     """Every row found is within reach and at the right distance; exact passages are all found, near ones to nine tenths at least."""
     items = pq.read_table(f"{sf}/benchmark.parquet").to_pylist()
@@ -567,6 +594,7 @@ def test_op8(spark, sf):
 
 def test_warc_awkward_pages(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    monkeypatch.setattr(warc, "BATCH_ROWS", 4)  # the captures of a hot key come in several batches
     rows = [(3, "http://b.a.com/x", "é"), (1, "http://b.a.com/x", "é"), (2, None, None), (None, "http://a.com/", "é"), (4, "http://b.a.com/x", ""), (5, "HTTP://A.com:80", "new\r\n\r\nline"), (5, "HTTP://A.com:80", "new\r\n\r\nline")]
     rows += [(100 + i, "http://hot.com/", f"p{i}") for i in range(9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -583,6 +611,17 @@ def test_warc_awkward_pages(spark, monkeypatch):
         assert warc.surt(url) == key
 
 
+def test_warc_long_payloads_and_clashing_columns(spark):
+    long = "é<p>\n" * 1_000_000
+    rows = [(1, "http://a.com/1", long, "d", 5, "response"), (2, "http://a.com/2", long, None, None, "revisit"), (3, "http://a.com/" + "q" * 100_000, "short", "d", 0, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, offset long, record_type string")
+    index = warc.build_index(warc.write(pages, "page_id", "url", "html"))
+    found = {r.page_id: r for r in warc.lookup(index, warc.keys_of(pages, "url")).collect()}
+    digest = base64.b32encode(hashlib.sha1(long.encode()).digest()).decode()
+    assert {d: (r.payload_bytes, r.record_type, r.refers_to) for d, r in found.items()} == {1: (6_000_000, "response", None), 2: (6_000_000, "revisit", 1), 3: (5, "response", None)}
+    assert found[1].payload_digest == found[2].payload_digest == digest
+
+
 _hash_of = {}
 
 
