@@ -64,7 +64,7 @@ def _steps(rng: np.random.Generator, first: int, low: int, samples: int) -> list
 
 
 def _move(flat: np.ndarray, place: np.ndarray, turn: np.uint64) -> np.ndarray:
-    return (flat[place] * turn >> _U(63)).astype(np.int64)
+    return (flat[place] * turn).view(np.int64) < 0  # the top bit
 
 
 def _slots(key: np.ndarray, bits: int) -> np.ndarray:
@@ -107,21 +107,32 @@ class Tables:
         """One odd multiplier for each step; the top bit of its product with a word's hash moves the walk on."""
         return np.random.default_rng([self.search.seed, r]).integers(0, 1 << 63, 64, np.uint64) * _U(2) + _U(1)
 
+    def _starts(self, n: int, slots: np.ndarray, moves: list[np.ndarray], begin: int, seen: np.ndarray) -> np.ndarray:
+        """The windows whose walk stands on a word of ``seen`` at the step ``begin``.
+
+        Found for all places at once, from the last step back: a walk that stands on a place at some step ends well if it
+        does from where it moves to. These are operations on whole arrays of booleans, without a lookup by place.
+        """
+        good = seen[slots]
+        for step in range(begin - 1, -1, -1):
+            stay = good[:-1]
+            good = stay ^ ((stay ^ good[1:]) & moves[step][: len(stay)])
+        return np.flatnonzero(good[:n])
+
     def candidates(self, flat: np.ndarray, n: int) -> np.ndarray:
         """(window start, item) of every window that agrees with an item; ``flat`` has n words, then 64 zeros."""
-        found = []
-        # windows whose first word is no item's: the repetitions that sample step 0 leave them out at once
-        heads = [p[1][0] for plans in self.plans for p in plans if p[0][0] == 0]
-        first = np.flatnonzero(np.logical_or.reduce(heads)[_slots(flat[:n], self.bits)]) if heads else np.arange(n)
-        every = np.arange(n)
+        found, slots = [], _slots(flat, self.bits)
         for r, plans in enumerate(self.plans):
-            if not plans:
-                continue
             turns = self._turns(r)
-            for begin in sorted({p[0][0] for p in plans}):
+            begins = sorted({p[0][0] for p in plans})
+            moves = [(flat * t).view(np.int64) < 0 for t in turns[: max(begins, default=0)]]
+            for begin in begins:
                 group = [p for p in plans if p[0][0] == begin]
-                start = first if begin == 0 else every
-                state = _advance(flat, turns, (start, start, None, 0), begin, np.logical_or.reduce([p[1][0] for p in group]), self.bits)
+                start = self._starts(n, slots, moves, begin, np.logical_or.reduce([p[1][0] for p in group]))
+                place = start
+                for step in range(begin):
+                    place = place + moves[step][place]
+                state = (start, place, flat[place], begin)
                 for steps, filters, keys, items in group:
                     own = state
                     for s, seen in zip(steps[1:], filters[1:]):
@@ -140,7 +151,7 @@ def _advance(flat, turns, state, to: int, seen, bits: int):
     while step < to:
         place = place + _move(flat, place, turns[step])
         step += 1
-    key = flat[place] if key is None else mix(key ^ flat[place])
+    key = mix(key ^ flat[place])
     some = np.flatnonzero(seen[_slots(key, bits)])
     return start[some], place[some], key[some], step
 
