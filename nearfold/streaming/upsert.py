@@ -50,14 +50,17 @@ class SnapshotStream:
         reader = self.spark.read.schema(schema)
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def state(self, before: int | None = None) -> DataFrame:
-        """The latest row of each (session_id, path), live or with deleted_at, and the last generation that saw it; of batches ``before`` a number if given."""
+    def state(self, before: int | None = None, only: list[str] | None = None) -> DataFrame:
+        """The latest row of each (session_id, path), live or with deleted_at, and the last generation that saw it; of batches ``before`` a number if given.
+
+        ``only`` names the stored columns that are wanted, so that no other is read and shuffled.
+        """
         bases = {n: p for n, p in self._committed("base").items() if before is None or n < before}
         upto = max(bases, default=-1)
         later = {n: p for n, p in self._committed("changes").items() if n > upto and (before is None or n < before)}
         rows = self._read([p for _, p in sorted(later.items())], f"seq long, {CHANGES}")
         base = self._read([bases[upto]] if bases else [], f"seq long, {CHANGES}")
-        columns = [c for c in rows.columns if c not in ("op", "seq", "session_id", "path", "scan_generation")]
+        columns = only or [c for c in rows.columns if c not in ("op", "seq", "session_id", "path", "scan_generation")]
         newest = rows.unionByName(base).groupBy("session_id", "path").agg(
             F.max_by(F.struct(*columns), F.when(F.col("op") != SEEN, F.col("seq"))).alias("r"),
             F.max(F.when(F.col("op") != GONE, F.col("scan_generation"))).alias("scan_generation"), F.max("seq").alias("seq"),
@@ -87,7 +90,7 @@ class SnapshotStream:
         seq = generation * _GENERATION + batch_id
         if seq <= max(self._committed("base"), default=-1):
             return  # already in the base
-        old = self.state(before=seq).where("deleted_at is null").select("session_id", "path", F.col("file_id").alias("_id"), F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"))
+        old = self.state(seq, ["file_id", "size", "mtime_ns", "deleted_at"]).where("deleted_at is null").select("session_id", "path", F.col("file_id").alias("_id"), F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"))
         joined = listing.join(old, ["session_id", "path"], "left")
         same = F.col("_id").isNotNull() & F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime_ns").eqNullSafe(F.col("_mtime"))
         joined = joined.withColumns({"same": same, "file_id": F.coalesce("_id", new_file_id())}).drop("_id", "_size", "_mtime")

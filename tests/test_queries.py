@@ -38,3 +38,17 @@ def test_query_equals_its_sql(spark, sf, db, name):
 def test_every_query_without_sql_gives_rows(spark, sf):
     for name in queries.QUERIES.keys() - queries.ORACLE_SQL.keys():
         assert queries.QUERIES[name](spark, sf).count()
+
+
+@pytest.mark.parametrize("name", ["stream_upsert", "streamed_events"])
+def test_streams_read_tables_that_are_folders(spark, sf, tmp_path, name):
+    """A table may be one file or a folder of parts, whose names say nothing of the table."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df, rel = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.ORACLE_SQL[name])
+    found = rows_of(df.columns, df.collect())
+    assert found and found == rows_of(rel.columns, rel.fetchall())
