@@ -1,18 +1,18 @@
 """Clusters kept up to date: a delta of files changes the groups that it touches, and no others.
 
 The state is what the three tiers know of the live files: exact members by content hash; nodes (rows equal in fingerprint, size and
-dimensions stand as one, named by a digest of those values, so that a node outlives its files), links between nodes and the
+dimensions stand as one, named by a digest of those values, so that a node outlives its files) and the
 component of each node; burst rows with their islands (stretches without a gap over the window). ``apply`` takes inserted or changed files and
 deleted ids and goes down the tiers:
 
 * exact: the hashes of the delta, old and new, are grouped anew; other hashes keep their groups.
-* visual: files enter or leave when they themselves change or their hash begins or ceases to be a group. New nodes are joined with all
-  nodes by blocks; nodes without files go. Only components that lose a node are split again, from their stored links; then new links
+* visual: files enter or leave when they themselves change or their hash begins or ceases to be a group. New nodes are linked within the
+  blocks that hold them; nodes without files go. Only components that lose a node are split again, from the links of what is left of them; then new links
   join components as wholes, by their names. Members and confidences of touched components are computed anew.
 * burst: islands that lose a row, or have a new row within the window, are folded anew from their rows. No anchor outside depends on them.
 
-Links are stored as pairs of nodes, so that a component can be split again when a node goes; unlike those of ``cluster.component_links`` they are all
-pairs of a block within the threshold.
+No pair of nodes is stored: the links of all pairs grow with the square of a dense group. Those of ``cluster.component_links``, which join the same
+nodes, are made anew for the nodes of a broken component and of a block that holds a new node.
 
 Old tables meet the delta by semi and anti joins on touched keys. Spark broadcasts those keys while they are few (a size it checks) and shuffles by them
 beyond that. The result is the same as that of ``cluster.tiered_members`` over all live files.
@@ -40,7 +40,6 @@ class State:
     exact: DataFrame  #: session_id, content_hash, group_id, file_id
     seen: DataFrame  #: node, file_id: the files of the visual tier
     nodes: DataFrame  #: id, VALUES, n (files)
-    links: DataFrame  #: session_id, a_id, b_id, distance
     parts: DataFrame  #: id, component
     visual: DataFrame  #: component, group_id, confidence, session_id, file_id
     timeline: DataFrame  #: session_id, file_id, us, camera, island
@@ -62,7 +61,7 @@ def empty(spark: SparkSession, session_type: str = "string") -> State:
     schemas = (
         f"{session}, file_id long, content_hash string, phash long, size long, width int, height int, date_taken timestamp, camera string",
         f"{session}, content_hash string, group_id long, file_id long", "node string, file_id long", f"id string, {values}, n long",
-        f"{session}, a_id string, b_id string, distance int", "id string, component string",
+        "id string, component string",
         f"component string, group_id long, confidence float, {session}, file_id long", f"{session}, file_id long, us long, camera string, island long",
         f"{session}, island long, group_id long, file_id long",
     )
@@ -123,33 +122,26 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         alive = counted.where("n > 0")
         nodes = keep(_but(state.nodes, moved, "id").unionByName(alive), "nodes")
         dead, fresh = counted.where("n = 0").select("id"), written(_but(alive, had, "id"), "fresh")
-        # links
-        mark = nodes.join(fresh.select("id", F.lit(True).alias("is_fresh")), "id", "left")
-        known = mark.withColumn("id", F.when(F.col("is_fresh"), F.concat(F.lit("+"), "id")).otherwise(F.concat(F.lit("-"), "id")))
-        # a is fresh; b is old, or fresh and greater
-        fresh_side = fresh.withColumn("id", F.concat(F.lit("+"), "id"))
-        found = cluster.linked_pairs(fresh_side, known, threshold, 1, F.col("b.id").startswith("-") | (F.col("a.id") < F.col("b.id")))
-        bare = lambda c: F.substr(c, F.lit(2))
-        found = found.select("session_id", F.least(bare("a_id"), bare("b_id")).alias("a_id"), F.greatest(bare("a_id"), bare("b_id")).alias("b_id"), "distance")
-        fresh_links = written(found, "fresh-links")
-        stale = dead.select(F.col("id").alias("a_id"))
-        left = state.links.join(stale, "a_id", "left_anti").join(stale.withColumnRenamed("a_id", "b_id"), "b_id", "left_anti").select(state.links.columns)
-        links = keep(left.unionByName(fresh_links), "links")
+        # links of the blocks that hold a fresh node, some of them between old nodes
+        near = cluster.in_blocks_of(nodes, fresh, threshold)
+        fresh_links = written(cluster.component_links(near, threshold), "fresh-links")
         # components: those that lost a node are split again, then new links join whole components
         broken = _only(state.parts, dead, "id").select("component").distinct()
         pieces = written(_but(_only(state.parts, broken, "component"), dead, "id").select("id"), "pieces")
-        inner = _only(left, pieces.select(F.col("id").alias("a_id")), "a_id")
+        inner = cluster.component_links(written(_only(nodes, pieces, "id"), "piece-nodes"), threshold)
         split = connected_components(inner, "a_id", "b_id").select(F.col("node").alias("id"), "component")
         split = pieces.join(split, "id", "left").withColumn("component", F.coalesce("component", "id"))
         rough = _but(state.parts, broken, "component").unionByName(split).unionByName(fresh.select("id", F.col("id").alias("component")))
         rough = written(rough, "rough")
         ends = fresh_links.join(rough.select(F.col("id").alias("a_id"), F.col("component").alias("x")), "a_id")
         ends = ends.join(rough.select(F.col("id").alias("b_id"), F.col("component").alias("y")), "b_id").where("x <> y").select("x", "y").distinct()
+        ends = written(ends, "ends")
         joined = connected_components(ends, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("whole"))
         parts = rough.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
         parts = keep(parts, "parts")
         # groups of touched components
-        touched = moved.select("id").unionByName(pieces).unionByName(fresh_links.select(F.col("a_id").alias("id"))).unionByName(fresh_links.select(F.col("b_id").alias("id")))
+        merged = ends.select(F.col("x").alias("component")).unionByName(ends.select(F.col("y").alias("component")))
+        touched = moved.select("id").unionByName(pieces).unionByName(_only(rough, merged, "component").select("id"))
         touched = written(touched.distinct(), "touched")
         dropped = written(_only(state.parts, touched, "id").select("component").distinct(), "dropped")
         again = written(_only(parts, _only(parts, touched, "id").select("component").distinct(), "component"), "again")
@@ -179,7 +171,7 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         timeline = keep(_but(state.timeline, hit, "session_id", "island").unionByName(placed.select(state.timeline.columns)), "timeline")
         new_bursts = cluster.burst_rows(stretch, window_us).join(placed.select("file_id", "island"), "file_id").select(state.bursts.columns)
         bursts = keep(_but(state.bursts, hit, "session_id", "island").unionByName(new_bursts), "bursts")
-    return State(files, exact, seen, nodes, links, parts, visual, timeline, bursts)
+    return State(files, exact, seen, nodes, parts, visual, timeline, bursts)
 
 
 def _values(rows: DataFrame) -> DataFrame:

@@ -145,6 +145,28 @@ def test_bands_find_every_pair(spark):
     assert found == {(a, b) for k, (a, p) in enumerate(ids) for b, q in ids[k + 1 :] if (p ^ q).bit_count() <= 6}
 
 
+@pytest.mark.parametrize("band_count", [1, 7])
+def test_pairs_of_large_blocks_by_tiles(spark, monkeypatch, band_count):
+    """A dense block over the limits is compared by tiles: the same pairs as by brute force, with equal and unknown sizes and sides."""
+    rng = random.Random(11)
+    near = lambda: sum(1 << rng.randrange(60 if band_count > 1 else 50) for _ in range(rng.randrange(5)))
+    rows = [(i, rng.choice("ab"), rng.choice([None, 1, 2]), *rng.choice([(5, 5), (6, 5), (None, None)]), None, near(), None, None) for i in range(300)]
+    expected, first = {}, {}
+    for r in rows:
+        first.setdefault((r[1], r[6], r[2], r[3], r[4]), r)
+    for a in first.values():
+        for b in first.values():
+            alike = a[2] is not None and a[2] == b[2] or a[3] is not None and a[3:5] == b[3:5]
+            d = ((a[6] ^ b[6]) & ((1 << 64) - 1)).bit_count()
+            if a[0] < b[0] and a[1] == b[1] and alike and d <= 6 and (band_count > 1 or (a[6] ^ b[6]) >> 48 == 0):
+                expected[a[1], a[0], b[0]] = d
+    for limits in ((8, 16), (256, 2048)):
+        monkeypatch.setattr(cluster, "BLOCK_ROWS", limits[0])
+        monkeypatch.setattr(cluster, "TILE_ROWS", limits[1])
+        found = [tuple(r) for r in cluster.similar_pairs(frame(spark, rows), 6, band_count).collect()]
+        assert len(found) == len(expected) > 1000 and {r[:3]: r[3] for r in found} == expected
+
+
 def brute_bursts(rows, window):
     out = {}
     for s in {r[1] for r in rows}:
