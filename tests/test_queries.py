@@ -52,3 +52,8 @@ def test_streams_read_tables_that_are_folders(spark, sf, tmp_path, name):
     df, rel = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.ORACLE_SQL[name])
     found = rows_of(df.columns, df.collect())
     assert found and found == rows_of(rel.columns, rel.fetchall())
+
+
+def test_capture_data_is_parsed_once(spark, sf):
+    plan = queries.QUERIES["exif_tags"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
