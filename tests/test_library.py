@@ -145,6 +145,35 @@ def test_bands_find_every_pair(spark):
     assert found == {(a, b) for k, (a, p) in enumerate(ids) for b, q in ids[k + 1 :] if (p ^ q).bit_count() <= 6}
 
 
+def test_simhash_memory_is_bounded():
+    """A batch of 20 MB of ever new words, in one long text and many short ones, takes a few times BYTES_AT_ONCE beside itself."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"w{i:09d}" for i in range(1_800_000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    expected = [_brute_simhash(t) for t in texts[::3000]]
+    del words, texts
+    tracemalloc.start()
+    try:
+        (found,) = P._simhash_batches(iter([batch]), "id")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.column(0).to_pylist() == list(range(18_000)) and found.column(1).to_pylist()[::3000] == expected
+    assert peak < 150e6
+
+
+def _brute_simhash(text):
+    import hashlib
+
+    prints = [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in text.split(" ") if w]
+    found = sum(1 << b for b in range(64) if 2 * sum(p >> b & 1 for p in prints) > len(prints))
+    return found - (1 << 64) if found >> 63 else found
+
+
 @pytest.mark.parametrize("band_count", [1, 7])
 def test_pairs_of_large_blocks_by_tiles(spark, monkeypatch, band_count):
     """A dense block over the limits is compared by tiles: the same pairs as by brute force, with equal and unknown sizes and sides."""
