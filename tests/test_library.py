@@ -603,3 +603,15 @@ def test_works_without_the_text_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'exact_groups' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "-k", "exact or path_parts or configs or entry"], cwd=tmp_path, check=True, env=env)
+
+
+def test_small_chunks_share_partitions(spark, monkeypatch):
+    """Chunks are ranges in order of bounded size, dealt to few partitions."""
+    monkeypatch.setattr(cluster, "CHUNK", 1_000)
+    rng = random.Random(4)
+    times = sorted((rng.choice("ab"), us) for us in rng.sample(range(1 << 40), 5_000))
+    chunks, parts = cluster._chunked(spark.createDataFrame(times, "session_id string, us long"), 10)
+    found = sorted((r.session_id, r.us, r.chunk) for r in chunks.collect())
+    numbers = [c for _, _, c in found]
+    assert [r[:2] for r in found] == times and numbers == sorted(numbers) and parts == 500
+    assert max(numbers.count(c) for c in set(numbers)) == 10 and len(set(numbers)) < 520 and len(chunks.inputFiles()) <= 5
