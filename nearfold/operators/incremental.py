@@ -7,12 +7,12 @@ deleted ids and goes down the tiers:
 
 * exact: the hashes of the delta, old and new, are grouped anew; other hashes keep their groups.
 * visual: files enter or leave when they themselves change or their hash begins or ceases to be a group. New nodes are linked within the
-  blocks that hold them; nodes without files go. Only components that lose a node are split again, from the links of what is left of them; then new links
-  join components as wholes, by their names. Members and confidences of touched components are computed anew.
+  blocks that hold them; nodes without files go. Only components that lose a node are split again. What is left of these and the new nodes are linked
+  with one another and with the other nodes, which stand for their components as wholes. Members and confidences of touched components are computed anew.
 * burst: islands that lose a row, or have a new row within the window, are folded anew from their rows. No anchor outside depends on them.
 
 No pair of nodes is stored: the links of all pairs grow with the square of a dense group. Those of ``cluster.component_links``, which join the same
-nodes, are made anew for the nodes of a broken component and of a block that holds a new node.
+nodes, are made anew where an end is a new node or of a broken component.
 
 Old tables meet the delta by semi and anti joins on touched keys. Spark broadcasts those keys while they are few (a size it checks) and shuffles by them
 beyond that. The result is the same as that of ``cluster.tiered_members`` over all live files.
@@ -122,26 +122,23 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         alive = counted.where("n > 0")
         nodes = keep(_but(state.nodes, moved, "id").unionByName(alive), "nodes")
         dead, fresh = counted.where("n = 0").select("id"), written(_but(alive, had, "id"), "fresh")
-        # links of the blocks that hold a fresh node, some of them between old nodes
-        near = cluster.in_blocks_of(nodes, fresh, threshold)
-        fresh_links = written(cluster.component_links(near, threshold), "fresh-links")
-        # components: those that lost a node are split again, then new links join whole components
+        # asked: fresh nodes and what is left of the components that lost a node. The others keep their components, which links of asked nodes may join
         broken = _only(state.parts, dead, "id").select("component").distinct()
         pieces = written(_but(_only(state.parts, broken, "component"), dead, "id").select("id"), "pieces")
-        inner = cluster.component_links(written(_only(nodes, pieces, "id"), "piece-nodes"), threshold)
-        split = connected_components(inner, "a_id", "b_id").select(F.col("node").alias("id"), "component")
-        split = pieces.join(split, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rough = _but(state.parts, broken, "component").unionByName(split).unionByName(fresh.select("id", F.col("id").alias("component")))
-        rough = written(rough, "rough")
-        ends = fresh_links.join(rough.select(F.col("id").alias("a_id"), F.col("component").alias("x")), "a_id")
-        ends = ends.join(rough.select(F.col("id").alias("b_id"), F.col("component").alias("y")), "b_id").where("x <> y").select("x", "y").distinct()
-        ends = written(ends, "ends")
-        joined = connected_components(ends, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        alone = fresh.select("id").unionByName(pieces).select("id", F.col("id").alias("component"), F.lit(True).alias("asked"))
+        rough = written(_but(state.parts, broken, "component").withColumn("asked", F.lit(False)).unionByName(alone), "rough")
+        # components meet as wholes, by number: the links of a dense one are between few numbers
+        names = written(rough.select("component").distinct().withColumn("number", F.monotonically_increasing_id()), "names")
+        numbered = rough.join(names, "component").select("id", "number", "asked").join(nodes.drop("n"), "id")
+        numbered = written(numbered.select(F.col("number").alias("id"), *VALUES, "asked"), "numbered")
+        links = cluster.component_links(numbered, threshold)
+        joined = connected_components(links, "a_id", "b_id").select(F.col("node").alias("number"), F.col("component").alias("first"))
+        whole = names.select(F.col("number").alias("first"), F.col("component").alias("whole"))
+        joined = written(names.join(joined, "number").join(whole, "first").select("component", "whole"), "joined")
         parts = rough.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
         parts = keep(parts, "parts")
         # groups of touched components
-        merged = ends.select(F.col("x").alias("component")).unionByName(ends.select(F.col("y").alias("component")))
-        touched = moved.select("id").unionByName(pieces).unionByName(_only(rough, merged, "component").select("id"))
+        touched = moved.select("id").unionByName(pieces).unionByName(_only(rough, joined, "component").select("id"))
         touched = written(touched.distinct(), "touched")
         dropped = written(_only(state.parts, touched, "id").select("component").distinct(), "dropped")
         again = written(_only(parts, _only(parts, touched, "id").select("component").distinct(), "component"), "again")

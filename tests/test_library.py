@@ -145,6 +145,17 @@ def test_bands_find_every_pair(spark):
     assert found == {(a, b) for k, (a, p) in enumerate(ids) for b, q in ids[k + 1 :] if (p ^ q).bit_count() <= 6}
 
 
+def test_links_of_a_dense_ball_far_from_its_first_point(spark):
+    """800 prints of which most pairs are links: fewer links than points for each way of being compatible, not a link for each pair."""
+    rng = random.Random(2)
+    ball = {sum(1 << b for b in rng.sample(range(24), 3)) | 0xFFF << 40 for _ in range(1200)}
+    rows = [(0, "s", 7, None, None, None, 0, None, None)] + [(i + 1, "s", 7, None, None, None, p, None, None) for i, p in enumerate(sorted(ball)[:800])]
+    assert sum((a[6] ^ b[6]).bit_count() <= 6 for a in rows[1:] for b in rows[1:]) > 500_000
+    sets = frame(spark, rows).withColumnRenamed("file_id", "id")
+    for bands in (1, 7):
+        assert cluster.component_links(sets, 6, bands).count() == 799
+
+
 def test_simhash_memory_is_bounded():
     """A batch of 20 MB of ever new words, in one long text and many short ones, takes a few times BYTES_AT_ONCE beside itself."""
     import tracemalloc
