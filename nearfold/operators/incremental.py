@@ -12,7 +12,7 @@ deleted ids and goes down the tiers:
 * burst: islands that lose a row, or have a new row within the window, are folded anew from their rows. No anchor outside depends on them.
 
 No pair of nodes is stored: the links of all pairs grow with the square of a dense group. Those of ``cluster.component_links``, which join the same
-nodes, are made anew where an end is a new node or of a broken component.
+nodes, are made anew where an end is a new node or of a broken component. Every link within the threshold counts.
 
 Old tables meet the delta by semi and anti joins on touched keys. Spark broadcasts those keys while they are few (a size it checks) and shuffles by them
 beyond that. The result is the same as that of ``cluster.tiered_members`` over all live files.
@@ -131,7 +131,7 @@ def apply(state: State, upserts: DataFrame, deletes: DataFrame, threshold: int =
         names = written(rough.select("component").distinct().withColumn("number", F.monotonically_increasing_id()), "names")
         numbered = rough.join(names, "component").select("id", "number", "asked").join(nodes.drop("n"), "id")
         numbered = written(numbered.select(F.col("number").alias("id"), *VALUES, "asked"), "numbered")
-        links = cluster.component_links(numbered, threshold)
+        links = cluster.component_links(numbered, threshold, cluster.all_bands(threshold))
         joined = connected_components(links, "a_id", "b_id").select(F.col("node").alias("number"), F.col("component").alias("first"))
         whole = names.select(F.col("number").alias("first"), F.col("component").alias("whole"))
         joined = written(names.join(joined, "number").join(whole, "first").select("component", "whole"), "joined")

@@ -40,6 +40,19 @@ def test_deltas_give_the_groups_of_a_full_run(spark):
     assert state.files.count() == len(now)
 
 
+def test_deltas_link_prints_that_differ_in_any_bits(spark):
+    """A new node far in the top bits joins two components, and leaves them apart again."""
+    row = lambda i, p: ("s", i, None, p, i if i != 9 else 1, 4 if i != 1 else None, 4, None, "x|")
+    none = spark.createDataFrame([], "file_id long")
+    groups = lambda s: sorted((r.group_id, r.file_id) for r in s.members().collect())
+    state = incremental.apply(incremental.empty(spark), spark.createDataFrame([row(1, 0), row(2, 0xFF << 50), row(3, 0x7F << 50)], FILE), none)
+    assert groups(state) == [(2, 2), (2, 3)]
+    state = incremental.apply(state, spark.createDataFrame([row(9, 0xF << 53)], FILE), none)
+    assert groups(state) == [(1, 1), (1, 2), (1, 3), (1, 9)]
+    state = incremental.apply(state, spark.createDataFrame([], FILE), spark.createDataFrame([(9,)], "file_id long"))
+    assert groups(state) == [(2, 2), (2, 3)]
+
+
 def test_old_rows_meet_touched_keys_only(spark):
     """A delta that touches one of many groups rebuilds that one."""
     rows = [("s", i, f"h{i // 2}", None, 1, None, None, None, "x|") for i in range(60)]

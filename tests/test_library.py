@@ -145,6 +145,72 @@ def test_bands_find_every_pair(spark):
     assert found == {(a, b) for k, (a, p) in enumerate(ids) for b, q in ids[k + 1 :] if (p ^ q).bit_count() <= 6}
 
 
+def all_links(rows, threshold):
+    """The least id each row reaches over links of all pairs, whatever bits differ."""
+    root = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            alike = a[2] is not None and a[2] == b[2] or None not in (*a[3:5], *b[3:5]) and a[3:5] == b[3:5]
+            if a[1] == b[1] and alike and ((a[6] ^ b[6]) & ((1 << 64) - 1)).bit_count() <= threshold:
+                x, y = find(a[0]), find(b[0])
+                root[max(x, y)] = min(x, y)
+    return {r[0]: find(r[0]) for r in rows}
+
+
+def _prints_around(rng, n, bases, flips):
+    found = []
+    for _ in range(n):
+        p = rng.choice(bases)
+        for _ in range(rng.randrange(flips + 1)):
+            p ^= 1 << rng.randrange(64)
+        found.append(struct.unpack("q", struct.pack("Q", p))[0])
+    return found
+
+
+@pytest.mark.parametrize("limits", [(8_192, 16_384, 16_384), (4, 1_000, 50), (4, 6, 20)])
+def test_no_link_within_the_threshold_is_left_out(spark, monkeypatch, limits):
+    """Links that differ in any bits, by whole keys, by blocks and by tiles of two parts; as few links as rows of the tiles."""
+    for name, limit in zip(("KEY_ROWS", "LINK_TILE_ROWS", "BUCKET_ROWS"), limits):
+        monkeypatch.setattr(cluster, name, limit)
+    rng = random.Random(limits[1])
+    prints = _prints_around(rng, 260, [rng.getrandbits(64) for _ in range(12)], 7)
+    shapes = [(1, 5, 5), (2, 5, 5), (None, 5, 5), (3, 6, 5), (None, 6, 5), (1, None, None), (2, None, None), (3, None, 5)]
+    rows = [(i, rng.choice("ab"), *rng.choice(shapes), None, p, None, None) for i, p in enumerate(prints)]
+    expected = all_links(rows, 6)
+    members = lambda df: {r.file_id: r.group_id for r in df.collect()}
+    grouped = {i: g for i, g in expected.items() if list(expected.values()).count(g) > 1}
+    assert members(cluster.visual_members(frame(spark, rows), 6, cluster.all_bands(6))) == grouped
+    prefix = members(cluster.visual_members(frame(spark, rows), 6))
+    assert prefix != grouped and len(set(grouped.values())) > 10
+    # where only some rows are asked, the links with an end in them, once the others are joined
+    asked = {r[0] for r in rows if rng.random() < 0.3}
+    sets = frame(spark, rows).withColumnRenamed("file_id", "id").withColumn("asked", F.col("id").isin(asked))
+    links = {(r.a_id, r.b_id) for r in cluster.component_links(sets, 6, 7).collect()}
+    root = all_links([r for r in rows if r[0] not in asked], 6) | {i: i for i in asked}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        assert expected[a] == expected[b]
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {i: find(i) for i in expected} == expected
+
+
+def test_tiers_link_prints_that_differ_in_any_bits(spark):
+    rows = [(1, "s", 10, 4, 4, None, 0b11, None, None), (2, "s", 20, 4, 4, None, 0b11 | 1 << 60, None, None), (3, "s", 10, None, None, None, -(1 << 63) | 0b11, None, None)]
+    found = cluster.tiered_members(frame(spark, rows), ScanConfig(phash_threshold=6), 1).collect()
+    assert sorted((r.kind, r.group_id, r.file_id) for r in found) == [("visual", 1, 1), ("visual", 1, 2), ("visual", 1, 3)]
+
+
 def test_links_of_a_dense_ball_far_from_its_first_point(spark):
     """800 prints of which most pairs are links: fewer links than points for each way of being compatible, not a link for each pair."""
     rng = random.Random(2)
