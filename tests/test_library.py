@@ -211,6 +211,14 @@ def test_tiers_link_prints_that_differ_in_any_bits(spark):
     assert sorted((r.kind, r.group_id, r.file_id) for r in found) == [("visual", 1, 1), ("visual", 1, 2), ("visual", 1, 3)]
 
 
+def test_the_visual_query_links_prints_that_differ_in_any_bits(spark, monkeypatch):
+    from nearfold import queries
+
+    rows = [(1, "s", 10, 4, 4, "a", 0b11, None, None), (2, "s", 20, 4, 4, "b", 0b11 | 1 << 60, None, None), (3, "s", 30, 5, 5, "c", 0b11, None, None)]
+    monkeypatch.setattr(queries, "photos", lambda spark, sf_dir, prints=True: frame(spark, rows))
+    assert sorted((r.group_id, r.file_id, r.confidence_pct) for r in queries.visual_members(spark, "").collect()) == [(1, 1, 83), (1, 2, 83)]
+
+
 def test_links_of_a_dense_ball_far_from_its_first_point(spark):
     """800 prints of which most pairs are links: fewer links than points for each way of being compatible, not a link for each pair."""
     rng = random.Random(2)
